@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from quarry.plans import table_queries
+from quarry.plans import extract_queries, table_queries
 
 QUERIES = {}
 ORACLE = {}
-for _mod in (table_queries,):
+for _mod in (table_queries, extract_queries):
     QUERIES.update(_mod.QUERIES)
     ORACLE.update(_mod.ORACLE)
 
 
 def flagship(spark, sf_dir):
-    return table_queries.group_count(spark, sf_dir)
+    return extract_queries.extract_flat(spark, sf_dir)
