@@ -211,4 +211,11 @@ ORACLE = {
                  0::bigint as fp, 0::bigint as fn from j
           union all select 'old_part', count(*) filter (where old_part is not null), 0::bigint, 0::bigint from j
           union all select 'new_part', count(*) filter (where new_part is not null), 0::bigint, 0::bigint from j)""",
+    "rule_violations": f"""
+        select rule, count(*) as n from (
+          select 'confidence_out_of_range' as rule from ({_EXTRACTED}) where confidence < 0 or confidence > 1
+          union all select 'pair_without_intent' from ({_EXTRACTED})
+            where replacement_intent = 0 and (coalesce(old_part, '') <> '' or coalesce(new_part, '') <> '')
+          union all select 'same_old_and_new' from ({_EXTRACTED})
+            where replacement_intent = 1 and old_part = new_part) group by rule""",
 }
