@@ -17,6 +17,8 @@ def agg_expr(func: str, column: str, dtype: T.DataType,
              order_col: str | None = None) -> Column:
     """Spark expression for a pandas ``GroupBy.agg(func)`` name."""
     c = F.col(column)
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        c = F.nanvl(c, F.lit(None).cast(dtype))      # pandas: NaN is missing
     numeric = isinstance(dtype, (T.NumericType, T.BooleanType))
     if func in NUMERIC_ONLY and not numeric:
         raise TypeError(f"agg_func '{func}' needs a numeric column; '{column}' is {dtype.simpleString()}")
@@ -65,6 +67,8 @@ def group_by(df: DataFrame, keys: list[str], aggs: list[tuple[str, str | None]],
     out = df
     for k in keys:
         out = out.where(F.col(k).isNotNull())
+        if isinstance(df.schema[k].dataType, (T.DoubleType, T.FloatType)):
+            out = out.where(~F.isnan(F.col(k)))
     exprs = []
     for func, col in aggs:
         if col is None:

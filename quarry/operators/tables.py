@@ -34,8 +34,14 @@ def role_of(stem: Column | str) -> Column:
     return F.when(s.rlike(PRIMARY_STEM), F.lit("primary")).otherwise(F.lit("supplemental"))
 
 
-def normalise(df: DataFrame) -> DataFrame:
-    """Strip header whitespace, refuse case-insensitive duplicates, NaN -> NULL."""
+def normalise(df: DataFrame, nan_as_null: bool = False) -> DataFrame:
+    """Strip header whitespace and refuse case-insensitive duplicates.
+
+    ``nan_as_null`` rewrites NaN to NULL in every float column up front
+    (pandas semantics for free predicates too), but a projection over the
+    scan stops filters from reaching Parquet, so it is off by default:
+    aggregates, group keys and distinct lists treat NaN as missing anyway.
+    """
     names = [c.strip() for c in df.columns]
     seen: dict[str, str] = {}
     for n in names:
@@ -43,6 +49,8 @@ def normalise(df: DataFrame) -> DataFrame:
             raise ValueError(f"Columns '{seen[n.lower()]}' and '{n}' differ only by case")
         seen[n.lower()] = n
     out = df.toDF(*names)
+    if not nan_as_null:
+        return out
     fixes = {f.name: F.nanvl(F.col(f"`{f.name}`"), F.lit(None).cast(f.dataType))
              for f in out.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
     return out.withColumns(fixes) if fixes else out
@@ -66,8 +74,8 @@ class Tables:
 
     # ---- catalogue --------------------------------------------------------
     def register(self, name: str, df: DataFrame, role: str | None = None,
-                 view: bool = True) -> DataFrame:
-        df = normalise(df)
+                 view: bool = True, nan_as_null: bool = False) -> DataFrame:
+        df = normalise(df, nan_as_null)
         if role is None:
             role = "primary" if re.match(PRIMARY_STEM, name) else "supplemental"
         self._tables[name] = df
@@ -213,8 +221,11 @@ class Tables:
         """A4: non-null values as text, distinct, sorted as strings."""
         df = self.table(table)
         col = resolve_name(column, df.columns, label="Column")[0]
-        v = as_text(F.col(f"`{col}`"), df.schema[col].dataType)
-        return df.select(v.alias(col)).where(F.col(f"`{col}`").isNotNull()).distinct().orderBy(col)
+        dtype = df.schema[col].dataType
+        c = F.col(f"`{col}`")
+        present = c.isNotNull() & ~F.isnan(c) if isinstance(dtype, (T.DoubleType, T.FloatType)) \
+            else c.isNotNull()
+        return df.where(present).select(as_text(c, dtype).alias(col)).distinct().orderBy(col)
 
     def group_by(self, table: str, group_column: str | list[str],
                  agg_column: str | None = None, agg_func: str = "count",

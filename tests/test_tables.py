@@ -64,11 +64,17 @@ def test_distinct_sorted_as_strings(spark):
     assert [r[0] for r in t.distinct_values("d", "x").collect()] == ["10.0", "2.5", "9.0"]
 
 
-def test_nan_becomes_null_and_headers_are_stripped(spark):
+def test_nan_is_missing_and_headers_are_stripped(spark):
     t = Tables(spark)
-    df = t.register("n", spark.createDataFrame([(float("nan"), 1)], "` a ` double, b int"))
+    df = t.register("n", spark.createDataFrame([(float("nan"), 1), (2.0, 1), (float("nan"), 2)],
+                                               "` a ` double, b int"))
     assert df.columns == ["a", "b"]
-    assert df.first()["a"] is None
+    assert [tuple(r) for r in t.group_by("n", "b", "a", "sum").collect()] == [(1, 2.0), (2, 0.0)]
+    assert [tuple(r) for r in t.group_by("n", "b", "a", "count").collect()] == [(1, 1), (2, 0)]
+    assert [r[0] for r in t.distinct_values("n", "a").collect()] == ["2.0"]
+    assert t.group_by("n", "a").count() == 1
+    strict = t.register("m", df, nan_as_null=True)
+    assert strict.where("a is null").count() == 2
 
 
 def test_case_duplicate_columns_refused(spark):
