@@ -37,10 +37,17 @@ def strip_tags(c: Column | str) -> Column:
 
 
 @F.pandas_udf(T.StringType())
-def _unescape_udf(s: pd.Series) -> pd.Series:
+def _unescape_batch(s: pd.Series) -> pd.Series:
     return s.map(lambda v: html.unescape(v) if isinstance(v, str) else None)
 
 
+# Declared nondeterministic on purpose: Catalyst then never pushes a filter
+# on derived columns (intent, parts, ...) below the projection that calls
+# Python, which would evaluate the whole clean-up twice.  Filter the input
+# *before* cleaning to keep scan pushdown.
+_unescape_udf = _unescape_batch.asNondeterministic()
+
+
 def unescape(c: Column | str) -> Column:
     """One-pass HTML5 entity unescape (numeric and named, longest prefix).
 

@@ -232,10 +232,16 @@ def extract_with_model(df: DataFrame, make_extractor: Callable[[], Extractor],
 
 # ---- X4, X8-X12 --------------------------------------------------------------
 def explode_pairs(df: DataFrame, response: str, keys: list[str]) -> DataFrame:
-    """One row per replacement pair (position from 1); none -> no rows."""
-    return df.select(*keys, F.posexplode(F.col(response)["replacement_pairs"]).alias("pos", "pair")) \
-        .select(*keys, (F.col("pos") + 1).alias("pair_no"), "pair.old_part", "pair.new_part",
-                "pair.cue_phrase")
+    """One row per replacement pair (position from 1); none -> no rows.
+
+    ``posexplode_outer`` + a filter on the position: a plain ``posexplode``
+    makes Catalyst infer ``size(pairs) > 0`` and push it below the
+    projection, re-evaluating the whole rule extraction inside the filter.
+    """
+    return (df.select(*keys, F.posexplode_outer(F.col(response)["replacement_pairs"]).alias("pos", "pair"))
+            .where(F.col("pos").isNotNull())
+            .select(*keys, (F.col("pos") + 1).alias("pair_no"), "pair.old_part", "pair.new_part",
+                    "pair.cue_phrase"))
 
 
 def review_flag(df: DataFrame) -> Column:
@@ -270,8 +276,11 @@ def universe_check(extracted: DataFrame, universe: DataFrame, part_col: str) ->
 
 
 def text_key(text_col: str) -> Column:
-    """Identity of a comment for re-use: hash of its cleaned text."""
-    return F.sha2(TX.clean_text(text_col), 256)
+    """Identity of a comment for re-use: SHA-256 of its tag-stripped,
+    whitespace-collapsed text.  JVM-only on purpose (no entity unescape), so
+    keying every row never calls Python; texts that differ only in entity
+    spelling are extracted once each, never merged wrongly."""
+    return F.sha2(F.coalesce(TX.collapse_ws(TX.strip_tags(text_col)), F.lit("")), 256)
 
 
 def incremental(df: DataFrame, prior: DataFrame, run: Callable[[DataFrame], DataFrame],

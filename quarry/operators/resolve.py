@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.similarity import CUTOFF, NotFound, score
 from quarry.functions.values import as_text
+from quarry.session import ensure_checkpoint_dir
 
 
 @dataclass
@@ -85,40 +86,46 @@ def bulk_resolve(needles: DataFrame, needle_col: str, dictionary: DataFrame,
     """Resolve many needles against one dictionary column.
 
     Output: ``needle, resolved, match_kind, score`` (NULL resolved = no match).
-    Exact and case hits are equi-joins.  Leftover needles are scored only
-    against candidates that pass the length bound:
 
-    both sides are keyed by candidate length (needles fan out over the
-    window their length allows), every length is split into a grid of
-    bounded cells, each cell emits only pairs that reach the cutoff, and a
-    hash aggregate keeps the top-1 per needle.  No all-pairs output.
+    1. distinct needles left-joined to the dictionary on ``lower(value)``
+       and reduced per needle: exact hit, else the case variant (largest
+       spelling, deterministic);
+    2. only needles without either go to the similarity join: both sides
+       keyed by candidate length (needles fan out over the window their
+       length allows), every length split into a grid of bounded cells,
+       each cell emits only pairs that reach the cutoff, and a hash
+       aggregate keeps the top-1 per needle.  No all-pairs output.
+
+    The two small intermediate tables are checkpointed (reliable, shared
+    ``spark.checkpoint.dir``) because each feeds two branches.
     """
+    ensure_checkpoint_dir(needles.sparkSession)
     nd = needles.select(F.col(needle_col).cast("string").alias("needle")) \
         .where(F.col("needle").isNotNull()).distinct()
-    dv = dictionary.select(F.col(value_col).cast("string").alias("value")) \
-        .where(F.col("value").isNotNull()).distinct()
-
-    exact = nd.join(dv, nd["needle"] == dv["value"], "inner") \
-        .select("needle", F.col("value").alias("resolved"),
-                F.lit("exact").alias("match_kind"), F.lit(1.0).alias("score"))
-    rest = nd.join(exact.select("needle"), "needle", "left_anti")
-    dl = dv.groupBy(F.lower("value").alias("lv")).agg(F.max("value").alias("canon"))
-    case = rest.join(dl, F.lower(rest["needle"]) == dl["lv"], "inner") \
-        .select("needle", F.col("canon").alias("resolved"),
-                F.lit("case").alias("match_kind"), F.lit(1.0).alias("score"))
-    rest = rest.join(case.select("needle"), "needle", "left_anti") \
-        .withColumn("ln", F.lower("needle"))
-
+    dl = (dictionary.select(F.col(value_col).cast("string").alias("value"))
+          .where(F.col("value").isNotNull())
+          .groupBy(F.lower("value").alias("lv")).agg(F.max("value").alias("canon"))
+          .checkpoint(eager=True))
+    dv = dictionary.select(F.col(value_col).cast("string").alias("value"),
+                           F.lower(F.col(value_col).cast("string")).alias("__lv")) \
+        .where(F.col("value").isNotNull())
+    first = (nd.join(dv, F.lower(nd["needle"]) == dv["__lv"], "left")
+             .groupBy("needle")
+             .agg(F.max(F.when(F.col("value") == F.col("needle"), F.col("value"))).alias("exact"),
+                  F.max("value").alias("case"))
+             .checkpoint(eager=True))
+    found = first.where(F.col("case").isNotNull()).select(
+        "needle", F.coalesce("exact", "case").alias("resolved"),
+        F.when(F.col("exact").isNotNull(), F.lit("exact")).otherwise(F.lit("case")).alias("match_kind"),
+        F.lit(1.0).alias("score"))
+    rest = first.where(F.col("case").isNull()).select("needle", F.lower("needle").alias("ln"))
     scored = _grid_length_join(rest, dl, cutoff, cell_rows)
-
-    best = scored.groupBy("needle").agg(F.max(F.struct("score", "lv", "canon")).alias("b")) \
-        .select("needle", F.col("b.canon").alias("resolved"),
-                F.lit("fuzzy").alias("match_kind"), F.col("b.score").alias("score"))
-    found = exact.unionByName(case).unionByName(best)
-    missing = nd.join(found.select("needle"), "needle", "left_anti") \
-        .select("needle", F.lit(None).cast("string").alias("resolved"),
-                F.lit("none").alias("match_kind"), F.lit(None).cast("double").alias("score"))
-    return found.unionByName(missing)
+    best = scored.groupBy("needle").agg(F.max(F.struct("score", "lv", "canon")).alias("b"))
+    fuzzy = rest.join(best, "needle", "left").select(
+        "needle", F.col("b.canon").alias("resolved"),
+        F.when(F.col("b").isNotNull(), F.lit("fuzzy")).otherwise(F.lit("none")).alias("match_kind"),
+        F.col("b.score").alias("score"))
+    return found.unionByName(fuzzy)
 
 
 def _grid_length_join(rest: DataFrame, dl: DataFrame, cutoff: float,

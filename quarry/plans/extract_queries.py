@@ -106,9 +106,8 @@ def part_universe_check(spark, sf_dir) -> DataFrame:
 def incremental_extract(spark, sf_dir) -> DataFrame:
     """X11: comments of odd ids were extracted by an earlier run."""
     c = comments(spark, sf_dir)
-    prior = X.extract_rules(c.where(F.col("id") % 2 == 1)) \
-        .where(F.col("replacement_intent").isNotNull()) \
-        .withColumn("text_key", X.text_key("Comments")) \
+    done = c.where((F.col("id") % 2 == 1) & ~TX.is_blank("Comments"))
+    prior = X.extract_rules(done).withColumn("text_key", X.text_key("Comments")) \
         .dropDuplicates(["text_key"])
     out = X.incremental(c, prior, X.extract_rules)
     return out.select("id", "replacement_intent", "old_part", "new_part", "reused")
