@@ -142,8 +142,15 @@ def flatten(df: DataFrame, response: str, error: str, processed: Column,
         .drop(response, error)
 
 
+def require_column(df: DataFrame, text_col: str) -> None:
+    """Fail before any job when the text column is absent."""
+    if text_col not in df.columns:
+        raise KeyError(f"Column '{text_col}' not found. Available: {df.columns}")
+
+
 def with_clean(df: DataFrame, text_col: str) -> DataFrame:
     """Add ``__processed`` (F7 gate) and ``__clean`` (T4) once."""
+    require_column(df, text_col)
     return df.withColumn("__processed", ~TX.is_blank(text_col)) \
         .withColumn("__clean", TX.clean_text(text_col))
 

@@ -22,7 +22,10 @@ def with_ordinal(df: DataFrame, order: list[str | Column], name: str = "rn",
                  partitions: int | None = None, total: str | None = None) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # as many ranges as input splits (~maxPartitionBytes each), at least the
+    # shuffle partition count: partition size stays flat as the data grows
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                          df.rdd.getNumPartitions())
     numbered = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
                 .withColumn("__pid", F.spark_partition_id())
                 .withColumn("__mid", F.monotonically_increasing_id())

@@ -80,6 +80,11 @@ def answer(df: DataFrame, keys: list[str], sentence: str) -> DataFrame:
         .alias("answer"), n.alias("n_rows"))
 
 
+def no_rows_message(df: DataFrame) -> str | None:
+    """``"No rows matched."`` for an empty result (one-row probe), else None."""
+    return "No rows matched." if df.isEmpty() else None
+
+
 def summary(df: DataFrame, table: str) -> DataFrame:
     """One row ``table, total, columns``."""
     return df.agg(F.count(F.lit(1)).alias("total")).select(

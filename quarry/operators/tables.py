@@ -56,6 +56,14 @@ def normalise(df: DataFrame, nan_as_null: bool = False) -> DataFrame:
     return out.withColumns(fixes) if fixes else out
 
 
+class InvalidEnumValue(ValueError):
+    """F8: a filter value outside a column's canonical list."""
+
+    def __init__(self, column: str, allowed: list[str]):
+        self.column, self.allowed_values = column, allowed
+        super().__init__(f"Invalid {column} value; allowed values: {allowed}")
+
+
 @dataclass
 class Filter:
     column: str
@@ -67,10 +75,16 @@ class Filter:
 class Tables:
     """A catalogue of named DataFrames with the reference's table tools."""
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, enums: dict[str, list[str]] | None = None):
+        """``enums``: columns with a canonical value list (e.g. ``Status``).
+
+        A filter on such a column (exact column name) must use one of the
+        values (F8), and its distinct list is the canonical list (A5).
+        """
         self.spark = spark
         self._tables: dict[str, DataFrame] = {}
         self._roles: dict[str, str] = {}
+        self.enums = dict(enums or {})
 
     # ---- catalogue --------------------------------------------------------
     def register(self, name: str, df: DataFrame, role: str | None = None,
@@ -174,6 +188,8 @@ class Tables:
     def _filtered(self, table: str, filter_column: str | None, filter_value: str | None):
         t = self.resolve_table(table)
         df = self._tables[t]
+        if filter_column in self.enums and filter_value not in self.enums[filter_column]:
+            raise InvalidEnumValue(filter_column, sorted(self.enums[filter_column]))
         if filter_column and filter_value is not None:
             f = self.equality_filter(df, filter_column, filter_value)
             return t, df.where(f.predicate), f
@@ -218,7 +234,13 @@ class Tables:
 
     # ---- aggregates -------------------------------------------------------
     def distinct_values(self, table: str, column: str) -> DataFrame:
-        """A4: non-null values as text, distinct, sorted as strings."""
+        """A4: non-null values as text, distinct, sorted as strings.
+
+        A5: an enum column (exact name) lists its canonical values instead.
+        """
+        if column in self.enums:
+            return self.spark.createDataFrame([(v,) for v in sorted(self.enums[column])],
+                                              f"`{column}` string")
         df = self.table(table)
         col = resolve_name(column, df.columns, label="Column")[0]
         dtype = df.schema[col].dataType

@@ -121,6 +121,11 @@ def status_violations(spark, sf_dir) -> DataFrame:
     return Q.enum_violations(o, "Status", Q.STATUS_VALUES)
 
 
+def status_distinct(spark, sf_dir) -> DataFrame:
+    """A5: the canonical Status list with how many parts carry each value."""
+    return Q.enum_counts(obsolescence(spark, sf_dir), "Status", Q.STATUS_VALUES)
+
+
 def duplicate_keys(spark, sf_dir) -> DataFrame:
     return Q.duplicate_keys(_read(spark, sf_dir, "lineitem"), ["l_orderkey"])
 
@@ -165,6 +170,7 @@ QUERIES = {
     "request_status": request_status,
     "enum_violations": enum_violations,
     "status_violations": status_violations,
+    "status_distinct": status_distinct,
     "duplicate_keys": duplicate_keys,
     "sql_query": sql_query,
     "bulk_resolve": bulk_resolve,
@@ -234,6 +240,8 @@ ORACLE = {
     "status_violations": f"select Status, count(*) as n from (select case when Details is null then "
                          f"lower(Status) else Status end as Status from ({_OBSOLESCENCE})) "
                          f"where not list_contains({_STATUS_SQL}, Status) group by 1",
+    "status_distinct": f"select s.Status, count(o.Status) as n from (select unnest({_STATUS_SQL}) as Status) s "
+                       f"left join ({_OBSOLESCENCE}) o on o.Status = s.Status group by s.Status",
     "duplicate_keys": "select l_orderkey, count(*) as n from lineitem group by 1 having count(*) > 1",
     "sql_query": SQL_TEXT,
     "bulk_resolve": """

@@ -95,3 +95,27 @@ def test_duplicates_and_schema_diff(spark):
             Q.schema_diff(df.withColumn("Extra", F.lit(1)), Q.OBSOLESCENCE_COLUMNS).collect()}
     assert diff == {("Extra", "unexpected"), ("Status", "missing"), ("Details", "missing"),
                     ("ModelProcessedDate", "missing")}
+
+
+def test_tables_enum_rules(spark):
+    from quarry.operators.tables import InvalidEnumValue, Tables
+    t = Tables(spark, enums={"Status": Q.STATUS_VALUES})
+    t.register("obs", spark.createDataFrame([("P1", "No stock"), ("P2", "Open WorkOrder")],
+                                            "PartNumber string, Status string"))
+    assert t.count_rows("obs", "Status", "No stock").first().row_count == 1
+    with pytest.raises(InvalidEnumValue) as e:
+        t.get_rows("obs", "Status", "no stok")
+    assert e.value.allowed_values == sorted(Q.STATUS_VALUES)
+    assert t.get_rows("obs", "status", "no stok").count() == 1     # lower-case name: fuzzy path
+    assert t.distinct_values("obs", "Status").count() == 15
+    counts = {r.Status: r.n for r in Q.enum_counts(t.table("obs"), "Status", Q.STATUS_VALUES).collect()}
+    assert counts["No stock"] == 1 and counts["Sold in Past Two Years"] == 0 and len(counts) == 15
+
+
+def test_required_column_and_no_rows_message(spark):
+    from quarry.operators import extract as X
+    from quarry.operators.results import no_rows_message
+    with pytest.raises(KeyError, match="Available"):
+        X.extract_rules(spark.createDataFrame([(1,)], "id int"), "Comments")
+    assert no_rows_message(spark.range(0)) == "No rows matched."
+    assert no_rows_message(spark.range(1)) is None
