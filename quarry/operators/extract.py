@@ -311,6 +311,39 @@ def incremental(df: DataFrame, prior: DataFrame, run: Callable[[DataFrame], Data
     return base.join(results, "text_key", "left")
 
 
+def resumable(df: DataFrame, results_path: str, run: Callable[[DataFrame], DataFrame],
+              text_col: str = "Comments", buckets: int = 16) -> DataFrame:
+    """X11 at backlog scale: extract new texts in hash buckets, appending each
+    finished bucket to a results table, so a lost job resumes where it stopped.
+
+    ``results_path`` lives on shared storage.  Each bucket is one distributed
+    job (the loop runs over a fixed bucket count, never over data); texts
+    already in the table are skipped, so re-running is idempotent and never
+    pays for a model call twice.  Returns every input row joined to its result.
+    """
+    spark = df.sparkSession
+    outs = [n for n, _ in OUTPUT_COLUMNS]
+    schema = T.StructType([T.StructField("text_key", T.StringType())] +
+                          [T.StructField(n, T.DataType.fromDDL(t)) for n, t in OUTPUT_COLUMNS])
+
+    def done() -> DataFrame:
+        try:
+            return spark.read.schema(schema).parquet(results_path)
+        except Exception:  # noqa: BLE001 - no results yet
+            return spark.createDataFrame([], schema)
+
+    keyed = df.withColumn("text_key", text_key(text_col))
+    todo_all = (keyed.where(~TX.is_blank(text_col))
+                .groupBy("text_key").agg(F.min(text_col).alias(text_col)))
+    for b in range(buckets):
+        todo = (todo_all.where(F.pmod(F.xxhash64("text_key"), F.lit(buckets)) == b)
+                .join(done().select("text_key"), "text_key", "left_anti"))
+        res = run(todo).select("text_key", *outs)
+        res.write.mode("append").parquet(results_path)
+    base = keyed.drop(*[c for c in outs if c in keyed.columns])
+    return base.join(done(), "text_key", "left")
+
+
 def scores(pred: DataFrame, gold: DataFrame, key: str) -> DataFrame:
     """Precision / recall / F1 per field in one aggregate.
 

@@ -156,3 +156,20 @@ def test_plan_of_rule_extraction_has_one_python_stage(spark):
     plan = e._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "BatchEvalPython" not in plan
     assert F is not None
+
+
+def test_resumable_skips_finished_buckets(spark, scratch):
+    texts = [g[0] for g in GOLDEN] * 3 + ["  "]
+    df = _comments(spark, texts)
+    path = f"{scratch}/results"
+    seen = []
+
+    def run(todo):
+        seen.append(todo.count())
+        return X.extract_rules(todo)
+    out = X.resumable(df, path, run, buckets=4)
+    assert sum(seen) == 4 and out.count() == len(texts)
+    assert out.where("replacement_intent = 1").count() == 9
+    seen.clear()
+    again = X.resumable(df, path, run, buckets=4)      # a restart: nothing left to call
+    assert sum(seen) == 0 and again.count() == len(texts)
