@@ -5,9 +5,11 @@ data is range-partitioned on the order keys (sampled bounds split even a
 hot key prefix across tasks), sorted inside each partition, and numbered
 ``offset(partition) + position``.  Offsets come from one count per
 partition, a table with as many rows as partitions, so broadcasting it is
-bounded by construction.  The numbered data is checkpointed (reliable
-checkpoint in ``spark.checkpoint.dir``) so that every later use sees the
-same numbering even if an executor is lost and a stage is recomputed.
+bounded by construction.  The numbered data is written once as Parquet in
+the shared scratch folder (``spark.checkpoint.dir``) so that every later
+use sees the same numbering even if an executor is lost and a stage is
+recomputed.  The range count follows the optimizer's size estimate, so
+partitions stay near 128 MB as the data grows.
 """
 
 from __future__ import annotations
@@ -15,21 +17,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.session import ensure_checkpoint_dir
+from quarry.session import ensure_checkpoint_dir, estimated_partitions, materialize
 
 
 def with_ordinal(df: DataFrame, order: list[str | Column], name: str = "rn",
                  partitions: int | None = None, total: str | None = None) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    # as many ranges as input splits (~maxPartitionBytes each), at least the
-    # shuffle partition count: partition size stays flat as the data grows
-    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                          df.rdd.getNumPartitions())
-    numbered = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-                .withColumn("__pid", F.spark_partition_id())
-                .withColumn("__mid", F.monotonically_increasing_id())
-                .checkpoint(eager=True))
+    n = partitions or estimated_partitions(df)
+    numbered = materialize(df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+                           .withColumn("__pid", F.spark_partition_id())
+                           .withColumn("__mid", F.monotonically_increasing_id()), "ordinal")
     counts = numbered.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"),
                                            F.min("__mid").alias("__base"))
     before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)

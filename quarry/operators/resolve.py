@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.similarity import CUTOFF, NotFound, score
 from quarry.functions.values import as_text
-from quarry.session import ensure_checkpoint_dir
+from quarry.session import ensure_checkpoint_dir, materialize
 
 
 @dataclass
@@ -96,24 +96,24 @@ def bulk_resolve(needles: DataFrame, needle_col: str, dictionary: DataFrame,
        each cell emits only pairs that reach the cutoff, and a hash
        aggregate keeps the top-1 per needle.  No all-pairs output.
 
-    The two small intermediate tables are checkpointed (reliable, shared
-    ``spark.checkpoint.dir``) because each feeds two branches.
+    The two intermediate tables are written once to the shared scratch
+    folder (``spark.checkpoint.dir``) because each feeds two branches.
     """
     ensure_checkpoint_dir(needles.sparkSession)
     nd = needles.select(F.col(needle_col).cast("string").alias("needle")) \
         .where(F.col("needle").isNotNull()).distinct()
     dl = (dictionary.select(F.col(value_col).cast("string").alias("value"))
           .where(F.col("value").isNotNull())
-          .groupBy(F.lower("value").alias("lv")).agg(F.max("value").alias("canon"))
-          .checkpoint(eager=True))
+          .groupBy(F.lower("value").alias("lv")).agg(F.max("value").alias("canon")))
+    dl = materialize(dl, "resolve-dict")
     dv = dictionary.select(F.col(value_col).cast("string").alias("value"),
                            F.lower(F.col(value_col).cast("string")).alias("__lv")) \
         .where(F.col("value").isNotNull())
     first = (nd.join(dv, F.lower(nd["needle"]) == dv["__lv"], "left")
              .groupBy("needle")
              .agg(F.max(F.when(F.col("value") == F.col("needle"), F.col("value"))).alias("exact"),
-                  F.max("value").alias("case"))
-             .checkpoint(eager=True))
+                  F.max("value").alias("case")))
+    first = materialize(first, "resolve-first")
     found = first.where(F.col("case").isNotNull()).select(
         "needle", F.coalesce("exact", "case").alias("resolved"),
         F.when(F.col("exact").isNotNull(), F.lit("exact")).otherwise(F.lit("case")).alias("match_kind"),

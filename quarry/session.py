@@ -72,9 +72,39 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def materialize(df, name: str):
+    """Write ``df`` once as Parquet under the shared scratch folder and read it back.
+
+    Cuts lineage with a single computation (a reliable ``checkpoint()``
+    computes the plan twice unless it is cached first) and survives
+    executor loss: later stages read files, not lost shuffle blocks.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def estimated_partitions(df, target_bytes: int = 128 * 1024 * 1024, cap: int = 200_000) -> int:
+    """Partition count so each holds about ``target_bytes`` by the optimizer's
+    size estimate (no job runs), never below ``spark.sql.shuffle.partitions``."""
+    spark = df.sparkSession
+    floor = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        plan = df._jdf.queryExecution().optimizedPlan()
+        size = int(str(plan.stats().sizeInBytes()))
+        # join estimates multiply child sizes; never trust more than twice the inputs
+        leaves = plan.collectLeaves()
+        inputs = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.length()))
+        size = min(size, 2 * inputs) if inputs > 0 else size
+    except Exception:  # noqa: BLE001 - stats unavailable: fall back to the floor
+        return floor
+    return max(floor, min(cap, -(-size // target_bytes)))
+
+
 def local_path(p: str) -> str:
     """Strip a ``file:`` scheme for local filesystem operations in tests."""
     return p[5:] if p.startswith("file:") else p
 
 
-__all__ = ["build_session", "ensure_checkpoint_dir", "scratch_path", "local_path"]
+__all__ = ["build_session", "ensure_checkpoint_dir", "scratch_path", "local_path", "materialize",
+           "estimated_partitions"]
