@@ -74,9 +74,14 @@ def with_baseline_response(df: DataFrame, cleaned: str, out: str,
             .otherwise(F.lit(CONF_NO_CUE)))
     resp = F.struct(cue.isNotNull().alias("replacement_intent"), pairs.alias("replacement_pairs"),
                     rationale.alias("rationale"), conf.alias("confidence"))
-    if gate is not None:
-        resp = F.when(gate, resp)
-    return df.withColumn(out, resp).drop("__toks", "__cue")
+    # spark_partition_id() >= 0 always holds: a no-op that makes this
+    # projection nondeterministic (the optimizer cannot fold it away, unlike
+    # ``rand() < 2``), so a later filter on derived columns (intent, parts)
+    # is evaluated on the computed struct instead of being pushed below it
+    # and re-running the rules inside the filter.
+    barrier = F.spark_partition_id() >= 0
+    keep = barrier if gate is None else (barrier & gate)
+    return df.withColumn(out, F.when(keep, resp)).drop("__toks", "__cue")
 
 
 # ---- X2: parse a JSON response ----------------------------------------------
