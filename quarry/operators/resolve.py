@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +40,17 @@ def length_bound(la: Column, lb: Column, cutoff: float = CUTOFF) -> Column:
     return (F.least(la, lb) * 2.0) >= (la + lb) * F.lit(cutoff)
 
 
+def _histograms(texts: pd.Series, buckets: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Character-count histograms (code point mod ``buckets``) and lengths."""
+    h = np.zeros((len(texts), buckets), dtype=np.int32)
+    lens = np.zeros(len(texts), dtype=np.float64)
+    for i, t in enumerate(texts):
+        cps = np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32)
+        h[i] = np.bincount(cps % buckets, minlength=buckets)
+        lens[i] = len(cps)
+    return h, lens
+
+
 def _score_frame(needle_col: str, cand_col: str, cutoff: float):
     def run(batches):
         for pdf in batches:
@@ -48,22 +60,40 @@ def _score_frame(needle_col: str, cand_col: str, cutoff: float):
     return run
 
 
+# Case variants of one value are collected only when their (measured) count
+# is at most this; beyond it the filter compares lower-cased text instead.
+MAX_VARIANTS = 256
+
+
+def _variants(vals: DataFrame, low: str, n_var: int) -> list[str] | None:
+    if n_var == 0:
+        return []
+    if n_var > MAX_VARIANTS:
+        return None
+    return sorted(r["v"] for r in vals.where(F.lower("v") == F.lit(low)).distinct().collect())
+
+
 def resolve_value(df: DataFrame, column: str, needle: str,
                   cutoff: float = CUTOFF, label: str = "Value") -> Resolution:
-    """Resolve ``needle`` against the non-null text values of ``column``."""
+    """Resolve ``needle`` against the non-null text values of ``column``.
+
+    ``variants`` lists every spelling that lower-cases to the winner when
+    there are at most ``MAX_VARIANTS`` of them (the filter then becomes a
+    pushed-down ``IN``); it is None when there are more.
+    """
     dtype = df.schema[column].dataType
     v = as_text(F.col(column), dtype)
     vals = df.select(v.alias("v")).where(F.col("v").isNotNull())
     low = needle.lower()
+    hit = F.when(F.lower("v") == F.lit(low), F.col("v"))
     row = vals.agg(
         F.max(F.when(F.col("v") == F.lit(needle), F.lit(1))).alias("exact"),
-        F.collect_set(F.when(F.lower("v") == F.lit(low), F.col("v"))).alias("variants"),
-    ).first()
-    variants = sorted(row["variants"] or [])
-    if row["exact"]:
-        return Resolution(needle, "exact", 1.0, variants)
-    if variants:
-        return Resolution(variants[-1], "case", 1.0, variants)
+        F.count_distinct(hit).alias("n_var"), F.max(hit).alias("last")).first()
+    if row["exact"] or row["n_var"]:
+        variants = _variants(vals, low, row["n_var"])
+        if row["exact"]:
+            return Resolution(needle, "exact", 1.0, variants)
+        return Resolution(row["last"], "case", 1.0, variants)
 
     n = len(low)
     cands = (vals.select(F.lower("v").alias("cand")).distinct()
@@ -75,14 +105,15 @@ def resolve_value(df: DataFrame, column: str, needle: str,
     if best is None:
         sample = [r["v"] for r in vals.distinct().orderBy("v").limit(20).collect()]
         raise NotFound(f"{label} '{needle}' not found. Available (first 20): {sample}")
-    variants = sorted(r["v"] for r in vals.where(F.lower("v") == F.lit(best["cand"]))
-                      .distinct().limit(1000).collect())
-    return Resolution(variants[-1], "fuzzy", float(best["score"]), variants)
+    hit = F.when(F.lower("v") == F.lit(best["cand"]), F.col("v"))
+    row = vals.agg(F.count_distinct(hit).alias("n_var"), F.max(hit).alias("last")).first()
+    return Resolution(row["last"], "fuzzy", float(best["score"]),
+                      _variants(vals, best["cand"], row["n_var"]))
 
 
 def bulk_resolve(needles: DataFrame, needle_col: str, dictionary: DataFrame,
                  value_col: str, cutoff: float = CUTOFF,
-                 cell_rows: int = 20_000) -> DataFrame:
+                 cell_rows: int = 2_000) -> DataFrame:
     """Resolve many needles against one dictionary column.
 
     Output: ``needle, resolved, match_kind, score`` (NULL resolved = no match).
@@ -158,11 +189,22 @@ def _grid_length_join(rest: DataFrame, dl: DataFrame, cutoff: float,
 
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        for needle, low in zip(left["needle"], left["ln"]):
-            for lv, canon in zip(right["lv"], right["canon"]):
-                s = score(low, lv, cutoff)
-                if s is not None:
-                    rows.append((needle, low, lv, canon, s))
+        if len(left) == 0 or len(right) == 0:
+            return pd.DataFrame(rows, columns=["needle", "ln", "lv", "canon", "score"])
+        ha, la = _histograms(left["ln"])
+        hb, lb = _histograms(right["lv"])
+        lefts, rights = list(zip(left["needle"], left["ln"])), list(zip(right["lv"], right["canon"]))
+        # exact upper bound of the score from character counts (collisions only
+        # loosen it), evaluated as one numpy block per slice of needles
+        for start in range(0, len(lefts), 128):
+            inter = np.minimum(ha[start:start + 128, None, :], hb[None, :, :]).sum(axis=2)
+            bound = 2.0 * inter / (la[start:start + 128, None] + lb[None, :])
+            for i, j in zip(*np.nonzero(bound >= cutoff)):
+                needle, low = lefts[start + i]
+                lv, canon = rights[j]
+                sc = score(low, lv, cutoff)
+                if sc is not None:
+                    rows.append((needle, low, lv, canon, sc))
         return pd.DataFrame(rows, columns=["needle", "ln", "lv", "canon", "score"])
 
     keys = ["len", "nb", "cb"]

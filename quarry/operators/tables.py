@@ -179,8 +179,8 @@ class Tables:
                 lhs = c.cast("double") if isinstance(dtype, T.BooleanType) else c
                 return Filter(col, value, lhs == F.lit(num), None)
         res = resolve_value(df, col, value)
-        if isinstance(dtype, T.StringType):
-            pred = c.isin(res.variants) if res.variants else c == F.lit(res.value)
+        if isinstance(dtype, T.StringType) and res.variants:
+            pred = c.isin(res.variants)
         else:
             pred = F.lower(as_text(c, dtype)) == F.lit(res.value.lower())
         return Filter(col, res.value, pred, res)

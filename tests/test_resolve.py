@@ -102,3 +102,24 @@ def test_bulk_resolve_grid_matches_difflib(spark):
             m = difflib.get_close_matches(x, words, n=1, cutoff=0.6)
             exp = m[0] if m else None
         assert got[x] == exp, x
+
+
+def test_many_case_variants_fall_back_to_lower_predicate(spark, monkeypatch):
+    import quarry.operators.resolve as R
+    from quarry.operators.tables import Tables
+    monkeypatch.setattr(R, "MAX_VARIANTS", 2)
+    t = Tables(spark)
+    t.register("v", spark.createDataFrame([("Asia",), ("ASIA",), ("asia",), ("Europe",)], "r string"))
+    r = R.resolve_value(t.table("v"), "r", "aSiA")
+    assert r.kind == "case" and r.variants is None
+    assert t.count_rows("v", "r", "aSiA").first().row_count == 3
+
+
+def test_bulk_resolve_unicode(spark):
+    d = spark.createDataFrame([("Müller",), ("Straße",), ("café",)], "v string")
+    n = spark.createDataFrame([("muller",), ("strase",), ("cafe",), ("zzzz",)], "n string")
+    got = {r.needle: r.resolved for r in bulk_resolve(n, "n", d, "v", cell_rows=1).collect()}
+    for x in ["muller", "strase", "cafe", "zzzz"]:
+        m = difflib.get_close_matches(x, ["müller", "straße", "café"], n=1, cutoff=0.6)
+        exp = {"müller": "Müller", "straße": "Straße", "café": "café"}[m[0]] if m else None
+        assert got[x] == exp
