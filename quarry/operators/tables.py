@@ -268,10 +268,15 @@ class Tables:
         return agg.share(self.table(table), predicate)
 
 
-def load_tables(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -> Tables:
-    """Register the parquet tables of one directory (one file per table)."""
+def load_tables(spark: SparkSession, sf_dir: str, names: list[str] | None = None,
+                views: bool = False) -> Tables:
+    """Register the parquet tables of one directory (one file per table).
+
+    Session temp views are only created on request, so loading never
+    replaces views the caller already has.
+    """
     from quarry.sources.files import TABLES
     t = Tables(spark)
     for n in names or TABLES:
-        t.register(n, spark.read.parquet(f"{sf_dir}/{n}.parquet"), role="supplemental")
+        t.register(n, spark.read.parquet(f"{sf_dir}/{n}.parquet"), role="supplemental", view=views)
     return t
