@@ -181,7 +181,7 @@ ORACLE = {
     "clean_comments": f"select id, {_CLEAN_C.replace('{c}', 'Comments')} as cleaned, "
                       f"'TEXT:' || chr(10) || {_CLEAN_C.replace('{c}', 'Comments')} as payload from ({COMMENTS_SQL})",
     "part_tokens": f"select id, array_to_string(regexp_extract_all(Comments, {_TOK}, 1), ' ') as tokens, "
-                   f"len(regexp_extract_all(Comments, {_TOK}, 1)) as n_tokens from ({COMMENTS_SQL})",
+                   f"cast(len(regexp_extract_all(Comments, {_TOK}, 1)) as integer) as n_tokens from ({COMMENTS_SQL})",
     "extract_flat": _EXTRACTED,
     "extract_parsed": _EXTRACTED,
     "extract_pairs": f"select id, 1 as pair_no, old_part, new_part, cue_phrase from ({_EXTRACTED}) "

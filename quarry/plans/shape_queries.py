@@ -133,7 +133,8 @@ def duplicate_keys(spark, sf_dir) -> DataFrame:
 SQL_TEXT = """
 select c.c_mktsegment, o.o_orderpriority, count(*) as n_orders,
        round(sum(o.o_totalprice), 2) as revenue,
-       rank() over (partition by c.c_mktsegment order by count(*) desc, o.o_orderpriority) as rnk
+       cast(rank() over (partition by c.c_mktsegment order by count(*) desc, o.o_orderpriority)
+            as bigint) as rnk
 from orders o join customer c on o.o_custkey = c.c_custkey
 group by c.c_mktsegment, o.o_orderpriority
 """
