@@ -104,11 +104,13 @@ def part_universe_check(spark, sf_dir) -> DataFrame:
 
 
 def incremental_extract(spark, sf_dir) -> DataFrame:
-    """X11: comments of odd ids were extracted by an earlier run."""
+    """X11: an earlier run already extracted the comments of small parts
+    (``p_size <= 25``); only the rest may reach the extractor."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    earlier = part.where(F.col("p_size") <= 25).selectExpr("p_partkey as id", f"{COMMENT_CASE} as Comments")
+    prior = X.extract_rules(earlier.where(~TX.is_blank("Comments"))) \
+        .withColumn("text_key", X.text_key("Comments")).dropDuplicates(["text_key"])
     c = comments(spark, sf_dir)
-    done = c.where((F.col("id") % 2 == 1) & ~TX.is_blank("Comments"))
-    prior = X.extract_rules(done).withColumn("text_key", X.text_key("Comments")) \
-        .dropDuplicates(["text_key"])
     out = X.incremental(c, prior, X.extract_rules)
     return out.select("id", "replacement_intent", "old_part", "new_part", "reused")
 
@@ -199,8 +201,9 @@ ORACLE = {
     "part_universe_check": f"select id, old_part, new_part, true as old_known, "
                            f"(select p_size from part where p_partkey = e.id) <= 25 as new_known "
                            f"from ({_EXTRACTED}) e where replacement_intent = 1",
-    "incremental_extract": f"select id, replacement_intent, old_part, new_part, "
-                           f"case when {_M} = 4 then null else id % 2 = 1 end as reused from ({_EXTRACTED})",
+    "incremental_extract": f"select e.id, replacement_intent, old_part, new_part, "
+                           f"case when {_M} = 4 then null else p.p_size <= 25 end as reused "
+                           f"from ({_EXTRACTED}) e join part p on p.p_partkey = e.id",
     "extraction_scores": f"""
         with j as (select id, replacement_intent, old_part, new_part from ({_EXTRACTED}) where {_M} <> 4)
         select field, tp, fp, fn, round(tp / (tp + fp), 4) as precision, round(tp / (tp + fn), 4) as recall,
