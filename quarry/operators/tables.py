@@ -130,7 +130,7 @@ class Tables:
         """M1 re-aimed: per column rows, nulls and approximate distinct count.
 
         One aggregate job per table (single scan, partial aggregation), the
-        wide result unpivoted with ``stack`` and the tables unioned.
+        wide row unpivoted by exploding one struct per column, tables unioned.
         """
         parts = []
         for name in (tables or list(self._tables)):
@@ -146,13 +146,15 @@ class Tables:
                     exprs.append((F.approx_count_distinct(c) if atomic
                                   else F.lit(None).cast("long")).alias(f"d{i}"))
             wide = df.agg(*exprs)
-            stack_args = ", ".join(
-                f"'{f.name}', '{f.dataType.simpleString()}', {i + 1}, n{i}, "
-                + (f"d{i}" if approx else "cast(null as bigint)")
-                for i, f in enumerate(fields))
-            long = wide.selectExpr(
-                "__rows",
-                f"stack({len(fields)}, {stack_args}) as (column_name, data_type, ordinal, non_null, approx_distinct)")
+            # unpivot the one wide row: one struct per column, exploded
+            cells = F.array(*[
+                F.struct(F.lit(f.name).alias("column_name"),
+                         F.lit(f.dataType.simpleString()).alias("data_type"),
+                         F.lit(i + 1).alias("ordinal"),
+                         F.col(f"n{i}").alias("non_null"),
+                         (F.col(f"d{i}") if approx else F.lit(None).cast("long")).alias("approx_distinct"))
+                for i, f in enumerate(fields)])
+            long = wide.select("__rows", F.explode(cells).alias("c")).select("__rows", "c.*")
             parts.append(long.select(
                 F.lit(t).alias("table_name"), F.lit(self._roles[t]).alias("role"),
                 "column_name", "data_type", F.col("ordinal").cast("int").alias("ordinal"),
