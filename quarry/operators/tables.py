@@ -229,10 +229,11 @@ class Tables:
         return df.where(expr)
 
     def contains(self, table: str, column: str, needle: str) -> DataFrame:
-        """substring filter; NULL cells never match."""
+        """substring filter; NULL cells never match (a NULL predicate drops
+        the row), and the plain predicate reaches the scan as StringContains."""
         df = self.table(table)
         col = resolve_name(column, df.columns, label="Column")[0]
-        return df.where(F.coalesce(F.col(f"`{col}`").contains(needle), F.lit(False)))
+        return df.where(F.col(f"`{col}`").contains(needle))
 
     # ---- aggregates -------------------------------------------------------
     def distinct_values(self, table: str, column: str) -> DataFrame:
