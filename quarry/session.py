@@ -7,8 +7,11 @@ folder; we only invent one for local masters (tests, bench).
 
 from __future__ import annotations
 
+import hashlib
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -40,9 +43,33 @@ def build_session(master: str | None = None, app: str = "quarry",
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's modules to the executors, once per Spark context.
+
+    Needed where the package is only on the driver's path; a package that is
+    itself loaded from an archive is taken to be installed everywhere.
+    """
+    sc = spark.sparkContext
+    root = os.path.dirname(os.path.abspath(__file__))
+    if getattr(sc, "_quarry_shipped", False) or not os.path.isdir(root):
+        return
+    files = sorted(os.path.join(d, f) for d, _, names in os.walk(root) for f in names if f.endswith(".py"))
+    digest = hashlib.md5()
+    for f in files:
+        with open(f, "rb") as src:
+            digest.update(src.read())
+    path = os.path.join(tempfile.mkdtemp(prefix="quarry-code-"), f"quarry-{digest.hexdigest()[:12]}.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for f in files:
+            z.write(f, os.path.relpath(f, os.path.dirname(root)))
+    sc.addPyFile(path)
+    sc._quarry_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, registering it with the context.
 
@@ -106,5 +133,5 @@ def local_path(p: str) -> str:
     return p[5:] if p.startswith("file:") else p
 
 
-__all__ = ["build_session", "ensure_checkpoint_dir", "scratch_path", "local_path", "materialize",
+__all__ = ["build_session", "ship_package", "ensure_checkpoint_dir", "scratch_path", "local_path", "materialize",
            "estimated_partitions"]
