@@ -10,6 +10,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Text bytes that one task works on at a time (a longer text stands alone).
 SLICE_BYTES = 4 << 20
@@ -54,3 +56,37 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+#: Bits of a membership filter: 1,024 broadcast rows of 4 KB at most, whatever the data's size.
+FILTER_BITS = 1 << 25
+
+
+def _maybe(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """``rows`` with ``__maybe``: false only where the id is certainly not in ``ids``.
+
+    A bitmap of id hashes, built by aggregation and broadcast; its size is fixed
+    by FILTER_BITS.  With far more ids than bits it says true for every row and
+    the caller's join moves all rows, as it would without the filter.
+    """
+    slot = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(FILTER_BITS))
+    bits = (ids.select(slot.alias("__slot"))
+            .groupBy(F.bitmap_bucket_number("__slot").alias("__bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("__slot")).alias("__bits")))
+    byte = F.conv(F.hex(F.expr("substring(__bits, CAST(bitmap_bit_position(__slot) DIV 8 AS INT) + 1, 1)")), 16, 10)
+    hit = F.coalesce(byte.cast("int").bitwiseAND(F.expr("shiftleft(1, CAST(bitmap_bit_position(__slot) % 8 AS INT))")) > 0,
+                     F.lit(False))
+    return (rows.withColumn("__slot", slot)
+            .join(F.broadcast(bits), F.expr("bitmap_bucket_number(__slot) = __bucket"), "left")
+            .withColumn("__maybe", hit).drop("__slot", "__bucket", "__bits"))
+
+
+def members(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows whose id may be in ``ids`` (a single column of that name): all that are, and few others."""
+    return _maybe(rows, column, ids).where("__maybe").drop("__maybe")
+
+
+def split_members(rows: DataFrame, column: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose id may be in ``ids``, rows whose id is certainly not)."""
+    marked = _maybe(rows, column, ids)
+    return marked.where("__maybe").drop("__maybe"), marked.where("NOT __maybe").drop("__maybe")

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import table
+from quarry.llm.common import members, split_members, table
 from quarry.session import materialize
 
 GRAM = 3            # lines hashed together
@@ -46,6 +46,11 @@ def _lines(text: str = "__text"):
     return F.split(F.expr(_MARKED.replace("__text", text)), CUT)
 
 
+def _once(expr: str) -> str:
+    """An array expression that the optimizer may not copy into filters above it (it would run again there)."""
+    return f"if(spark_partition_id() >= 0, {expr}, null)"
+
+
 def line_table(docs: DataFrame) -> DataFrame:
     """(id, th, h, w): document id, text hash, hash and words of every line; one row per input row."""
     trimmed = F.transform(_lines(), lambda u: F.btrim(u, F.lit(" \t\r\n\u0001")))
@@ -57,74 +62,84 @@ def line_table(docs: DataFrame) -> DataFrame:
             .select("id", "th", F.col("x.h").alias("h"), F.col("x.w").alias("w")))
 
 
-def _with_grams(lines: DataFrame, gram: int) -> DataFrame:
-    """Adds ``g``: struct(key, back) per line gram, ``back`` = minus its position (ties go right)."""
+def _with_grams(lines: DataFrame, gram: int, long_line: int) -> DataFrame:
+    """Adds ``g``: struct(key, back) per line gram, and ``l`` the same per long line; ``back`` is minus the place."""
     shifted = ", ".join(_SHIFT.format(a="h", k=k) for k in range(gram))
     fields = ", ".join(f"x.`{k}`" for k in range(gram))
-    return lines.withColumn("g", F.expr(
+    return (lines.withColumn("g", F.expr(_once(
         f"transform(slice(arrays_zip({shifted}), 1, greatest(size(h) - {gram - 1}, 0)),"
-        f" (x, i) -> named_struct('key', xxhash64({fields}), 'back', -i))"))
+        f" (x, i) -> named_struct('key', xxhash64({fields}), 'back', -i))")))
+        .withColumn("l", F.expr(_once(
+            f"transform(filter(arrays_zip(h, w, sequence(0, size(h) - 1)), x -> x.w >= {long_line}),"
+            " x -> named_struct('key', xxhash64(x.h), 'back', -x.`2`))"))))
+
+
+#: of an array of struct(key, back): its entries in key order, each with whether it is the key's first place
+_RANKED = ("zip_with(array_sort(transform({a}, x -> named_struct('key', x.key, 'pos', -x.back))),"
+           " concat(array(null), slice(array_sort(transform({a}, x -> named_struct('key', x.key, 'pos', -x.back))), 1,"
+           " greatest(size({a}) - 1, 0))), (x, y) -> named_struct('key', x.key, 'pos', x.pos,"
+           " 'again', coalesce(x.key = y.key, false)))")
 
 
 def fingerprints(lines: DataFrame, gram: int = GRAM, window: int = WINDOW, long_line: int = LONG_LINE) -> DataFrame:
-    """(key, id, th, pos): the selected fingerprints, each once per document at its first place."""
+    """(key, id, pos): the selected fingerprints, each once per row at its first place."""
     shifted = ", ".join(_SHIFT.format(a="g", k=k) for k in range(window))
     least = ", ".join(f"x.`{k}`" for k in range(window))
     least = f"least({least})" if window > 1 else least
-    picked = F.expr(f"transform(slice(arrays_zip({shifted}), 1, greatest(size(g) - {window - 1}, least(size(g), 1))),"
-                    f" x -> {least})")
-    alone = F.expr(f"transform(filter(arrays_zip(h, w, sequence(0, size(h) - 1)), x -> x.w >= {long_line}),"
-                   " x -> named_struct('key', xxhash64(x.h), 'back', -x.`2`))")
-    return (_with_grams(lines, gram).select("id", "th", F.explode(F.concat(picked, alone)).alias("f"))
-            .select(F.col("f.key").alias("key"), "id", "th", (-F.col("f.back")).alias("pos"))
-            .groupBy("key", "id", "th").agg(F.min("pos").alias("pos")))
+    picked = (f"transform(slice(arrays_zip({shifted}), 1, greatest(size(g) - {window - 1}, least(size(g), 1))),"
+              f" x -> {least})")
+    return (_with_grams(lines, gram, long_line)
+            .select("id", F.expr(_once(f"array_distinct(concat({picked}, l))")).alias("p"))
+            .select("id", F.expr(_once(_RANKED.format(a="p"))).alias("p"))
+            .select("id", F.explode("p").alias("f")).where("NOT f.again")
+            .select(F.col("f.key").alias("key"), "id", F.col("f.pos").alias("pos")))
 
 
-def _runs(breaks: str, min_words: int) -> str:
-    """Between consecutive breaks lie runs; those of enough words, as (first, last)."""
-    return (f"filter(zip_with(slice({breaks}, 1, size({breaks}) - 1), slice({breaks}, 2, size({breaks}) - 1),"
-            " (a, b) -> named_struct('first', a + 1, 'last', b - 1)),"
-            f" r -> r.last >= r.first AND aggregate(slice(w, r.first + 1, r.last - r.first + 1), 0,"
-            f" (s, x) -> s + x) >= {min_words})")
+def _runs(min_words: int) -> str:
+    """Between consecutive ``breaks`` lie runs; those of enough words, as (first, last)."""
+    return _once("filter(zip_with(slice(breaks, 1, size(breaks) - 1), slice(breaks, 2, size(breaks) - 1),"
+                 " (a, b) -> named_struct('first', a + 1, 'last', b - 1)),"
+                 " r -> r.last >= r.first AND aggregate(slice(w, r.first + 1, r.last - r.first + 1), 0,"
+                 f" (s, x) -> s + x) >= {min_words})")
 
 
 def _inner_runs(lines: DataFrame, gram: int, long_line: int, min_words: int) -> DataFrame:
     """Runs inside one document whose line grams (or long lines) occurred earlier in it."""
-    later = ("transform(filter(zip_with({a}, concat(array(null), slice({a}, 1, greatest(size({a}) - 1, 0))),"
-             " (x, y) -> named_struct('pos', x.pos, 'again', x.key <=> y.key)), x -> x.again), x -> x.pos)")
-    keyed = (_with_grams(lines, gram)
-             .withColumn("gs", F.expr("array_sort(transform(g, x -> named_struct('key', x.key, 'pos', -x.back)))"))
-             .withColumn("ls", F.expr("array_sort(transform(filter(arrays_zip(h, w, sequence(0, size(h) - 1)),"
-                                      f" x -> x.w >= {long_line}), x -> named_struct('key', x.h, 'pos', x.`2`)))")))
-    hit = (keyed.select("id", "th", "h", "w", F.expr(later.format(a="gs")).alias("gp"),
-                        F.expr(later.format(a="ls")).alias("lp"))
-           .where("size(gp) + size(lp) > 0")
-           .withColumn("hit", F.expr(f"array_union(flatten(transform(gp, p -> sequence(p, p + {gram - 1}))), lp)"))
-           .withColumn("breaks", F.expr("concat(array(-1), array_except(sequence(0, size(h) - 1), hit),"
-                                        " array(size(h)))")))
-    return hit.select("id", "th", F.expr(_runs("breaks", min_words)).alias("runs")).where("size(runs) > 0")
+    again = "transform(filter({a}, x -> x.again), x -> x.pos)"
+    return (_with_grams(lines, gram, long_line)
+            .select("id", "th", "h", "w", F.expr(_once(_RANKED.format(a="g"))).alias("g"),
+                    F.expr(_once(_RANKED.format(a="l"))).alias("l"))
+            .withColumn("hit", F.expr(_once(f"array_union(flatten(transform({again.format(a='g')},"
+                                            f" p -> sequence(p, p + {gram - 1}))), {again.format(a='l')})")))
+            .where("size(hit) > 0")
+            .withColumn("breaks", F.expr(_once("concat(array(-1), array_except(sequence(0, size(h) - 1), hit),"
+                                               " array(size(h)))")))
+            .select("id", "th", F.expr(_runs(min_words)).alias("runs")).where("size(runs) > 0"))
 
 
 def repeated_runs(lines: DataFrame, gram: int = GRAM, window: int = WINDOW, long_line: int = LONG_LINE,
                   min_words: int = MIN_WORDS) -> DataFrame:
     """(id, th, runs): the line runs to delete, as arrays of (first, last), one row per document that has any."""
     marks = fingerprints(lines, gram, window, long_line)
-    first = (marks.groupBy("key").agg(F.min(F.struct("id", "th", "pos")).alias("src"), F.count("*").alias("n"))
-             .where("n > 1").select("key", "src"))
-    diagonals = (marks.join(first, "key")
-                 .where("struct(id, th) > struct(src.id, src.th)")
-                 .select("id", "th", F.col("src.id").alias("sid"), F.col("src.th").alias("sth"),
-                         (F.col("src.pos") - F.col("pos")).alias("shift"))
-                 .distinct())
-    source = lines.select(F.col("id").alias("sid"), F.col("th").alias("sth"), F.col("h").alias("sh")) \
-        .dropDuplicates(["sid", "sth"])
-    laid = (diagonals.join(source, ["sid", "sth"]).join(lines.dropDuplicates(["id", "th"]), ["id", "th"])
-            .withColumn("other", F.expr("CASE WHEN shift >= 0 THEN slice(sh, shift + 1, greatest(size(sh) - shift, 0))"
-                                        " ELSE concat(array_repeat(CAST(null AS bigint), -shift), sh) END"))
-            .withColumn("apart", F.expr("array_compact(transform(slice(zip_with(h, other, (a, b) -> coalesce(a = b,"
-                                        " false)), 1, size(h)), (same, i) -> if(same, null, i)))"))
-            .withColumn("breaks", F.expr("concat(array(-1), apart, array(size(h)))"))
-            .select("id", "th", F.expr(_runs("breaks", min_words)).alias("runs")).where("size(runs) > 0"))
+    twice = marks.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    marks = materialize(marks.join(twice, "key"), "repeated-fingerprints")
+    first = marks.groupBy("key").agg(F.min(F.struct("id", "pos")).alias("src"))
+    diagonals = materialize(
+        marks.join(first, "key").where("id > src.id")
+        .select("id", F.col("src.id").alias("sid"), (F.col("src.pos") - F.col("pos")).alias("shift")).distinct(),
+        "diagonals")
+    # only documents on a diagonal are moved
+    source = lines.select(F.col("id").alias("sid"), F.col("h").alias("sh"))
+    source = members(source, "sid", diagonals.select("sid"))
+    own = members(lines, "id", diagonals.select("id"))
+    laid = (diagonals.join(source, "sid").join(own, "id")
+            .withColumn("other", F.expr(_once(
+                "CASE WHEN shift >= 0 THEN slice(sh, shift + 1, greatest(size(sh) - shift, 0))"
+                " ELSE concat(array_repeat(CAST(null AS bigint), -shift), sh) END")))
+            .withColumn("breaks", F.expr(_once(
+                "concat(array(-1), array_compact(transform(slice(zip_with(h, other, (a, b) -> coalesce(a = b, false)),"
+                " 1, size(h)), (same, i) -> if(same, null, i))), array(size(h)))")))
+            .select("id", "th", F.expr(_runs(min_words)).alias("runs")).where("size(runs) > 0"))
     every = laid.unionByName(_inner_runs(lines, gram, long_line, min_words))
     return every.groupBy("id", "th").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"))
 
@@ -133,9 +148,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 window: int = WINDOW, long_line: int = LONG_LINE, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the text cut and three columns added: n_lines, n_removed, removed_words.
 
-    Documents are ordered by id (texts that share an id, by their hash); the
-    earliest occurrence of a run stays.  Rows with equal id and text are one
-    document and are cut alike.  Null ids and null texts pass unchanged with
+    Documents are ordered by id and the earliest occurrence of a run stays.
+    Rows that share an id are never cut against each other.  Null ids and null texts pass unchanged with
     zeros; an empty text has one blank line.  Columns of ``docs`` named like the
     added ones are replaced, all others pass through.  U+0001 ends a line and is
     dropped from a text that is cut.
@@ -146,8 +160,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = materialize(line_table(rows.select("__id", "__text")), "lines")
     runs = materialize(repeated_runs(lines, gram, window, long_line, min_words), "line-runs") \
         .withColumnsRenamed({"id": "__rid", "th": "__rth", "runs": "__runs"})
-    joined = rows.withColumn("__th", F.xxhash64("__text")).join(
+    # texts that cannot be cut stay where they are
+    cuttable, rest_rows = split_members(rows, "__id", runs.select(F.col("__rid").alias("__id")))
+    joined = cuttable.withColumn("__th", F.xxhash64("__text")).join(
         runs, (F.col("__id") == F.col("__rid")) & (F.col("__th") == F.col("__rth")), "left")
+    joined = joined.select(*rows.columns, "__runs").unionByName(
+        rest_rows.select(*rows.columns, F.lit(None).cast(runs.schema["__runs"].dataType).alias("__runs")))
     gone = "exists(__runs, r -> i BETWEEN r.first AND r.last)"
     cut = (joined.withColumn("__u", _lines())
            .withColumn("__gone", F.expr(f"CASE WHEN __runs IS NOT NULL THEN filter(__u, (u, i) -> {gone}) END"))
