@@ -19,8 +19,11 @@ From keys to links, without writing out all pairs of a group:
 2. star: each class meets the smallest class of each of its buckets, and the
    confirmed links give components;
 3. a pair of one bucket still matters only if its classes are in different
-   components; exactly those pairs are formed;
-4. every link is confirmed on the full shingle sets, cut again from the texts.
+   components; in buckets of up to ``PAIRED`` classes those pairs are formed;
+4. larger buckets take the root of their largest component as centre, and two
+   members meet only over a rare shingle in which both differ from it, which
+   finds every link of the group (``_around_centres`` has the proof);
+5. every link is confirmed on the full shingle sets, cut again from the texts.
 
 Joins on keys, centres and classes are sort-merge joins that adaptive execution
 splits where a key is hot.  Components come from alternating star contractions
@@ -36,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import mix64, slices, table, word_ids
@@ -44,6 +47,7 @@ from quarry.session import materialize
 
 SYMBOLS, CHUNK, ERRORS = 50, 5, 1
 FAR = 25            # signatures that differ in more symbols are not compared (J = 0.8: probability 1e-6)
+PAIRED = 24         # buckets up to this size have their open pairs formed directly
 LANES = -(-SYMBOLS // 4)
 _U = np.uint64
 
@@ -257,17 +261,91 @@ def _links(rows: DataFrame, reps: DataFrame, n: int, num: int, den: int) -> Data
     tested = materialize(star, "star")
     links = materialize(_confirm(tested, texts, n, num, den), "links")
 
-    # pairs of one bucket that are not connected yet
+    # buckets whose classes are not connected yet
     comps = components(links)
-    placed = (members.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp")))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    open_ = materialize(placed.join(mixed.select("key"), "key", "left_semi").join(sign, "node"), "open-buckets")
+    placed = materialize(members.join(comps, "node", "left")
+                         .select("key", "node", F.coalesce("comp", "node").alias("comp")), "placed")
+    mixed = (placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
+             .groupBy("key").agg(F.sum("n").alias("size"), F.count("*").alias("comps"),
+                                 F.max(F.struct("n", "comp")).alias("main")).where("comps > 1"))
+    small = mixed.where(F.col("size") <= PAIRED).select("key")
+    open_ = materialize(placed.join(small, "key", "left_semi").join(sign, "node"), "open-buckets")
     pair = (open_.alias("x").join(open_.alias("y"), (F.col("x.key") == F.col("y.key"))
                                   & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
                                   & F.expr(_near("x", "y", num, den)))
             .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
             .join(tested, ["a", "b"], "left_anti"))
-    return links.unionByName(materialize(_confirm(pair, texts, n, num, den), "links"))
+    found = materialize(_confirm(pair, texts, n, num, den), "links")
+    large = (placed.join(mixed.where(F.col("size") > PAIRED).select("key", F.col("main.comp").alias("centre")), "key")
+             .select("centre", "node", "comp").distinct())
+    return links.unionByName(found).unionByName(_around_centres(large, texts, n, num, den))
+
+
+def _differences(groups: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """Adds to (centre, node, comp): size, centre_size and diff, the shingles in one of the two sets only."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 3, 1 << 20):
+            size = part.num_rows
+            sets = [shingles(part.column(k), n) for k in (3, 4)]
+            count = [np.bincount(r, minlength=size).astype(np.int64) for _, r in sets]
+            value = np.concatenate([v for v, _ in sets])
+            row = np.concatenate([r for _, r in sets])
+            order = np.lexsort((value, row))
+            value, row = value[order], row[order]
+            same = np.r_[False, (value[1:] == value[:-1]) & (row[1:] == row[:-1])]
+            alone = ~same & ~np.r_[same[1:], False]
+            ends = np.r_[0, np.cumsum(np.bincount(row[alone], minlength=size))]
+            diff = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(value[alone].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(count[1]),
+                                              pa.array(count[0]), diff],
+                                             ["centre", "node", "comp", "size", "centre_size", "diff"])
+
+    centre = texts.select(F.col("node").alias("centre"), F.col("text").alias("tc"))
+    return (groups.join(centre, "centre").join(texts, "node").select("centre", "node", "comp", "tc", "text")
+            .mapInArrow(run, "centre long, node long, comp long, size long, centre_size long, diff array<long>"))
+
+
+def _around_centres(groups: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """All links across components inside groups that hold many members of one component.
+
+    With D(x) the symmetric difference of x and the centre, |x ^ y| =
+    |D(x)| + |D(y)| - 2 |D(x) n D(y)|, and x, y are linked iff |x ^ y| is at most
+    r (|x| + |y|), r = (den - num) / (den + num).  Let y be any member and x one
+    that is not linked to the centre, so |D(x)| > r (|x| + |centre|); one of any
+    two members of different components is like that.  A link then needs
+    |D(x) n D(y)| > (1 - r) / 2 |D(y)|: of y's rarest |D(y)| - floor((1 - r) / 2
+    |D(y)|) differences at least one is a difference of x too.  So x meets y only
+    over a shared, rare difference; a group of copies costs its differences, not
+    its pairs.
+    """
+    d = materialize(_differences(groups, texts, n), "differences")
+    sizes = "CAST(size({a}.diff) AS bigint)"
+    link = "{den} * (x.size + y.size - {delta}) >= {num} * (x.size + y.size + {delta})"
+    near_centre = d.where(f"node <> centre AND {den} * (size + centre_size - size(diff)) >="
+                          f" {num} * (size + centre_size + size(diff))") \
+        .select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    # a component is named by its root, so the centre's component is the centre
+    part = d.select("centre", "node", "comp", "size", F.size("diff").cast("long").alias("nd"),
+                    (F.col("comp") != F.col("centre")).alias("outside"), "diff")
+    element = materialize(part.withColumn("el", F.explode("diff")).drop("diff"), "difference-elements")
+    rare = element.groupBy("centre", "el").agg(F.count("*").alias("f"))
+    rank = F.row_number().over(Window.partitionBy("centre", "node").orderBy("f", "el"))
+    # (1 - r) / 2 = num / (den + num)
+    prefix = (element.join(rare, ["centre", "el"]).withColumn("k", rank)
+              .where(f"k <= nd - floor(nd * {num} / {den + num})"))
+    x, y = element.where("outside").alias("x"), prefix.alias("y")
+    # the sizes alone bound the distance from below: | |D(x)| - |D(y)| |
+    least = "abs(x.nd - y.nd)"
+    met = (x.join(y, (F.col("x.centre") == F.col("y.centre")) & (F.col("x.el") == F.col("y.el"))
+                  & (F.col("x.comp") != F.col("y.comp")) & F.expr(link.format(den=den, num=num, delta=least)))
+           .select(F.col("x.centre").alias("centre"), F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+    left = d.select("centre", F.col("node").alias("a"), "size", "diff").alias("x")
+    right = d.select("centre", F.col("node").alias("b"), "size", "diff").alias("y")
+    both = (met.alias("m").join(left, (F.col("m.centre") == F.col("x.centre")) & (F.col("m.a") == F.col("x.a")))
+            .join(right, (F.col("m.centre") == F.col("y.centre")) & (F.col("m.b") == F.col("y.b"))))
+    delta = f"({sizes.format(a='x')} + {sizes.format(a='y')} - 2 * size(array_intersect(x.diff, y.diff)))"
+    exact = both.where(link.format(den=den, num=num, delta=delta)).select(F.col("m.a").alias("a"), F.col("m.b").alias("b"))
+    return near_centre.unionByName(exact)
 
 
 def op7_hamming_minhash(spark, sf_dir: str) -> DataFrame:
