@@ -42,6 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.llm.common import members as members_of
 from quarry.llm.common import mix64, slices, table, word_ids
 from quarry.session import materialize
 
@@ -246,7 +247,8 @@ def _links(rows: DataFrame, reps: DataFrame, n: int, num: int, den: int) -> Data
     nodes = members.select("node").distinct()
     near = materialize(reps.join(nodes, "node", "left_semi"), "candidates")
     texts = materialize(
-        rows.select(F.col("id").alias("rep"), F.xxhash64("text").alias("th"), "text")
+        members_of(rows, "id", near.select(F.col("rep").alias("id")))      # other texts are not moved
+        .select(F.col("id").alias("rep"), F.xxhash64("text").alias("th"), "text")
         .join(near.select("node", "rep", "th"), ["rep", "th"]).select("node", "text").dropDuplicates(["node"]),
         "candidate-texts")
     sign = near.select("node", "n_shingles", *_LANE_COLS)
@@ -313,10 +315,11 @@ def _around_centres(groups: DataFrame, texts: DataFrame, n: int, num: int, den:
     r (|x| + |y|), r = (den - num) / (den + num).  Let y be any member and x one
     that is not linked to the centre, so |D(x)| > r (|x| + |centre|); one of any
     two members of different components is like that.  A link then needs
-    |D(x) n D(y)| > (1 - r) / 2 |D(y)|: of y's rarest |D(y)| - floor((1 - r) / 2
-    |D(y)|) differences at least one is a difference of x too.  So x meets y only
-    over a shared, rare difference; a group of copies costs its differences, not
-    its pairs.
+    |D(x) n D(y)| > (1 - r) / 2 |D(y)| common differences, and for the pair at
+    least c = (|D(x)| + |D(y)| - r (|x| + |y|)) / 2.  With the differences of both
+    ranked rarest first, the first common one is among the first |D| - c + 1 of
+    each.  So x meets y only over a shared, rare difference; a group of copies
+    costs its differences, not its pairs.
     """
     d = materialize(_differences(groups, texts, n), "differences")
     sizes = "CAST(size({a}.diff) AS bigint)"
@@ -331,13 +334,14 @@ def _around_centres(groups: DataFrame, texts: DataFrame, n: int, num: int, den:
     rare = element.groupBy("centre", "el").agg(F.count("*").alias("f"))
     rank = F.row_number().over(Window.partitionBy("centre", "node").orderBy("f", "el"))
     # (1 - r) / 2 = num / (den + num)
-    prefix = (element.join(rare, ["centre", "el"]).withColumn("k", rank)
-              .where(f"k <= nd - floor(nd * {num} / {den + num})"))
-    x, y = element.where("outside").alias("x"), prefix.alias("y")
-    # the sizes alone bound the distance from below: | |D(x)| - |D(y)| |
-    least = "abs(x.nd - y.nd)"
+    prefix = materialize(element.join(rare, ["centre", "el"]).withColumn("k", rank)
+                         .where(f"outside OR k <= nd - floor(nd * {num} / {den + num})").drop("f"), "prefixes")
+    x, y = prefix.where("outside").alias("x"), prefix.alias("y")
+    # common differences needed, times 2 (den + num); the first common one is early in both rankings
+    need = f"({den + num} * (x.nd + y.nd) - {den - num} * (x.size + y.size))"
+    early = " AND ".join(f"{need} <= {2 * (den + num)} * ({a}.nd - {a}.k + 1)" for a in "xy")
     met = (x.join(y, (F.col("x.centre") == F.col("y.centre")) & (F.col("x.el") == F.col("y.el"))
-                  & (F.col("x.comp") != F.col("y.comp")) & F.expr(link.format(den=den, num=num, delta=least)))
+                  & (F.col("x.comp") != F.col("y.comp")) & F.expr(early))
            .select(F.col("x.centre").alias("centre"), F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
     left = d.select("centre", F.col("node").alias("a"), "size", "diff").alias("x")
     right = d.select("centre", F.col("node").alias("b"), "size", "diff").alias("y")
