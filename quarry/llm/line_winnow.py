@@ -14,12 +14,13 @@ outer blanks, by a 64-bit hash.
 3. Extension.  Both line arrays are laid over each other on the diagonal and
    every maximal equal run is taken, as far as it reaches both ways.
 4. Runs of at least ``MIN_WORDS`` words are deleted from the later document.
-   Inside one document, runs whose line grams occurred earlier go as well.
+   Inside one document each fingerprint is laid over its occurrence before, and
+   the later runs go as well.
 
 Only DataFrame functions are used.  Work is linear in the lines: an occurrence
 meets the first one, never each other.  A hot fingerprint or a document that
-many others copy skews a sort-merge join, which adaptive execution splits; the
-first occurrences are found by partial aggregation.
+many others copy skews a sort-merge join, which adaptive execution splits;
+repeated fingerprints are found by partial aggregation.
 """
 
 from __future__ import annotations
@@ -30,154 +31,140 @@ from pyspark.sql import functions as F
 from quarry.llm.common import members, split_members, table
 from quarry.session import materialize
 
-GRAM = 3            # lines hashed together
-WINDOW = 2          # line grams of which one is selected
+GRAM = 2            # lines hashed together
+WINDOW = 3          # line grams of which one is selected
 LONG_LINE = 17      # words: ceil(51 / 3)
 MIN_WORDS = 30      # words in a run that is deleted
-CUT = "\x01"
 
-_MARKED = r"""replace(replace(replace(replace(__text, '\n', '\n\u0001'), '. ', '. \u0001'), '! ', '! \u0001'),
-              '? ', '? \u0001')"""
-#: an array's neighbours side by side: f(a, k) is a shifted by k
-_SHIFT = "slice({a}, {k} + 1, greatest(size({a}) - {k}, 0))"
+#: the text with U+0001 behind every line
+_CUT = r"""replace(replace(replace(replace(__text, '\n', '\n\u0001'), '. ', '. \u0001'), '! ', '! \u0001'),
+           '? ', '? \u0001')"""
+#: the same cuts, but every line ends in a blank, so that trimming makes equal lines equal
+_COMPARED = r"""replace(replace(replace(replace(__text, '. ', '. \u0001'), '! ', '! \u0001'), '? ', '? \u0001'),
+                '\n', ' \u0001')"""
 
 
-def _lines(text: str = "__text"):
-    return F.split(F.expr(_MARKED.replace("__text", text)), CUT)
+def _shifts(array: str, n: int) -> str:
+    """SQL arguments: the array, the array from its second entry on, and so forth."""
+    return ", ".join(f"slice({array}, {k + 1}, greatest(size({array}) - {k}, 0))" for k in range(n))
 
 
-def _once(expr: str) -> str:
+def _once(expr: str):
     """An array expression that the optimizer may not copy into filters above it (it would run again there)."""
-    return f"if(spark_partition_id() >= 0, {expr}, null)"
+    return F.expr(f"if(spark_partition_id() >= 0, {expr}, null)")
+
+
+def _words(line):
+    """Blanks in a trimmed line plus one; 0 for a blank line."""
+    blanks = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
+    return F.when(line == "", 0).otherwise(blanks + 1)
 
 
 def line_table(docs: DataFrame) -> DataFrame:
     """(id, th, h, w): document id, text hash, hash and words of every line; one row per input row."""
-    trimmed = F.transform(_lines(), lambda u: F.btrim(u, F.lit(" \t\r\n\u0001")))
     return (docs.where("__id IS NOT NULL AND __text IS NOT NULL")
-            .select(F.col("__id").alias("id"), F.xxhash64("__text").alias("th"), trimmed.alias("u"))
-            .select("id", "th", F.transform("u", lambda u: F.struct(
-                F.xxhash64(u).alias("h"),
-                F.when(u == "", F.lit(0)).otherwise(F.size(F.split(u, " "))).alias("w"))).alias("x"))
-            .select("id", "th", F.col("x.h").alias("h"), F.col("x.w").alias("w")))
-
-
-def _with_grams(lines: DataFrame, gram: int, long_line: int) -> DataFrame:
-    """Adds ``g``: struct(key, back) per line gram, and ``l`` the same per long line; ``back`` is minus the place."""
-    shifted = ", ".join(_SHIFT.format(a="h", k=k) for k in range(gram))
-    fields = ", ".join(f"x.`{k}`" for k in range(gram))
-    return (lines.withColumn("g", F.expr(_once(
-        f"transform(slice(arrays_zip({shifted}), 1, greatest(size(h) - {gram - 1}, 0)),"
-        f" (x, i) -> named_struct('key', xxhash64({fields}), 'back', -i))")))
-        .withColumn("l", F.expr(_once(
-            f"transform(filter(arrays_zip(h, w, sequence(0, size(h) - 1)), x -> x.w >= {long_line}),"
-            " x -> named_struct('key', xxhash64(x.h), 'back', -x.`2`))"))))
-
-
-#: of an array of struct(key, back): its entries in key order, each with whether it is the key's first place
-_RANKED = ("zip_with(array_sort(transform({a}, x -> named_struct('key', x.key, 'pos', -x.back))),"
-           " concat(array(null), slice(array_sort(transform({a}, x -> named_struct('key', x.key, 'pos', -x.back))), 1,"
-           " greatest(size({a}) - 1, 0))), (x, y) -> named_struct('key', x.key, 'pos', x.pos,"
-           " 'again', coalesce(x.key = y.key, false)))")
+            .select(F.col("__id").alias("id"), F.xxhash64("__text").alias("th"),
+                    _once(f"transform(split({_COMPARED}, '\\u0001'), u -> trim(u))").alias("u"))
+            .select("id", "th", F.transform("u", lambda u: F.xxhash64(u)).alias("h"),
+                    F.transform("u", _words).alias("w")))
 
 
 def fingerprints(lines: DataFrame, gram: int = GRAM, window: int = WINDOW, long_line: int = LONG_LINE) -> DataFrame:
-    """(key, id, pos): the selected fingerprints, each once per row at its first place."""
-    shifted = ", ".join(_SHIFT.format(a="g", k=k) for k in range(window))
+    """(id, p): the selected fingerprints of each row, p an array of (key, pos, prev) in key order.
+
+    ``prev`` is the key's place before ``pos`` in the same row, null at its first place.
+    """
+    fields = ", ".join(f"x.`{k}`" for k in range(gram))
+    grams = (f"transform(slice(arrays_zip({_shifts('h', gram)}), 1, greatest(size(h) - {gram - 1}, 0)),"
+             f" (x, i) -> named_struct('key', xxhash64({fields}), 'back', -i))")        # least, then rightmost
+    alone = (f"transform(filter(arrays_zip(h, w, sequence(0, size(h) - 1)), x -> x.w >= {long_line}),"
+             " x -> named_struct('key', xxhash64(x.h), 'back', -x.`2`))")
     least = ", ".join(f"x.`{k}`" for k in range(window))
     least = f"least({least})" if window > 1 else least
-    picked = (f"transform(slice(arrays_zip({shifted}), 1, greatest(size(g) - {window - 1}, least(size(g), 1))),"
-              f" x -> {least})")
-    return (_with_grams(lines, gram, long_line)
-            .select("id", F.expr(_once(f"array_distinct(concat({picked}, l))")).alias("p"))
-            .select("id", F.expr(_once(_RANKED.format(a="p"))).alias("p"))
-            .select("id", F.explode("p").alias("f")).where("NOT f.again")
-            .select(F.col("f.key").alias("key"), "id", F.col("f.pos").alias("pos")))
-
-
-def _runs(min_words: int) -> str:
-    """Between consecutive ``breaks`` lie runs; those of enough words, as (first, last)."""
-    return _once("filter(zip_with(slice(breaks, 1, size(breaks) - 1), slice(breaks, 2, size(breaks) - 1),"
-                 " (a, b) -> named_struct('first', a + 1, 'last', b - 1)),"
-                 " r -> r.last >= r.first AND aggregate(slice(w, r.first + 1, r.last - r.first + 1), 0,"
-                 f" (s, x) -> s + x) >= {min_words})")
-
-
-def _inner_runs(lines: DataFrame, gram: int, long_line: int, min_words: int) -> DataFrame:
-    """Runs inside one document whose line grams (or long lines) occurred earlier in it."""
-    again = "transform(filter({a}, x -> x.again), x -> x.pos)"
-    return (_with_grams(lines, gram, long_line)
-            .select("id", "th", "h", "w", F.expr(_once(_RANKED.format(a="g"))).alias("g"),
-                    F.expr(_once(_RANKED.format(a="l"))).alias("l"))
-            .withColumn("hit", F.expr(_once(f"array_union(flatten(transform({again.format(a='g')},"
-                                            f" p -> sequence(p, p + {gram - 1}))), {again.format(a='l')})")))
-            .where("size(hit) > 0")
-            .withColumn("breaks", F.expr(_once("concat(array(-1), array_except(sequence(0, size(h) - 1), hit),"
-                                               " array(size(h)))")))
-            .select("id", "th", F.expr(_runs(min_words)).alias("runs")).where("size(runs) > 0"))
+    picked = (f"transform(slice(arrays_zip({_shifts('g', window)}), 1,"
+              f" greatest(size(g) - {window - 1}, least(size(g), 1))), x -> {least})")
+    # a gram may be selected by several windows: entries that repeat the one before go
+    ranked = ("filter(zip_with(p, concat(array(null), slice(p, 1, greatest(size(p) - 1, 0))), (x, y) -> named_struct("
+              "'key', x.key, 'pos', x.pos, 'prev', if(x.key = y.key, y.pos, null))), x -> NOT (x.prev <=> x.pos))")
+    return (lines.select("id", "h", "w", _once(grams).alias("g"))
+            .select("id", _once(f"sort_array(transform(concat({picked}, {alone}),"
+                                " x -> named_struct('key', x.key, 'pos', -x.back)))").alias("p"))
+            .select("id", _once(ranked).alias("p")))
+
+
+def diagonals(marks: DataFrame) -> DataFrame:
+    """(id, sid, shift): line i of document id may repeat line i + shift of document sid.
+
+    Across documents sid is the first one that holds the fingerprint; inside a
+    document a fingerprint is laid over its occurrence before (so a periodic
+    text has one diagonal, not one per period).
+    """
+    places = marks.select("id", F.explode("p").alias("f")).select(
+        F.col("f.key").alias("key"), "id", F.col("f.pos").alias("pos"), F.col("f.prev").alias("prev"))
+    firsts = places.where("prev IS NULL").select("key", "id", "pos")
+    twice = firsts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    shared = materialize(firsts.join(twice, "key"), "repeated-fingerprints")
+    first = shared.groupBy("key").agg(F.min(F.struct("id", "pos")).alias("src"))
+    across = (shared.join(first, "key").where("id > src.id")
+              .select("id", F.col("src.id").alias("sid"), (F.col("src.pos") - F.col("pos")).alias("shift")))
+    inside = places.where("prev IS NOT NULL").select("id", F.col("id").alias("sid"), F.expr("prev - pos").alias("shift"))
+    return across.unionByName(inside).distinct()
 
 
 def repeated_runs(lines: DataFrame, gram: int = GRAM, window: int = WINDOW, long_line: int = LONG_LINE,
                   min_words: int = MIN_WORDS) -> DataFrame:
     """(id, th, runs): the line runs to delete, as arrays of (first, last), one row per document that has any."""
-    marks = fingerprints(lines, gram, window, long_line)
-    twice = marks.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    marks = materialize(marks.join(twice, "key"), "repeated-fingerprints")
-    first = marks.groupBy("key").agg(F.min(F.struct("id", "pos")).alias("src"))
-    diagonals = materialize(
-        marks.join(first, "key").where("id > src.id")
-        .select("id", F.col("src.id").alias("sid"), (F.col("src.pos") - F.col("pos")).alias("shift")).distinct(),
-        "diagonals")
+    marks = materialize(fingerprints(lines, gram, window, long_line), "fingerprints")
+    laid = materialize(diagonals(marks), "diagonals")
     # only documents on a diagonal are moved
-    source = lines.select(F.col("id").alias("sid"), F.col("h").alias("sh"))
-    source = members(source, "sid", diagonals.select("sid"))
-    own = members(lines, "id", diagonals.select("id"))
-    laid = (diagonals.join(source, "sid").join(own, "id")
-            .withColumn("other", F.expr(_once(
-                "CASE WHEN shift >= 0 THEN slice(sh, shift + 1, greatest(size(sh) - shift, 0))"
-                " ELSE concat(array_repeat(CAST(null AS bigint), -shift), sh) END")))
-            .withColumn("breaks", F.expr(_once(
-                "concat(array(-1), array_compact(transform(slice(zip_with(h, other, (a, b) -> coalesce(a = b, false)),"
-                " 1, size(h)), (same, i) -> if(same, null, i))), array(size(h)))")))
-            .select("id", "th", F.expr(_runs(min_words)).alias("runs")).where("size(runs) > 0"))
-    every = laid.unionByName(_inner_runs(lines, gram, long_line, min_words))
-    return every.groupBy("id", "th").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"))
+    source = members(lines.select(F.col("id").alias("sid"), F.col("th").alias("sth"), F.col("h").alias("sh")),
+                     "sid", laid.select("sid"))
+    own = members(lines, "id", laid.select("id"))
+    other = ("CASE WHEN shift >= 0 THEN slice(sh, shift + 1, greatest(size(sh) - shift, 0))"
+             " ELSE concat(array_repeat(CAST(null AS bigint), -shift), sh) END")
+    breaks = ("concat(array(-1), array_compact(transform(slice(zip_with(h, other, (a, b) -> coalesce(a = b, false)),"
+              " 1, size(h)), (same, i) -> if(same, null, i))), array(size(h)))")
+    # between consecutive breaks lie the equal runs
+    runs = ("filter(zip_with(slice(breaks, 1, size(breaks) - 1), slice(breaks, 2, size(breaks) - 1),"
+            " (a, b) -> named_struct('first', a + 1, 'last', b - 1)),"
+            " r -> r.last >= r.first AND aggregate(slice(w, r.first + 1, r.last - r.first + 1), 0,"
+            f" (s, x) -> s + x) >= {min_words})")
+    found = (laid.join(source, "sid").join(own, "id").where("id <> sid OR th = sth")
+             .withColumn("other", _once(other)).withColumn("breaks", _once(breaks))
+             .select("id", "th", _once(runs).alias("runs")).where("size(runs) > 0"))
+    return found.groupBy("id", "th").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM,
                 window: int = WINDOW, long_line: int = LONG_LINE, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with the text cut and three columns added: n_lines, n_removed, removed_words.
+    """``docs`` with the text cut and two columns added: n_removed (lines) and removed_words.
 
     Documents are ordered by id and the earliest occurrence of a run stays.
-    Rows that share an id are never cut against each other.  Null ids and null texts pass unchanged with
-    zeros; an empty text has one blank line.  Columns of ``docs`` named like the
-    added ones are replaced, all others pass through.  U+0001 ends a line and is
-    dropped from a text that is cut.
+    Rows that share an id are never cut against each other.  Null ids and null
+    or empty texts pass unchanged with zeros.  Columns of ``docs`` named like
+    the added ones are replaced, all others pass through.  U+0001 ends a line
+    and is dropped from a text that is cut.
     """
-    added = ["n_lines", "n_removed", "removed_words"]
-    rest = docs.drop(*added)
+    rest = docs.drop("n_removed", "removed_words")
     rows = rest.withColumns({"__id": F.col(f"`{id_col}`").cast("long"), "__text": F.col(f"`{text_col}`").cast("string")})
     lines = materialize(line_table(rows.select("__id", "__text")), "lines")
     runs = materialize(repeated_runs(lines, gram, window, long_line, min_words), "line-runs") \
         .withColumnsRenamed({"id": "__rid", "th": "__rth", "runs": "__runs"})
+    names, zero = [F.col(f"`{c}`") for c in rest.columns], F.lit(0).cast("long")
     # texts that cannot be cut stay where they are
-    cuttable, rest_rows = split_members(rows, "__id", runs.select(F.col("__rid").alias("__id")))
-    joined = cuttable.withColumn("__th", F.xxhash64("__text")).join(
-        runs, (F.col("__id") == F.col("__rid")) & (F.col("__th") == F.col("__rth")), "left")
-    joined = joined.select(*rows.columns, "__runs").unionByName(
-        rest_rows.select(*rows.columns, F.lit(None).cast(runs.schema["__runs"].dataType).alias("__runs")))
+    cuttable, whole = split_members(rows, "__id", runs.select(F.col("__rid").alias("__id")))
     gone = "exists(__runs, r -> i BETWEEN r.first AND r.last)"
-    cut = (joined.withColumn("__u", _lines())
-           .withColumn("__gone", F.expr(f"CASE WHEN __runs IS NOT NULL THEN filter(__u, (u, i) -> {gone}) END"))
-           .withColumn("__kept", F.expr(f"CASE WHEN __runs IS NOT NULL THEN"
-                                        f" array_join(filter(__u, (u, i) -> NOT {gone}), '') END")))
-    words = F.expr("aggregate(__gone, 0L, (s, u) -> s + if(btrim(u, ' \\t\\r\\n\\u0001') = '', 0,"
-                   " size(split(btrim(u, ' \\t\\r\\n\\u0001'), ' '))))")
-    return cut.select(
-        *[F.coalesce("__kept", F.col(f"`{c}`")).alias(c) if c == text_col else F.col(f"`{c}`") for c in rest.columns],
-        F.coalesce(F.size("__u").cast("long"), F.lit(0).cast("long")).alias("n_lines"),
-        F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone")).cast("long").alias("n_removed"),
-        F.coalesce(words, F.lit(0)).cast("long").alias("removed_words"))
+    cut = (cuttable.withColumn("__th", F.xxhash64("__text"))
+           .join(runs, (F.col("__id") == F.col("__rid")) & (F.col("__th") == F.col("__rth")), "left")
+           .withColumn("__u", _once(f"if(__runs IS NULL, null, split({_CUT}, '\\u0001'))"))
+           .withColumn("__gone", _once(f"filter(__u, (u, i) -> {gone})"))
+           .withColumn("__kept", _once(f"array_join(filter(__u, (u, i) -> NOT {gone}), '')")))
+    trimmed = F.transform("__gone", lambda u: F.btrim(u, F.lit(" \n")))
+    words = F.aggregate(trimmed, zero, lambda s, u: s + _words(u))
+    cut = cut.select(
+        *[F.coalesce("__kept", n).alias(c) if c == text_col else n for c, n in zip(rest.columns, names, strict=True)],
+        F.coalesce(F.size("__gone").cast("long"), zero).alias("n_removed"), F.coalesce(words, zero).alias("removed_words"))
+    return cut.unionByName(whole.select(*names, zero.alias("n_removed"), zero.alias("removed_words")))
 
 
 def op2_line_winnow(spark, sf_dir: str) -> DataFrame:
