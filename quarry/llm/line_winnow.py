@@ -129,7 +129,8 @@ def repeated_runs(lines: DataFrame, gram: int = GRAM, window: int = WINDOW, long
             " (a, b) -> named_struct('first', a + 1, 'last', b - 1)),"
             " r -> r.last >= r.first AND aggregate(slice(w, r.first + 1, r.last - r.first + 1), 0,"
             f" (s, x) -> s + x) >= {min_words})")
-    found = (laid.join(source, "sid").join(own, "id").where("id <> sid OR th = sth")
+    # one plan at every size: both sides grow with the corpus, so neither is broadcast
+    found = (laid.join(source.hint("merge"), "sid").join(own.hint("merge"), "id").where("id <> sid OR th = sth")
              .withColumn("other", _once(other)).withColumn("breaks", _once(breaks))
              .select("id", "th", _once(runs).alias("runs")).where("size(runs) > 0"))
     return found.groupBy("id", "th").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"))
@@ -155,7 +156,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cuttable, whole = split_members(rows, "__id", runs.select(F.col("__rid").alias("__id")))
     gone = "exists(__runs, r -> i BETWEEN r.first AND r.last)"
     cut = (cuttable.withColumn("__th", F.xxhash64("__text"))
-           .join(runs, (F.col("__id") == F.col("__rid")) & (F.col("__th") == F.col("__rth")), "left")
+           .join(runs.hint("merge"), (F.col("__id") == F.col("__rid")) & (F.col("__th") == F.col("__rth")), "left")
            .withColumn("__u", _once(f"if(__runs IS NULL, null, split({_CUT}, '\\u0001'))"))
            .withColumn("__gone", _once(f"filter(__u, (u, i) -> {gone})"))
            .withColumn("__kept", _once(f"array_join(filter(__u, (u, i) -> NOT {gone}), '')")))
