@@ -175,7 +175,8 @@ def _confirm(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) ->
 
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    return (pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+    # one plan at every size: pairs and texts grow with the corpus, so neither is broadcast
+    return (pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "ta", "tb")
             .mapInArrow(run, "a long, b long"))
 
 
@@ -249,7 +250,7 @@ def _links(rows: DataFrame, reps: DataFrame, n: int, num: int, den: int) -> Data
     texts = materialize(
         members_of(rows, "id", near.select(F.col("rep").alias("id")))      # other texts are not moved
         .select(F.col("id").alias("rep"), F.xxhash64("text").alias("th"), "text")
-        .join(near.select("node", "rep", "th"), ["rep", "th"]).select("node", "text").dropDuplicates(["node"]),
+        .join(near.select("node", "rep", "th").hint("merge"), ["rep", "th"]).select("node", "text").dropDuplicates(["node"]),
         "candidate-texts")
     sign = near.select("node", "n_shingles", *_LANE_COLS)
 
@@ -303,7 +304,7 @@ def _differences(groups: DataFrame, texts: DataFrame, n: int) -> DataFrame:
                                              ["centre", "node", "comp", "size", "centre_size", "diff"])
 
     centre = texts.select(F.col("node").alias("centre"), F.col("text").alias("tc"))
-    return (groups.join(centre, "centre").join(texts, "node").select("centre", "node", "comp", "tc", "text")
+    return (groups.join(centre.hint("merge"), "centre").join(texts.hint("merge"), "node").select("centre", "node", "comp", "tc", "text")
             .mapInArrow(run, "centre long, node long, comp long, size long, centre_size long, diff array<long>"))
 
 
