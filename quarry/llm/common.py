@@ -5,7 +5,8 @@ A *word* is ``[^\\x20\\x09-\\x0D]+`` throughout: text between ASCII blanks.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import gc
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,26 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20
 
 
+_held: dict = {}
+
+
+def hold(key, build: Callable):
+    """The object that ``build`` makes, kept by this worker process until it is asked for another one.
+
+    Workers serve many tasks and operators; only one large object (model,
+    codec, word cache) stays in memory at a time.  ``hold(None, ...)`` only
+    drops what is held.
+    """
+    if key not in _held:
+        _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if key is None:
+            return None
+        _held[key] = build()
+    return _held[key]
+
+
 def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

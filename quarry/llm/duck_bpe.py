@@ -23,20 +23,19 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from quarry.llm.common import slices, table
+from quarry.llm.common import hold, slices, table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 MAX_RANK_BYTES = 64 << 20
 QUERY_BYTES = 512 << 10     # bytes of new words in one recursive query
 LONG_WORD = 64              # bytes from which occurrences are contracted together
-MAX_WORDS = 600_000         # encoded words kept per process; beyond it they are encoded anew
+MAX_WORDS = 400_000         # encoded words kept per process; beyond it they are encoded anew
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 #: One contraction per word and step.
@@ -171,11 +170,6 @@ class Codec:
         return [[known[w] for w in words] for words in cut]
 
 
-@lru_cache(maxsize=2)
-def _codec(data: bytes, pattern: str) -> Codec:
-    return Codec(data, pattern)
-
-
 def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text",
            output: str = "digest") -> DataFrame:
     """Encode and decode every whole text.
@@ -191,7 +185,8 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
     digest = output == "digest"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(sent.value, pattern)
+        data = sent.value
+        codec = hold(("bpe", data, pattern), lambda: Codec(data, pattern))
         for part in slices(batches, 1):
             n, first, second = [], [], []
             for words in codec.encode(pc.fill_null(part.column(1), "").to_pylist()):

@@ -28,14 +28,13 @@ as bytes.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from quarry.llm.common import slices, table
+from quarry.llm.common import hold, slices, table
 
 SPACE = "▁"
 TOKENIZER = "piece_bpe_32k.model"
@@ -174,11 +173,6 @@ def prefix_scan(maps: list[ChunkMap], fst: Transducer) -> list[ChunkMap]:
     return maps
 
 
-@lru_cache(maxsize=2)
-def _transducer(model: bytes) -> Transducer:
-    return Transducer(model)
-
-
 def count_tokens(texts: pa.Array, fst: Transducer, chunk_bytes: int = CHUNK_BYTES) -> np.ndarray:
     """Token count of each text (null or empty: 0)."""
     n = len(texts)
@@ -264,7 +258,8 @@ def token_counts(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fst = _transducer(sent.value)
+        data = sent.value
+        fst = hold(("fst", data), lambda: Transducer(data))
         for part in slices(batches, 1):
             texts = part.column(1)
             tokens = count_tokens(texts, fst)

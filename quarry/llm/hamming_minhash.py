@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import members as members_of
-from quarry.llm.common import mix64, slices, table, word_ids
+from quarry.llm.common import hold, mix64, slices, table, word_ids
 from quarry.session import materialize
 
 SYMBOLS, CHUNK, ERRORS = 50, 5, 1
@@ -123,6 +123,7 @@ _LANE_COLS = [f"s{k}" for k in range(LANES)]
 def _sketch(docs: DataFrame, n: int) -> DataFrame:
     """(id, th, n_shingles, cls, s0..): text hash, set size, set identity (null: empty set), signature."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold(None, None)
         for part in slices(batches, 2):
             size = part.num_rows
             value, rows = shingles(part.column(2), n)
@@ -161,6 +162,7 @@ def _near(a: str, b: str, num: int, den: int) -> str:
 def _confirm(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the similarity."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold(None, None)
         for part in slices(batches, 2, 2 << 20):
             size = part.num_rows
             sets = [shingles(part.column(k), n) for k in (2, 3)]
@@ -287,6 +289,7 @@ def _links(rows: DataFrame, reps: DataFrame, n: int, num: int, den: int) -> Data
 def _differences(groups: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     """Adds to (centre, node, comp): size, centre_size and diff, the shingles in one of the two sets only."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold(None, None)
         for part in slices(batches, 3, 1 << 20):
             size = part.num_rows
             sets = [shingles(part.column(k), n) for k in (3, 4)]

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import mix64, slices, split_words, table
+from quarry.llm.common import hold, mix64, slices, split_words, table
 
 SAMPLE_BYTES = 12 << 20     # labelled text per class that the fit may use
 ORDINARY_DICT = 64 << 10
@@ -40,7 +40,7 @@ TOXIC_DICT = 8 << 10
 WINDOW_BYTES = 48           # longer words are cut
 GRAM = 6
 LEVELS = (2, 3, 4, 5)       # gains in bytes whose counts are features
-MAX_CACHE = 400_000         # window gains kept per process
+MAX_CACHE = 300_000         # window gains kept per process
 TRAILER = bytes(33 + (k * 37) % 90 for k in range(48))
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
@@ -69,6 +69,10 @@ class Model:
         return {"prior": self.prior, "ordinary": self.ordinary, "toxic": self.toxic, "weights": self.weights,
                 "_pair": None, "_gains": {}}
 
+    def held(self) -> Model:
+        """The copy that this worker keeps, with its gains, from task to task."""
+        return hold(("toxicity", self.ordinary, self.toxic), lambda: self)
+
     def gains(self, words: list[bytes]) -> np.ndarray:
         """Bytes saved by the toxic dictionary, the largest over a word's windows."""
         if self._pair is None:
@@ -225,8 +229,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     rows give a row each; other columns are ignored.
     """
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = model.held()
         for part in slices(batches, 2):
-            s = model.score(part.column(2))
+            s = held.score(part.column(2))
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))],
                 ["doc_id", "held_out", "score", "predicted"])
@@ -242,8 +247,9 @@ def keep_ordinary(docs: DataFrame, model: Model, text_col: str = "text") -> Data
     at = docs.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = model.held()
         for part in slices(batches, at):
-            yield part.filter(pa.array(model.score(part.column(at)) < 0.5))
+            yield part.filter(pa.array(held.score(part.column(at)) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
 
