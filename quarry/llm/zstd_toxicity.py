@@ -71,7 +71,8 @@ class Model:
 
     def held(self) -> Model:
         """The copy that this worker keeps, with its gains, from task to task."""
-        return hold(("toxicity", self.ordinary, self.toxic), lambda: self)
+        fitted = None if self.weights is None else self.weights.tobytes()
+        return hold(("toxicity", self.prior, fitted, self.ordinary, self.toxic), lambda: self)
 
     def gains(self, words: list[bytes]) -> np.ndarray:
         """Bytes saved by the toxic dictionary, the largest over a word's windows."""
