@@ -39,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import members as members_of
@@ -272,7 +272,8 @@ def _links(rows: DataFrame, reps: DataFrame, n: int, num: int, den: int) -> Data
                          .select("key", "node", F.coalesce("comp", "node").alias("comp")), "placed")
     mixed = (placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
              .groupBy("key").agg(F.sum("n").alias("size"), F.count("*").alias("comps"),
-                                 F.max(F.struct("n", "comp")).alias("main")).where("comps > 1"))
+                                 F.max(F.struct("n", (-F.col("comp")).alias("root"))).alias("main"))   # ties: smallest
+             .where("comps > 1"))
     small = mixed.where(F.col("size") <= PAIRED).select("key")
     open_ = materialize(placed.join(small, "key", "left_semi").join(sign, "node"), "open-buckets")
     pair = (open_.alias("x").join(open_.alias("y"), (F.col("x.key") == F.col("y.key"))
@@ -281,13 +282,17 @@ def _links(rows: DataFrame, reps: DataFrame, n: int, num: int, den: int) -> Data
             .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
             .join(tested, ["a", "b"], "left_anti"))
     found = materialize(_confirm(pair, texts, n, num, den), "links")
-    large = (placed.join(mixed.where(F.col("size") > PAIRED).select("key", F.col("main.comp").alias("centre")), "key")
+    large = (placed.join(mixed.where(F.col("size") > PAIRED).select("key", (-F.col("main.root")).alias("centre")), "key")
              .select("centre", "node", "comp").distinct())
     return links.unionByName(found).unionByName(_around_centres(large, texts, n, num, den))
 
 
 def _differences(groups: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    """Adds to (centre, node, comp): size, centre_size and diff, the shingles in one of the two sets only."""
+    """Adds to (centre, node, comp): size, centre_size and diff, the shingles in one of the two sets only.
+
+    ``diff`` ranks first what only the node has (rare in a group), then what
+    only the centre has; each by hash, so all nodes of a centre rank alike.
+    """
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold(None, None)
         for part in slices(batches, 3, 1 << 20):
@@ -297,11 +302,14 @@ def _differences(groups: DataFrame, texts: DataFrame, n: int) -> DataFrame:
             value = np.concatenate([v for v, _ in sets])
             row = np.concatenate([r for _, r in sets])
             order = np.lexsort((value, row))
+            removed = np.repeat([True, False], [len(v) for v, _ in sets])[order]
             value, row = value[order], row[order]
             same = np.r_[False, (value[1:] == value[:-1]) & (row[1:] == row[:-1])]
             alone = ~same & ~np.r_[same[1:], False]
-            ends = np.r_[0, np.cumsum(np.bincount(row[alone], minlength=size))]
-            diff = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(value[alone].view(np.int64)))
+            value, row, removed = value[alone], row[alone], removed[alone]
+            ends = np.r_[0, np.cumsum(np.bincount(row, minlength=size))]
+            ranked = value[np.lexsort((value, removed, row))].view(np.int64)
+            diff = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ranked))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(count[1]),
                                               pa.array(count[0]), diff],
                                              ["centre", "node", "comp", "size", "centre_size", "diff"])
@@ -320,26 +328,33 @@ def _around_centres(groups: DataFrame, texts: DataFrame, n: int, num: int, den:
     that is not linked to the centre, so |D(x)| > r (|x| + |centre|); one of any
     two members of different components is like that.  A link then needs
     |D(x) n D(y)| > (1 - r) / 2 |D(y)| common differences, and for the pair at
-    least c = (|D(x)| + |D(y)| - r (|x| + |y|)) / 2.  With the differences of both
-    ranked rarest first, the first common one is among the first |D| - c + 1 of
-    each.  So x meets y only over a shared, rare difference; a group of copies
-    costs its differences, not its pairs.
+    least c = (|D(x)| + |D(y)| - r (|x| + |y|)) / 2, which is at least |D(x)| -
+    |x| (den - num) / num by the triangle inequality and |y| <= |x| den / num.
+    With the differences of both ranked alike, the first common one is among the
+    first |D| - c + 1 of each.  What only one document adds ranks first, so x
+    meets y over a shared, rare difference; a group of copies costs its
+    differences, not its pairs.
     """
     d = materialize(_differences(groups, texts, n), "differences")
     sizes = "CAST(size({a}.diff) AS bigint)"
     link = "{den} * (x.size + y.size - {delta}) >= {num} * (x.size + y.size + {delta})"
-    near_centre = d.where(f"node <> centre AND {den} * (size + centre_size - size(diff)) >="
-                          f" {num} * (size + centre_size + size(diff))") \
+    at_centre = (f"{den} * (size + centre_size - size(diff)) >= {num} * (size + centre_size + size(diff))")
+    near_centre = d.where(f"node <> centre AND {at_centre}") \
         .select(F.col("centre").alias("a"), F.col("node").alias("b"))
     # a component is named by its root, so the centre's component is the centre
     part = d.select("centre", "node", "comp", "size", F.size("diff").cast("long").alias("nd"),
-                    (F.col("comp") != F.col("centre")).alias("outside"), "diff")
-    element = materialize(part.withColumn("el", F.explode("diff")).drop("diff"), "difference-elements")
-    rare = element.groupBy("centre", "el").agg(F.count("*").alias("f"))
-    rank = F.row_number().over(Window.partitionBy("centre", "node").orderBy("f", "el"))
-    # (1 - r) / 2 = num / (den + num)
-    prefix = materialize(element.join(rare, ["centre", "el"]).withColumn("k", rank)
-                         .where(f"outside OR k <= nd - floor(nd * {num} / {den + num})").drop("f"), "prefixes")
+                    ((F.col("comp") != F.col("centre")) & ~F.expr(at_centre)).alias("outside"), "diff")
+    # | |D(x)| - |D(y)| | <= |x ^ y|: members too near to the centre to reach any outside one go
+    reach = f"{den + num} * nd - {den - num} * size"
+    lowest = part.where("outside").groupBy("centre").agg(F.min(F.expr(reach)).alias("lowest"))
+    part = part.join(lowest, "centre").where(f"outside OR {den + num} * nd + {den - num} * size >= lowest").drop("lowest")
+    # see above: common differences needed at least, by one side's sizes alone
+    few = f"nd - CAST(floor(size * {den - num} / {num}) AS bigint)"
+    least = f"greatest(1, {few}, if(outside, 1, CAST(floor(nd * {num} / {den + num}) AS bigint) + 1))"
+    prefix = materialize(
+        part.select("centre", "node", "comp", "size", "nd", "outside",
+                    F.posexplode(F.expr(f"slice(diff, 1, CAST(greatest(nd - {least} + 1, 0) AS INT))")).alias("k", "el"))
+        .withColumn("k", F.col("k") + 1), "prefixes")
     x, y = prefix.where("outside").alias("x"), prefix.alias("y")
     # common differences needed, times 2 (den + num); the first common one is early in both rankings
     need = f"({den + num} * (x.nd + y.nd) - {den - num} * (x.size + y.size))"
