@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions import text as TX
+from quarry.session import path_exists, scratch_path
 
 PAIR = T.StructType([
     T.StructField("old_part", T.StringType()),
@@ -303,17 +304,25 @@ def incremental(df: DataFrame, prior: DataFrame, run: Callable[[DataFrame], Data
     runs.  Texts are de-duplicated by key (hash aggregate: a comment repeated
     a million times is one call), anti-joined against ``prior``, sent to
     ``run`` and unioned with ``prior``; every input row then picks up its
-    result by key.  Blank rows never reach ``run``.
+    result by key.  Blank rows have no key, never reach ``run`` and get NULL
+    results; of repeated rows of ``prior`` any one counts.
     """
     outs = [n for n, _ in OUTPUT_COLUMNS]
-    keyed = df.withColumn("text_key", text_key(text_col))
-    todo = (keyed.where(~TX.is_blank(text_col))
+    prior = prior.dropDuplicates(["text_key"])
+    keyed = df.where(~TX.is_blank(text_col)).withColumn("text_key", text_key(text_col))
+    todo = (keyed
             .groupBy("text_key").agg(F.min(text_col).alias(text_col))
             .join(prior.select("text_key"), "text_key", "left_anti"))
     fresh = run(todo).select("text_key", *outs).withColumn("reused", F.lit(False))
     results = prior.select("text_key", *outs).withColumn("reused", F.lit(True)).unionByName(fresh)
-    base = keyed.drop(*[c for c in outs if c in keyed.columns])
-    return base.join(results, "text_key", "left")
+    return _with_results(df, keyed, results, outs, text_col)
+
+
+def _with_results(df: DataFrame, keyed: DataFrame, results: DataFrame, outs: list[str], text_col: str) -> DataFrame:
+    """Every row with its result; blank rows are set aside, so they meet no join."""
+    found = keyed.drop(*[c for c in outs if c in keyed.columns]).join(results, "text_key", "left")
+    blank = df.where(TX.is_blank(text_col)).drop(*outs)
+    return found.unionByName(blank, allowMissingColumns=True)
 
 
 def resumable(df: DataFrame, results_path: str, run: Callable[[DataFrame], DataFrame],
@@ -332,30 +341,32 @@ def resumable(df: DataFrame, results_path: str, run: Callable[[DataFrame], DataF
                           [T.StructField(n, T.DataType.fromDDL(t)) for n, t in OUTPUT_COLUMNS])
 
     def done() -> DataFrame:
-        try:
-            return spark.read.schema(schema).parquet(results_path)
-        except Exception:  # noqa: BLE001 - no results yet
+        if not path_exists(spark, results_path):      # any other read error must not look like "no results yet"
             return spark.createDataFrame([], schema)
-
-    keyed = df.withColumn("text_key", text_key(text_col))
-    todo_all = (keyed.where(~TX.is_blank(text_col))
-                .groupBy("text_key").agg(F.min(text_col).alias(text_col)))
+        return spark.read.schema(schema).parquet(results_path).dropDuplicates(["text_key"])
+
+    keyed = df.where(~TX.is_blank(text_col)).withColumn("text_key", text_key(text_col))
+    # the new texts are written once by bucket, so the input is read and grouped once
+    todo_path = scratch_path(spark, "new-texts")
+    (keyed.groupBy("text_key").agg(F.min(text_col).alias(text_col))
+     .join(done().select("text_key"), "text_key", "left_anti")
+     .withColumn("bucket", F.pmod(F.xxhash64("text_key"), F.lit(buckets)).cast("int"))
+     .write.partitionBy("bucket").parquet(todo_path))
+    todo = spark.read.schema(f"text_key string, `{text_col}` string, bucket int").parquet(todo_path)
     for b in range(buckets):
-        todo = (todo_all.where(F.pmod(F.xxhash64("text_key"), F.lit(buckets)) == b)
-                .join(done().select("text_key"), "text_key", "left_anti"))
-        res = run(todo).select("text_key", *outs)
+        res = run(todo.where(F.col("bucket") == b).drop("bucket")).select("text_key", *outs)
         res.write.mode("append").parquet(results_path)
-    base = keyed.drop(*[c for c in outs if c in keyed.columns])
-    return base.join(done(), "text_key", "left")
+    return _with_results(df, keyed, done(), outs, text_col)
 
 
 def scores(pred: DataFrame, gold: DataFrame, key: str) -> DataFrame:
     """Precision / recall / F1 per field in one aggregate.
 
     ``gold`` has ``key, gold_intent, gold_old, gold_new``.  A blank
-    prediction never counts as a hit.
+    prediction never counts as a hit; a gold row without a prediction counts
+    as a miss.  A ratio without a denominator is NULL.
     """
-    j = pred.select(key, "replacement_intent", "old_part", "new_part").join(gold, key, "inner")
+    j = gold.join(pred.select(key, "replacement_intent", "old_part", "new_part"), key, "left")
     nb = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     p_i = F.coalesce(F.col("replacement_intent"), F.lit(0)) == 1
     g_i = F.col("gold_intent") == 1
@@ -374,10 +385,10 @@ def scores(pred: DataFrame, gold: DataFrame, key: str) -> DataFrame:
                                F.count_if(F.coalesce(fp, F.lit(False))).alias("fp"),
                                F.count_if(F.coalesce(fn, F.lit(False))).alias("fn")))
     agg = j.agg(F.array(*fields).alias("s")).select(F.explode("s").alias("s")).select("s.*")
-    p = F.col("tp") / (F.col("tp") + F.col("fp"))
-    r = F.col("tp") / (F.col("tp") + F.col("fn"))
+    p = F.try_divide(F.col("tp"), F.col("tp") + F.col("fp"))
+    r = F.try_divide(F.col("tp"), F.col("tp") + F.col("fn"))
     return agg.withColumn("precision", F.round(p, 4)).withColumn("recall", F.round(r, 4)) \
-        .withColumn("f1", F.round(2 * p * r / (p + r), 4))
+        .withColumn("f1", F.round(F.try_divide(2 * p * r, p + r), 4))
 
 
 def rule_violations(df: DataFrame) -> DataFrame:

@@ -137,9 +137,9 @@ def bulk_resolve(needles: DataFrame, needle_col: str, dictionary: DataFrame,
           .where(F.col("value").isNotNull())
           .groupBy(F.lower("value").alias("lv")).agg(F.max("value").alias("canon")))
     dl = materialize(dl, "resolve-dict")
-    dv = dictionary.select(F.col(value_col).cast("string").alias("value"),
-                           F.lower(F.col(value_col).cast("string")).alias("__lv")) \
-        .where(F.col("value").isNotNull())
+    # distinct values: a value repeated a billion times meets its needle once
+    dv = (dictionary.select(F.col(value_col).cast("string").alias("value")).where(F.col("value").isNotNull())
+          .distinct().withColumn("__lv", F.lower("value")))
     first = (nd.join(dv, F.lower(nd["needle"]) == dv["__lv"], "left")
              .groupBy("needle")
              .agg(F.max(F.when(F.col("value") == F.col("needle"), F.col("value"))).alias("exact"),
@@ -171,8 +171,9 @@ def _grid_length_join(rest: DataFrame, dl: DataFrame, cutoff: float,
     """
     cand = dl.withColumn("len", F.length("lv"))
     ln = F.length("ln")
-    lo = F.greatest(F.ceil(ln * cutoff / (2.0 - cutoff)), F.lit(1)).cast("int")
-    hi = F.floor(ln * (2.0 - cutoff) / cutoff).cast("int")
+    # one wider on both sides: the rounded bounds must not lose a score that equals the cutoff
+    lo = F.greatest(F.ceil(ln * cutoff / (2.0 - cutoff)) - 1, F.lit(1)).cast("int")
+    hi = F.floor(ln * (2.0 - cutoff) / cutoff).cast("int") + 1
     nd = rest.withColumn("len", F.explode(F.sequence(lo, hi)))
 
     def buckets(df: DataFrame, name: str) -> DataFrame:
@@ -199,7 +200,7 @@ def _grid_length_join(rest: DataFrame, dl: DataFrame, cutoff: float,
         for start in range(0, len(lefts), 128):
             inter = np.minimum(ha[start:start + 128, None, :], hb[None, :, :]).sum(axis=2)
             bound = 2.0 * inter / (la[start:start + 128, None] + lb[None, :])
-            for i, j in zip(*np.nonzero(bound >= cutoff)):
+            for i, j in zip(*np.nonzero(bound >= cutoff - 1e-9)):
                 needle, low = lefts[start + i]
                 lv, canon = rights[j]
                 sc = score(low, lv, cutoff)

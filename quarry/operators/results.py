@@ -14,10 +14,15 @@ INLINE_LIMIT = 200
 
 
 def page(df: DataFrame, order: list[str | Column], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """``rn, chunk_id, row_from, row_to, total`` for every row (1-based)."""
-    o = with_ordinal(df, order, "rn", total="total")
-    cid = F.floor((F.col("rn") - 1) / chunk_rows).cast("long")
-    return (o.withColumn("chunk_id", cid)
+    """``rn, chunk_id, row_from, row_to, total`` for every row (1-based).
+
+    A data column that has one of these names is kept as ``<name>_data``.
+    """
+    added = ["rn", "chunk_id", "row_from", "row_to", "total"]
+    o = with_ordinal(df, order, "__rn", total="__total")
+    o = o.withColumnsRenamed({c: f"{c}_data" for c in added if c in df.columns})
+    o = o.withColumnsRenamed({"__rn": "rn", "__total": "total"})
+    return (o.withColumn("chunk_id", F.floor((F.col("rn") - 1) / chunk_rows).cast("long"))
             .withColumn("row_from", F.col("chunk_id") * chunk_rows + 1)
             .withColumn("row_to", F.least((F.col("chunk_id") + 1) * chunk_rows, F.col("total"))))
 
@@ -32,7 +37,7 @@ def markdown_chunks(df: DataFrame, order: list[str | Column],
     cols = df.columns
     cells = [F.coalesce(as_text(F.col(f"`{c}`"), df.schema[c].dataType), F.lit("")) for c in cols]
     line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
-    p = page(df, order, chunk_rows).withColumn("__line", line)
+    p = page(df.withColumn("__line", line), order, chunk_rows)
     head = "| " + " | ".join(cols) + " |\n|" + "|".join([" --- "] * len(cols)) + "|"
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "__line"))),
                                     lambda x: x["__line"]), "\n")

@@ -6,14 +6,15 @@ users).  Here each conversation gets its own temp view.
 
 from __future__ import annotations
 
-import re
+import hashlib
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
 def _view(conversation: str) -> str:
-    return "last_result_" + re.sub(r"[^0-9A-Za-z_]", "_", conversation)
+    """One view per conversation id; ids that differ in any character never share one."""
+    return "last_result_" + hashlib.sha256(conversation.encode()).hexdigest()[:32]
 
 
 def remember(df: DataFrame, conversation: str) -> DataFrame:

@@ -10,6 +10,7 @@ values resolve by Spark jobs (:mod:`quarry.operators.resolve`).
 
 from __future__ import annotations
 
+import hashlib
 import re
 from dataclasses import dataclass
 
@@ -25,7 +26,28 @@ from quarry.operators.resolve import Resolution, resolve_value
 # Fixed value: a file/table stem starting with 8+ digits and "_" is a batch output.
 PRIMARY_STEM = r"^\d{8,}_"
 
-_FORBIDDEN = re.compile(r"\b(reflect|try_reflect|java_method|select)\b", re.I)
+_FORBIDDEN = {"reflect", "try_reflect", "java_method"}
+
+
+def view_name(name: str) -> str:
+    """A valid view name for any table name; names that are valid already stay."""
+    if re.fullmatch(r"[A-Za-z0-9_]+", name):
+        return name
+    return re.sub(r"[^A-Za-z0-9_]", "_", name) + "_" + hashlib.sha256(name.encode()).hexdigest()[:8]
+
+
+def _check_expression(spark: SparkSession, expr: str) -> None:
+    """Refuse subqueries and reflection by the parsed expression, not by words in it."""
+    parsed = spark._jsparkSession.sessionState().sqlParser().parseExpression(expr)
+    todo = [parsed]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind in ("ScalarSubquery", "Exists", "InSubquery", "ListQuery", "LateralSubquery") or \
+                kind == "UnresolvedFunction" and node.nameParts().mkString(".").split(".")[-1].lower() in _FORBIDDEN:
+            raise ValueError("Invalid query expression: reflection and subqueries are not allowed")
+        children = node.children()
+        todo += [children.apply(k) for k in range(children.size())]
 
 
 def role_of(stem: Column | str) -> Column:
@@ -95,7 +117,7 @@ class Tables:
         self._tables[name] = df
         self._roles[name] = role
         if view:
-            df.createOrReplaceTempView(name)
+            df.createOrReplaceTempView(view_name(name))
         return df
 
     def names(self) -> list[str]:
@@ -179,7 +201,9 @@ class Tables:
                 num = None
             if num is not None:
                 lhs = c.cast("double") if isinstance(dtype, T.BooleanType) else c
-                return Filter(col, value, lhs == F.lit(num), None)
+                # a FLOAT column holds the rounded literal
+                rhs = F.lit(num).cast(dtype) if isinstance(dtype, T.FloatType) else F.lit(num)
+                return Filter(col, value, lhs == rhs, None)
         res = resolve_value(df, col, value)
         if isinstance(dtype, T.StringType) and res.variants:
             pred = c.isin(res.variants)
@@ -192,7 +216,7 @@ class Tables:
         df = self._tables[t]
         if filter_column in self.enums and filter_value not in self.enums[filter_column]:
             raise InvalidEnumValue(filter_column, sorted(self.enums[filter_column]))
-        if filter_column and filter_value is not None:
+        if filter_column and filter_value not in (None, ""):      # an empty value means the whole table
             f = self.equality_filter(df, filter_column, filter_value)
             return t, df.where(f.predicate), f
         return t, df, None
@@ -217,13 +241,14 @@ class Tables:
         """a Spark SQL boolean expression (or Column) over one table."""
         df = self.table(table)
         if isinstance(expr, str):
-            if _FORBIDDEN.search(expr):
-                raise ValueError("Invalid query expression: reflection and subqueries are not allowed")
             try:
+                _check_expression(self.spark, expr)
                 pred = F.expr(expr)
                 out = df.where(pred)
                 out.schema  # analyse now so bad names fail here
-            except Exception as exc:  # noqa: BLE001 - reported as the reference does
+            except ValueError:
+                raise
+            except Exception as exc:  # noqa: BLE001 - reported to the caller
                 raise ValueError(f"Invalid query expression: {exc}") from exc
             return out
         return df.where(expr)

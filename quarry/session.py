@@ -99,6 +99,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder exists, in whatever store the path names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(target).isDirectory()
+
+
 def materialize(df, name: str):
     """Write ``df`` once as Parquet under the shared scratch folder and read it back.
 
@@ -134,4 +145,4 @@ def local_path(p: str) -> str:
 
 
 __all__ = ["build_session", "ship_package", "ensure_checkpoint_dir", "scratch_path", "local_path", "materialize",
-           "estimated_partitions"]
+           "estimated_partitions", "path_exists", "is_folder"]

@@ -93,13 +93,3 @@ def load_folder(spark: SparkSession, folder: str, kind: str = "files"):
     for e in catalogue(spark, folder):
         t.register(e.table, read_entry(spark, e), role=e.role)
     return t
-
-
-def read_excel(spark: SparkSession, path: str, sheet=0) -> DataFrame:
-    """Workbooks only where openpyxl is installed on the cluster."""
-    try:
-        import openpyxl  # noqa: F401
-    except ImportError as exc:
-        raise ImportError("reading workbooks needs openpyxl on every node") from exc
-    import pyspark.pandas as ps
-    return ps.read_excel(path, sheet_name=sheet).to_spark()

@@ -1,12 +1,13 @@
 """Consecutive-duplicate suppression on a stream, with bounded state.
 
-State per conversation is the last non-empty id (and the newest event time
-seen).  Rows of one key inside one micro-batch are ordered by event time
-before the rule is applied, so a stream fed the same rows in one trigger
-gives exactly the batch result (:func:`quarry.operators.events.consecutive_dedup`).
+State per conversation is the last non-empty id, nothing else.  Rows of one
+key inside one micro-batch are ordered by event time before the rule is
+applied, so a stream fed the same rows in one trigger gives exactly the batch
+result (:func:`quarry.operators.events.consecutive_dedup`).  Across triggers
+the order of arrival counts: a row that arrives late is compared with the last
+id seen and is never lost, which is why there is no watermark and no timeout.
 Memory per key per trigger is bounded by the trigger size
-(``maxFilesPerTrigger``); state of a key is dropped after ``ttl`` of event
-time without activity (watermark-driven timeout).
+(``maxBytesPerTrigger``).
 
 ``dropDuplicatesWithinWatermark`` is not the same rule: it drops
 non-adjacent repeats too.
@@ -23,35 +24,22 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def consecutive_dedup_stream(stream: DataFrame, key: str, ts_col: str, tiebreak: str,
-                             id_col: str, watermark: str = "1 hour",
-                             ttl_ms: int = 24 * 3600 * 1000) -> DataFrame:
+                             id_col: str) -> DataFrame:
     empty = F.coalesce(F.col(id_col), F.lit("")) == ""
     schema = stream.schema
-    names = schema.fieldNames()
-    # watermarks need TIMESTAMP (with zone); TIMESTAMP_NTZ is read as session-zone time
-    watermarked = stream.withColumn("__event_time", F.col(ts_col).cast("timestamp")) \
-        .withWatermark("__event_time", watermark)
-    passthrough = watermarked.where(empty).drop("__event_time")
+    passthrough = stream.where(empty)
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         pdf = pd.concat(list(batches), ignore_index=True)
         if pdf.empty:
             return
         pdf = pdf.sort_values([ts_col, tiebreak], kind="mergesort")
         last = state.get[0] if state.exists else None
         ids = pdf[id_col].tolist()
-        prev = [last] + ids[:-1]
-        keep = [i != p for i, p in zip(ids, prev)]
+        keep = [i != p for i, p in zip(ids, [last] + ids[:-1])]
         state.update((ids[-1],))
-        newest = pd.Timestamp(pdf["__event_time"].max())
-        if newest.tzinfo is None:
-            newest = newest.tz_localize("UTC")
-        state.setTimeoutTimestamp(int(newest.timestamp() * 1000) + ttl_ms)
-        yield pdf.loc[keep, names]
-
-    kept = watermarked.where(~empty).groupBy(key).applyInPandasWithState(
-        step, schema, "last_id string", "append", GroupStateTimeout.EventTimeTimeout)
+        yield pdf.loc[keep]
+
+    kept = stream.where(~empty).groupBy(key).applyInPandasWithState(
+        step, schema, "last_id string", "append", GroupStateTimeout.NoTimeout)
     return kept.unionByName(passthrough)

@@ -9,19 +9,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from quarry.session import scratch_path
+from quarry.session import is_folder, scratch_path
+
+#: Bytes of input files that one trigger takes at most (what a stateful key can hold in memory).
+TRIGGER_BYTES = 1 << 30
 
 
 def run_available(stream: DataFrame, name: str, sink: str | None = None,
-                  checkpoint: str | None = None, timeout_s: int = 600) -> DataFrame:
-    """Process everything available now, then return the sink as a batch DataFrame."""
+                  checkpoint: str | None = None, timeout_s: int | None = None) -> DataFrame:
+    """Process everything available now, then return the sink as a batch DataFrame.
+
+    There is no time limit unless ``timeout_s`` sets one.
+    """
     spark = stream.sparkSession
     sink = sink or scratch_path(spark, f"{name}-out")
     checkpoint = checkpoint or scratch_path(spark, f"{name}-ckpt")
     q = (stream.writeStream.format("parquet").option("path", sink)
          .option("checkpointLocation", checkpoint).outputMode("append")
          .trigger(availableNow=True).queryName(name).start())
-    q.awaitTermination(timeout_s)
+    if timeout_s is None:
+        q.awaitTermination()
+    else:
+        q.awaitTermination(timeout_s)
     if q.isActive:
         q.stop()
         raise TimeoutError(f"stream {name} did not finish in {timeout_s}s")
@@ -30,10 +39,12 @@ def run_available(stream: DataFrame, name: str, sink: str | None = None,
     return spark.read.schema(stream.schema).parquet(sink)
 
 
-def read_table_stream(spark, directory: str, table: str, max_files: int | None = None) -> DataFrame:
-    """A file stream over one table of a directory of ``<table>.parquet`` files."""
-    schema = spark.read.parquet(f"{directory}/{table}.parquet").schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
-    if max_files:
-        r = r.option("maxFilesPerTrigger", max_files)
-    return r.parquet(directory)
+def read_table_stream(spark, directory: str, table: str, max_files: int | None = None,
+                      max_bytes: int = TRIGGER_BYTES) -> DataFrame:
+    """A file stream over ``<table>.parquet`` of a directory, a single file or a folder of parts."""
+    path = f"{directory}/{table}.parquet"
+    r = spark.readStream.schema(spark.read.parquet(path).schema)
+    r = r.option("maxFilesPerTrigger", max_files) if max_files else r.option("maxBytesPerTrigger", max_bytes)
+    if is_folder(spark, path):
+        return r.parquet(path)
+    return r.option("pathGlobFilter", f"{table}.parquet").parquet(directory)
