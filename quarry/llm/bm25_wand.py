@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import slices, table, word_ids
+from quarry.llm.common import slices, small_batches, table, word_ids
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5         # share of an item's own BM25 score
@@ -245,7 +245,7 @@ def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     sc = docs.sparkSession.sparkContext
     out = None
     for shard in load(benchmark, **index):
-        found = narrow.mapInArrow(_searcher(sc.broadcast(shard), threshold, overlap, ngram), SCHEMA)
+        found = small_batches(narrow).mapInArrow(_searcher(sc.broadcast(shard), threshold, overlap, ngram), SCHEMA)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], SCHEMA)
 
@@ -278,7 +278,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", th
         return run
 
     for shard in load(benchmark, **index):
-        docs = docs.mapInArrow(cleaner(sc.broadcast(shard)), docs.schema)
+        docs = small_batches(docs).mapInArrow(cleaner(sc.broadcast(shard)), docs.schema)
     return docs
 
 

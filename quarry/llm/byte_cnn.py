@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import slices, table
+from quarry.llm.common import slices, small_batches, table
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
@@ -223,7 +223,7 @@ def identify(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: str =
     narrow = docs.select(docs[id_col].cast("long").alias("doc_id"),
                          (_fold(docs[id_col].cast("long"), 4) == 2).alias("held_out"), text.alias("text"),
                          F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"))
-    return narrow.mapInArrow(run, SCHEMA)
+    return small_batches(narrow).mapInArrow(run, SCHEMA)
 
 
 def op9_byte_cnn(spark, sf_dir: str) -> DataFrame:

@@ -5,7 +5,10 @@ A *word* is ``[^\\x20\\x09-\\x0D]+`` throughout: text between ASCII blanks.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
+import re
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -16,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that one task works on at a time (a longer text stands alone).
 SLICE_BYTES = 4 << 20
+#: Bytes of one Arrow batch between the JVM and Python.
+ARROW_BYTES = 8 << 20
 
 
 _held: dict = {}
@@ -31,7 +36,7 @@ def hold(key, build: Callable):
     if key not in _held:
         _held.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
+        _give_back()
         if key is None:
             return None
         _held[key] = build()
@@ -54,6 +59,25 @@ def slices(batches: Iterable[pa.RecordBatch], column: str | int,
             stop = max(start + 1, int(np.searchsorted(ends, base + max_bytes, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+    _give_back()
+
+
+def _give_back() -> None:
+    """Return freed memory to the system: an idle worker must not hold what a finished task used."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):      # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, with Arrow batches to Python of at most ARROW_BYTES (a session setting; a smaller one stays).
+
+    Spark's default of 64 MB is held in the JVM and in Python for every task.
+    """
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", conf.get(name))) > ARROW_BYTES or not re.fullmatch(r"\d+b?", conf.get(name)):
+        conf.set(name, str(ARROW_BYTES))
+    return docs
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:

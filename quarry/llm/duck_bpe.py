@@ -29,13 +29,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from quarry.llm.common import hold, slices, table
+from quarry.llm.common import hold, slices, small_batches, table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 MAX_RANK_BYTES = 64 << 20
 QUERY_BYTES = 512 << 10     # bytes of new words in one recursive query
 LONG_WORD = 64              # bytes from which occurrences are contracted together
-MAX_WORDS = 400_000         # encoded words kept per process; beyond it they are encoded anew
+MAX_WORDS = 300_000         # encoded words kept per process; beyond it they are encoded anew
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 #: One contraction per word and step.
@@ -206,7 +206,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
                 ["doc_id", "n_tokens", *names])
 
     narrow = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return narrow.mapInArrow(run, SCHEMA if digest else "doc_id long, n_tokens long, ids array<int>, decoded binary")
+    return small_batches(narrow).mapInArrow(run, SCHEMA if digest else "doc_id long, n_tokens long, ids array<int>, decoded binary")
 
 
 def public_ranks(name: str = TOKENIZER) -> tuple[bytes, str]:

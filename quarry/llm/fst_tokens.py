@@ -34,7 +34,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from quarry.llm.common import hold, slices, table
+from quarry.llm.common import hold, slices, small_batches, table
 
 SPACE = "▁"
 TOKENIZER = "piece_bpe_32k.model"
@@ -268,7 +268,7 @@ def token_counts(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col
                  pa.array(tokens > max_tokens)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     narrow = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return narrow.mapInArrow(run, SCHEMA)
+    return small_batches(narrow).mapInArrow(run, SCHEMA)
 
 
 def model_bytes(name: str = TOKENIZER) -> bytes:

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import members as members_of
-from quarry.llm.common import hold, mix64, slices, table, word_ids
+from quarry.llm.common import hold, mix64, slices, small_batches, table, word_ids
 from quarry.session import materialize
 
 SYMBOLS, CHUNK, ERRORS = 50, 5, 1
@@ -135,7 +135,7 @@ def _sketch(docs: DataFrame, n: int) -> DataFrame:
                                              ["id", "th", "n_shingles", "cls", *_LANE_COLS])
 
     schema = "id long, th long, n_shingles long, cls binary, " + ", ".join(f"{c} long" for c in _LANE_COLS)
-    return docs.select("id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, schema)
+    return small_batches(docs.select("id", F.xxhash64("text").alias("th"), "text")).mapInArrow(run, schema)
 
 
 def _keys(reps: DataFrame) -> DataFrame:

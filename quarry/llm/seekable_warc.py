@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import table
+from quarry.llm.common import small_batches, table
 from quarry.session import materialize, scratch_path
 
 MIN_REVISIT = 100
@@ -182,7 +182,7 @@ def write(pages: DataFrame, folder: str, min_bytes: int = MIN_REVISIT, frame_byt
         yield from writer.finished()
 
     # materialised: the files are written once, and the index names those of committed tasks only
-    return materialize(rows.mapInArrow(run, INDEX), "warc-index")
+    return materialize(small_batches(rows).mapInArrow(run, INDEX), "warc-index")
 
 
 class _Writer:

@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from quarry.llm.common import mix64, slices, table, word_ids
+from quarry.llm.common import mix64, slices, small_batches, table, word_ids
 
 WINDOW = 5              # words in a repeat, at least
 MIN_WORDS = 10          # shorter texts fail the base rule
@@ -180,7 +180,7 @@ def repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     names = [c.strip().split(" ")[0] for c in SCHEMA.split(", ")]
     narrow = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return narrow.mapInArrow(run, SCHEMA)
+    return small_batches(narrow).mapInArrow(run, SCHEMA)
 
 
 def op1_suffix_repetition(spark, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import hold, mix64, slices, split_words, table
+from quarry.llm.common import hold, mix64, slices, small_batches, split_words, table
 
 SAMPLE_BYTES = 12 << 20     # labelled text per class that the fit may use
 ORDINARY_DICT = 64 << 10
@@ -40,7 +40,7 @@ TOXIC_DICT = 8 << 10
 WINDOW_BYTES = 48           # longer words are cut
 GRAM = 6
 LEVELS = (2, 3, 4, 5)       # gains in bytes whose counts are features
-MAX_CACHE = 300_000         # window gains kept per process
+MAX_CACHE = 200_000         # window gains kept per process
 TRAILER = bytes(33 + (k * 37) % 90 for k in range(48))
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
@@ -240,7 +240,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     narrow = docs.select(docs[id_col].cast("long").alias("doc_id"),
                          (_fold(docs[id_col].cast("long"), 5) == 0).alias("held_out"),
                          docs[text_col].cast("string").alias("text"))
-    return narrow.mapInArrow(run, SCHEMA)
+    return small_batches(narrow).mapInArrow(run, SCHEMA)
 
 
 def keep_ordinary(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -252,7 +252,7 @@ def keep_ordinary(docs: DataFrame, model: Model, text_col: str = "text") -> Data
         for part in slices(batches, at):
             yield part.filter(pa.array(held.score(part.column(at)) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def op4_zstd_toxicity(spark, sf_dir: str) -> DataFrame:
