@@ -36,7 +36,7 @@ def hold(key, build: Callable):
     if key not in _held:
         _held.clear()
         gc.collect()
-        _give_back()
+        give_back()
         if key is None:
             return None
         _held[key] = build()
@@ -59,10 +59,10 @@ def slices(batches: Iterable[pa.RecordBatch], column: str | int,
             stop = max(start + 1, int(np.searchsorted(ends, base + max_bytes, "right")))
             yield batch.slice(start, stop - start)
             start = stop
-    _give_back()
+    give_back()
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Return freed memory to the system: an idle worker must not hold what a finished task used."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):      # only glibc has it

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import hold, mix64, slices, small_batches, split_words, table
+from quarry.llm.common import give_back, hold, mix64, slices, small_batches, split_words, table
 
 SAMPLE_BYTES = 12 << 20     # labelled text per class that the fit may use
 ORDINARY_DICT = 64 << 10
@@ -219,7 +219,12 @@ def train(docs: DataFrame, labels: DataFrame, sample_bytes: int = SAMPLE_BYTES)
     # thin the texts before the join moves them
     most = round(max(share.values(), default=0.0) * 1_000_000)
     got = rows.where(slot < most).join(chosen, "doc_id").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
-    return fit(got["text"].to_pylist(), [int(t > 0) for t in got["toxic"].to_pylist()], got["doc_id"].to_pylist())
+    sample = got["text"].to_pylist(), [int(t > 0) for t in got["toxic"].to_pylist()], got["doc_id"].to_pylist()
+    del got
+    model = fit(*sample)
+    del sample
+    give_back()         # the driver must not hold what the sample and its n-grams used
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
