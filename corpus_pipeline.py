@@ -51,9 +51,12 @@ def decontaminate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every text that is left."""
+    """Token counts and digests of every text that is left.
+
+    The word cache is half its default: here executors still hold what the earlier stages grew to.
+    """
     ship_package(spark)
-    return duck_bpe.encode(docs, *duck_bpe.public_ranks())
+    return duck_bpe.encode(docs, *duck_bpe.public_ranks(), max_words=duck_bpe.MAX_WORDS // 2)
 
 
 STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup),

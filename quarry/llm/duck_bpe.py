@@ -35,7 +35,7 @@ TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 MAX_RANK_BYTES = 64 << 20
 QUERY_BYTES = 512 << 10     # bytes of new words in one recursive query
 LONG_WORD = 64              # bytes from which occurrences are contracted together
-MAX_WORDS = 300_000         # encoded words kept per process; beyond it they are encoded anew
+MAX_WORDS = 600_000         # encoded words kept per process; beyond it they are encoded anew
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 #: One contraction per word and step.
@@ -89,10 +89,11 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 class Codec:
     """The merge table in DuckDB, and the words encoded so far."""
 
-    def __init__(self, data: bytes, pattern: str):
+    def __init__(self, data: bytes, pattern: str, max_words: int = MAX_WORDS):
         import duckdb
         import regex
 
+        self.max_words = max_words
         self.ranks = read_ranks(data)
         self.pattern = regex.compile(pattern)
         self.single = [self.ranks[bytes([b])] for b in range(256)]
@@ -162,7 +163,7 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[list[tuple[str, int, bytes]]]:
         """Per text its words in order, each as (ids joined by commas, their number, decoded bytes)."""
-        if len(self.words) > MAX_WORDS:
+        if len(self.words) > self.max_words:
             self.words.clear()
         cut = [self.pattern.findall(t) for t in texts]
         self.learn(set().union(*cut) - self.words.keys())
@@ -171,11 +172,13 @@ class Codec:
 
 
 def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-           output: str = "digest") -> DataFrame:
+           output: str = "digest", max_words: int = MAX_WORDS) -> DataFrame:
     """Encode and decode every whole text.
 
     ``output='digest'``: doc_id, n_tokens, ids_sha256, decoded_sha256.
     ``output='ids'``: doc_id, n_tokens, ids (array of int), decoded (binary).
+    ``max_words`` bounds the encoded words that a worker keeps (some 350 bytes
+    each); fewer take less memory and more time.
     A null or empty text has no token and decodes to nothing.  Null ids and
     repeated rows give a row each; other columns are ignored.
     """
@@ -186,7 +189,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = sent.value
-        codec = hold(("bpe", data, pattern), lambda: Codec(data, pattern))
+        codec = hold(("bpe", data, pattern, max_words), lambda: Codec(data, pattern, max_words))
         for part in slices(batches, 1):
             n, first, second = [], [], []
             for words in codec.encode(pc.fill_null(part.column(1), "").to_pylist()):
