@@ -9,18 +9,20 @@ outer blanks, by a 64-bit hash.
    at least ``LONG_LINE`` words is a fingerprint by itself.  Two equal runs of
    ``GRAM + WINDOW - 1`` lines hold the same window, so they share a
    fingerprint; a shorter run of more than 50 words has a line of 17 or more.
-2. Join.  Each fingerprint meets its earliest occurrence (by document id, then
-   line), which gives diagonals (document, earlier document, line shift).
-3. Extension.  Both line arrays are laid over each other on the diagonal and
-   every maximal equal run is taken, as far as it reaches both ways.
-4. Runs of at least ``MIN_WORDS`` words are deleted from the later document.
-   Inside one document each fingerprint is laid over its occurrence before, and
-   the later runs go as well.
-
-Only DataFrame functions are used.  Work is linear in the lines: an occurrence
-meets the first one, never each other.  A hot fingerprint or a document that
-many others copy skews a sort-merge join, which adaptive execution splits;
-repeated fingerprints are found by partial aggregation.
+   Rows without a fingerprint that occurs again take no further part.
+2. Passages.  Of each line the shortest run from it, and the shortest run up to
+   it, of at least ``MIN_WORDS`` words is hashed.  A longer run is the union of
+   such passages, and each is fixed by its own lines, so it is found again
+   wherever the run stands.
+3. Join.  Each passage meets the least document id that holds it, whichever
+   document that is: two passages of one run may have different sources.
+4. Passages that an earlier document holds are deleted from the later one.
+   Inside one document a passage goes wherever it stood before.
+
+Only DataFrame functions are used.  Work is linear in the lines: a line
+has two passages, and an occurrence meets one id, never the other occurrences.
+A hot passage skews a sort-merge join, which adaptive execution splits; the
+least ids are found by partial aggregation.
 """
 
 from __future__ import annotations
@@ -92,48 +94,84 @@ def fingerprints(lines: DataFrame, gram: int = GRAM, window: int = WINDOW, long_
             .select("id", _once(ranked).alias("p")))
 
 
-def diagonals(marks: DataFrame) -> DataFrame:
-    """(id, sid, shift): line i of document id may repeat line i + shift of document sid.
-
-    Across documents sid is the first one that holds the fingerprint; inside a
-    document a fingerprint is laid over its occurrence before (so a periodic
-    text has one diagonal, not one per period).
-    """
+def repeating(lines: DataFrame, marks: DataFrame) -> DataFrame:
+    """The rows of ``lines`` that may hold a fingerprint that occurs again: all that do, and few others."""
     places = marks.select("id", F.explode("p").alias("f")).select(
-        F.col("f.key").alias("key"), "id", F.col("f.pos").alias("pos"), F.col("f.prev").alias("prev"))
-    firsts = places.where("prev IS NULL").select("key", "id", "pos")
+        F.col("f.key").alias("key"), "id", F.col("f.prev").alias("prev"))
+    firsts = places.where("prev IS NULL").select("key", "id")
     twice = firsts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    shared = materialize(firsts.join(twice, "key"), "repeated-fingerprints")
-    first = shared.groupBy("key").agg(F.min(F.struct("id", "pos")).alias("src"))
-    across = (shared.join(first, "key").where("id > src.id")
-              .select("id", F.col("src.id").alias("sid"), (F.col("src.pos") - F.col("pos")).alias("shift")))
-    inside = places.where("prev IS NOT NULL").select("id", F.col("id").alias("sid"), F.expr("prev - pos").alias("shift"))
-    return across.unionByName(inside).distinct()
+    again = members(firsts, "key", twice).select("id").unionByName(places.where("prev IS NOT NULL").select("id"))
+    return members(lines, "id", again)
+
+
+def passages(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, th, p): the shortest runs of at least ``min_words`` words from each line on and up to each line.
+
+    p is an array of (key, first, last, again) in key order; ``again`` says that
+    the passage stood before in the same row.  Every line of a run of at least
+    ``min_words`` words lies in a passage inside the run: in the one up to it if
+    the run has enough words so far, else in the one from the run's start.
+    """
+    units = "filter(arrays_zip(h, w, sequence(0, size(h) - 1)), x -> x.w > 0)"      # lines with words
+    # words * 2^20 + lines, up to the line that makes them enough
+    enough = f"{min_words} * 1048576L"
+    reach = f"aggregate({{part}}, 0L, (s, x) -> if(s >= {enough}, s, s + x * 1048576L + 1L))"
+    ahead = reach.format(part=f"slice(uw, i + 1, {min_words})")
+    behind = reach.format(part=f"reverse(slice(uw, greatest(i + 2 - {min_words}, 1), least(i + 1, {min_words})))")
+    size = "CAST(x % 1048576L AS int)"
+    # blank lines inside a passage count by the distance to the next line, those before or behind it one by one
+    ends = {"ahead": ("i", f"i + {size} - 1"), "behind": (f"i - {size} + 1", "i")}
+    found = {side: f"filter(transform({side}, (x, i) -> if(x < {enough}, null, named_struct('first', {a}, 'last', {b}))),"
+                   " r -> r IS NOT NULL)" for side, (a, b) in ends.items()}
+    body = "xxhash64(slice(uh, r.first + 1, r.last - r.first), element_at(hs, r.last + 1))"
+    hashed = {"ahead": f"transform({found['ahead']}, r -> named_struct('body', {body}, 'first', up[r.first],"
+                       " 'last', up[r.last], 'room', up[r.first] - if(r.first = 0, -1, up[greatest(r.first - 1, 0)]) - 1))",
+              "behind": f"transform({found['behind']}, r -> named_struct('body', {body}, 'first', up[r.first],"
+                        " 'last', up[r.last], 'room', if(r.last + 1 = size(up), lines, up[least(r.last + 1, size(up) - 1)])"
+                        " - up[r.last] - 1))"}
+    placed = {"ahead": "transform(sequence(0, r.room), k -> named_struct('key', xxhash64(k, r.body, 0),"
+                       " 'first', r.first - k, 'last', r.last))",
+              "behind": "transform(sequence(0, r.room), k -> named_struct('key', xxhash64(0, r.body, k),"
+                        " 'first', r.first, 'last', r.last + k))"}
+    every = ", ".join(f"flatten(transform({side}, r -> {expr}))" for side, expr in placed.items())
+    # the same passage may be found from both of its ends: entries that repeat the one before go
+    ranked = ("filter(zip_with(p, concat(array(null), slice(p, 1, greatest(size(p) - 1, 0))), (x, y) -> named_struct("
+              "'key', x.key, 'first', x.first, 'last', x.last, 'again', coalesce(x.key = y.key, false),"
+              " 'same', x.key <=> y.key AND x.first <=> y.first)), x -> NOT x.same)")
+    return (lines.select("id", "th", F.size("h").alias("lines"), _once(units).alias("u"))
+            # a field of an array read inside a lambda would be read anew for every entry
+            .select("id", "th", "lines", _once("u.h").alias("hs"), _once("u.w").alias("uw"), _once("u.`2`").alias("up"))
+            .select("id", "th", "lines", "hs", "up",
+                    _once("transform(hs, (x, i) -> xxhash64(x, if(i + 1 = size(up), 0,"
+                          " up[least(i + 1, size(up) - 1)] - up[i])))").alias("uh"),
+                    _once(f"transform(uw, (x, i) -> {ahead})").alias("ahead"),
+                    _once(f"transform(uw, (x, i) -> {behind})").alias("behind"))
+            .select("id", "th", *[_once(expr).alias(side) for side, expr in hashed.items()])
+            .select("id", "th", _once(f"sort_array(concat({every}))").alias("p"))
+            .select("id", "th", _once(f"transform({ranked}, x -> named_struct('key', x.key, 'first', x.first,"
+                                      " 'last', x.last, 'again', x.again))").alias("p")))
 
 
 def repeated_runs(lines: DataFrame, gram: int = GRAM, window: int = WINDOW, long_line: int = LONG_LINE,
                   min_words: int = MIN_WORDS) -> DataFrame:
     """(id, th, runs): the line runs to delete, as arrays of (first, last), one row per document that has any."""
     marks = materialize(fingerprints(lines, gram, window, long_line), "fingerprints")
-    laid = materialize(diagonals(marks), "diagonals")
-    # only documents on a diagonal are moved
-    source = members(lines.select(F.col("id").alias("sid"), F.col("th").alias("sth"), F.col("h").alias("sh")),
-                     "sid", laid.select("sid"))
-    own = members(lines, "id", laid.select("id"))
-    other = ("CASE WHEN shift >= 0 THEN slice(sh, shift + 1, greatest(size(sh) - shift, 0))"
-             " ELSE concat(array_repeat(CAST(null AS bigint), -shift), sh) END")
-    breaks = ("concat(array(-1), array_compact(transform(slice(zip_with(h, other, (a, b) -> coalesce(a = b, false)),"
-              " 1, size(h)), (same, i) -> if(same, null, i))), array(size(h)))")
-    # between consecutive breaks lie the equal runs
-    runs = ("filter(zip_with(slice(breaks, 1, size(breaks) - 1), slice(breaks, 2, size(breaks) - 1),"
-            " (a, b) -> named_struct('first', a + 1, 'last', b - 1)),"
-            " r -> r.last >= r.first AND aggregate(slice(w, r.first + 1, r.last - r.first + 1), 0,"
-            f" (s, x) -> s + x) >= {min_words})")
+    held = materialize(passages(repeating(lines, marks), min_words), "passages")
+    places = held.select("id", "th", F.explode("p").alias("f")).select("id", "th", "f.*")
+    firsts = places.where("NOT again").drop("again")
+    source = (firsts.groupBy("key").agg(F.min("id").alias("sid"), F.max("id").alias("top")).where("sid < top")
+              .select("key", "sid"))
     # one plan at every size: both sides grow with the corpus, so neither is broadcast
-    found = (laid.join(source.hint("merge"), "sid").join(own.hint("merge"), "id").where("id <> sid OR th = sth")
-             .withColumn("other", _once(other)).withColumn("breaks", _once(breaks))
-             .select("id", "th", _once(runs).alias("runs")).where("size(runs) > 0"))
-    return found.groupBy("id", "th").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"))
+    across = firsts.join(source.hint("merge"), "key").where("id > sid").select("id", "th", "first", "last")
+    gone = across.unionByName(places.where("again").select("id", "th", "first", "last"))
+    # in order of their first lines the last ones rise too, so neighbours show where a run ends
+    before = "concat(array(-2), slice(r.last, 1, size(r) - 1))"
+    behind = "concat(slice(r.first, 2, size(r) - 1), array(2147483647))"
+    starts = f"array_compact(zip_with(r.first, {before}, (a, b) -> if(a > b + 1, a, null)))"
+    stops = f"array_compact(zip_with(r.last, {behind}, (a, b) -> if(b > a + 1, a, null)))"
+    return (gone.groupBy("id", "th").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("r"))
+            .select("id", "th", _once(f"zip_with({starts}, {stops}, (a, b) -> named_struct('first', a, 'last', b))")
+                    .alias("runs")))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM,

@@ -129,6 +129,32 @@ def test_line_dedup_against_brute_force(spark):
     assert all(got[i]["text"] == t for i, t in docs if not got[i]["n_removed"])
 
 
+def test_line_dedup_finds_passages_whose_lines_stand_elsewhere(spark):
+    """A part of a passage in an earlier document must not hide the whole passage in another one."""
+    random.seed(11)
+    make = lambda n: " ".join(random.choice("abcdefghij") + str(random.randint(0, 999)) for _ in range(n))
+    docs = []
+    for t in range(0, 120, 3):
+        lines = [make(n) + ". " for n in (16, 20, 16)]
+        alone = lambda: make(9) + ". "
+        docs += [(t, alone() + lines[1] + alone()), (t + 1, alone() + "".join(lines) + alone()),
+                 (t + 2, alone() + "".join(lines) + alone())]
+    shared = [make(random.randint(1, 19)) + random.choice([". ", "\n", ".\n\n", "! "]) for _ in range(25)]
+    for i in range(120, 180):
+        parts = []
+        for _ in range(random.randint(2, 5)):
+            k = random.randrange(25)
+            parts += [*shared[k:k + random.randint(1, 8)], make(random.randint(1, 9)) + random.choice([". ", "\n\n"])]
+        docs.append((i, "".join(parts)))
+    got = {r["doc_id"]: r["text"] for r in line_winnow.dedup_lines(frame(spark, docs)).collect()}
+    least = brute_lines(docs)
+    assert all(got[i] == least[i] for i in range(120))
+    for i in range(120, 180):       # short runs without a long line may lack a fingerprint, all others go
+        rest = iter(cut_lines(got[i]))
+        assert all(line in rest for line in cut_lines(least[i]) if line), i
+    assert sum(got[i] == least[i] for i in range(120, 180)) >= 58
+
+
 def test_line_dedup_edges(spark):
     got = line_winnow.dedup_lines(frame(spark, EDGE)).collect()
     assert sorted(((r["doc_id"] or 0), r["text"] or "") for r in got if r["doc_id"] != 8) == \
