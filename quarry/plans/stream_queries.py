@@ -12,13 +12,12 @@ from quarry.plans import extract_queries as XQ
 from quarry.plans import shape_queries as SQ
 from quarry.streaming.dedup import consecutive_dedup_stream
 from quarry.streaming.extract import extract_stream
-from quarry.streaming.runner import read_table_stream, run_available
+from quarry.streaming.runner import read_table_stream, run_available, run_in_order
 
 
 def stream_dedup(spark, sf_dir) -> DataFrame:
-    s = read_table_stream(spark, sf_dir, "events")
-    out = consecutive_dedup_stream(s, "user_id", "ts", "event_id", "event_type")
-    return run_available(out, "stream_dedup")
+    return run_in_order(spark, sf_dir, "events", "ts", lambda s: consecutive_dedup_stream(
+        s, "user_id", "ts", "event_id", "event_type"), "stream_dedup")
 
 
 def stream_extract(spark, sf_dir) -> DataFrame:

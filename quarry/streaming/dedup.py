@@ -4,8 +4,11 @@ State per conversation is the last non-empty id, nothing else.  Rows of one
 key inside one micro-batch are ordered by event time before the rule is
 applied, so a stream fed the same rows in one trigger gives exactly the batch
 result (:func:`quarry.operators.events.consecutive_dedup`).  Across triggers
-the order of arrival counts: a row that arrives late is compared with the last
-id seen and is never lost, which is why there is no watermark and no timeout.
+the order of arrival counts: a row that arrives in a later trigger than rows
+after it is compared with the last id seen, so it can be dropped where the
+batch rule keeps it, or kept where that drops it.  A table of any size gives the batch result by
+:func:`quarry.streaming.runner.run_in_order`, whose triggers follow event time.
+There is no watermark and no timeout.
 Memory per key per trigger is bounded by the trigger size
 (``maxBytesPerTrigger``).
 
@@ -33,7 +36,7 @@ def consecutive_dedup_stream(stream: DataFrame, key: str, ts_col: str, tiebreak:
         pdf = pd.concat(list(batches), ignore_index=True)
         if pdf.empty:
             return
-        pdf = pdf.sort_values([ts_col, tiebreak], kind="mergesort")
+        pdf = pdf.sort_values([ts_col, tiebreak], kind="mergesort", na_position="first")
         last = state.get[0] if state.exists else None
         ids = pdf[id_col].tolist()
         keep = [i != p for i, p in zip(ids, [last] + ids[:-1])]

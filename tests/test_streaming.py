@@ -1,7 +1,9 @@
+from pyspark.sql import functions as F
+
 from quarry.operators.events import consecutive_dedup
 from quarry.plans import stream_queries
 from quarry.streaming.dedup import consecutive_dedup_stream
-from quarry.streaming.runner import run_available
+from quarry.streaming.runner import run_available, run_in_order
 from tests.conftest import SF001
 
 
@@ -34,3 +36,23 @@ def test_stream_extract_matches_batch(spark):
     got = stream_queries.stream_extract(spark, SF001)
     exp = XQ.extract_flat(spark, SF001)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, exp.collect()))
+
+
+def test_large_table_in_several_triggers_equals_batch(spark, scratch):
+    """Files hold late rows: A@1, A@3 come before B@2, and the batch rule keeps all three."""
+    files = [[("c", "2024-01-01 00:00:01", 1, "A"), ("c", "2024-01-01 00:00:03", 3, "A")],
+             [("c", "2024-01-01 00:00:02", 2, "B"), ("d", "2024-01-01 00:00:02", 4, "B")],
+             [("d", "2024-01-01 00:00:01", 5, "B"), ("c", None, 6, "A"), ("d", "2024-01-01 00:00:09", 7, "")]]
+    for rows in files:
+        spark.createDataFrame(rows, "conv string, ts string, n int, id string") \
+            .withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1) \
+            .write.mode("append").parquet(f"{scratch}/in/events.parquet")
+    batches = []
+
+    def step(s):
+        batches.append(s)
+        return consecutive_dedup_stream(s, "conv", "ts", "n", "id")
+    out = run_in_order(spark, f"{scratch}/in", "events", "ts", step, "t_order", slice_bytes=1500)
+    exp = consecutive_dedup(spark.read.parquet(f"{scratch}/in/events.parquet"), "conv", ["ts", "n"], "id")
+    assert len(batches) > 1
+    assert sorted(r.n for r in out.collect()) == sorted(r.n for r in exp.collect()) == [2, 3, 5, 6, 7]
