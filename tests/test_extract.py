@@ -173,3 +173,15 @@ def test_resumable_skips_finished_buckets(spark, scratch):
     seen.clear()
     again = X.resumable(df, path, run, buckets=4)      # a restart: nothing left to call
     assert sum(seen) == 0 and again.count() == len(texts)
+
+
+def test_gold_scores_blank_rows(spark):
+    """A false intent on a blank comment must count against the extractor."""
+    from quarry.plans import extract_queries as XQ
+    from tests.conftest import SF001
+    gold = XQ.gold(spark, SF001)
+    blank = gold.where("id % 5 = 4")
+    assert gold.count() == spark.read.parquet(f"{SF001}/part.parquet").count()
+    assert blank.count() > 0 and blank.where("NOT (gold_intent <=> 0) OR gold_old IS NOT NULL").count() == 0
+    false = blank.selectExpr("id", "1 as replacement_intent", "'A' as old_part", "'B' as new_part")
+    assert {r.fp for r in X.scores(false, gold, "id").collect()} == {blank.count()}
