@@ -119,7 +119,22 @@ def materialize(df, name: str):
     """
     path = scratch_path(df.sparkSession, name)
     df.write.mode("errorifexists").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    written = df.sparkSession.read.parquet(path)
+    written._quarry_scratch = path
+    return written
+
+
+def discard(*written) -> None:
+    """Remove tables that ``materialize`` wrote, once everything made from them has itself been written.
+
+    Only the folders that ``materialize`` made are touched; other frames are left alone.
+    """
+    for df in written:
+        path = getattr(df, "_quarry_scratch", None)
+        if path:
+            spark = df.sparkSession
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def estimated_partitions(df, target_bytes: int = 128 * 1024 * 1024, cap: int = 200_000) -> int:
@@ -144,5 +159,5 @@ def local_path(p: str) -> str:
     return p[5:] if p.startswith("file:") else p
 
 
-__all__ = ["build_session", "ship_package", "ensure_checkpoint_dir", "scratch_path", "local_path", "materialize",
+__all__ = ["build_session", "ship_package", "ensure_checkpoint_dir", "scratch_path", "local_path", "materialize", "discard",
            "estimated_partitions", "path_exists", "is_folder"]
