@@ -10,14 +10,15 @@ from pyspark.sql import DataFrame
 
 from quarry.plans import extract_queries as XQ
 from quarry.plans import shape_queries as SQ
-from quarry.streaming.dedup import consecutive_dedup_stream
 from quarry.streaming.extract import extract_stream
-from quarry.streaming.runner import read_table_stream, run_available, run_in_order
+from quarry.streaming.ordered import on_time, run_to_end
+from quarry.streaming.runner import read_table_stream, run_available
 
 
 def stream_dedup(spark, sf_dir) -> DataFrame:
-    return run_in_order(spark, sf_dir, "events", "ts", lambda s: consecutive_dedup_stream(
-        s, "user_id", "ts", "event_id", "event_type"), "stream_dedup")
+    """E2 over the whole table, in event-time order whatever the order of its files (up to a day late)."""
+    stream = read_table_stream(spark, sf_dir, "events")
+    return on_time(run_to_end(stream, "user_id", "ts", "event_id", "event_type", "stream_dedup", lateness="1 day"))
 
 
 def stream_extract(spark, sf_dir) -> DataFrame:

@@ -6,9 +6,10 @@ applied, so a stream fed the same rows in one trigger gives exactly the batch
 result (:func:`quarry.operators.events.consecutive_dedup`).  Across triggers
 the order of arrival counts: a row that arrives in a later trigger than rows
 after it is compared with the last id seen, so it can be dropped where the
-batch rule keeps it, or kept where that drops it.  A table of any size gives the batch result by
-:func:`quarry.streaming.runner.run_in_order`, whose triggers follow event time.
-There is no watermark and no timeout.
+batch rule keeps it, or kept where that drops it.  There is no watermark and no
+timeout, so every row leaves in the trigger it came in.  Where the order of
+events matters more than delay, :mod:`quarry.streaming.ordered` waits for late
+rows and gives the batch result.
 Memory per key per trigger is bounded by the trigger size
 (``maxBytesPerTrigger``).
 

@@ -7,10 +7,7 @@ and executor loss.  Paths default to fresh folders under
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from quarry.session import is_folder, scratch_path
 
@@ -51,25 +48,3 @@ def read_table_stream(spark, directory: str, table: str, max_files: int | None =
     if is_folder(spark, path):
         return r.parquet(path)
     return r.option("pathGlobFilter", f"{table}.parquet").parquet(directory)
-
-
-def run_in_order(spark, directory: str, table: str, order_col: str, transform: Callable[[DataFrame], DataFrame],
-                 name: str, slice_bytes: int = TRIGGER_BYTES) -> DataFrame:
-    """Run a stateful ``transform`` over ``<table>.parquet`` so that triggers arrive in the order of ``order_col``.
-
-    A table of more than ``slice_bytes`` is written once as range slices, and
-    each slice is one trigger, fed after the one before has ended: file times
-    play no part.  Equal values of ``order_col`` share a slice, nulls come first.
-    """
-    rows = spark.read.parquet(f"{directory}/{table}.parquet")
-    n = -(-int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // slice_bytes)
-    if n <= 1:
-        return run_available(transform(read_table_stream(spark, directory, table, max_bytes=slice_bytes)), name)
-    staged, fed, sink, checkpoint = (scratch_path(spark, f"{name}-{part}") for part in ("staged", "in", "out", "ckpt"))
-    (rows.repartitionByRange(n, order_col).withColumn("__slice", F.spark_partition_id())
-     .write.partitionBy("__slice").parquet(staged))
-    out = None
-    for (k,) in sorted(spark.read.parquet(staged).select("__slice").distinct().collect()):
-        spark.read.schema(rows.schema).parquet(f"{staged}/__slice={k}").write.mode("append").parquet(fed)
-        out = run_available(transform(spark.readStream.schema(rows.schema).parquet(fed)), name, sink, checkpoint)
-    return out
