@@ -7,10 +7,12 @@ Python prints ``123456789.0``; the rewrite below is pure column logic.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.functions.names import col
+
 _E_FORM = r"^(-?)(\d)(?:\.(\d+))?E(-?\d+)$"
 
 
@@ -42,13 +44,19 @@ def _python_float_text(c: Column) -> Column:
     return F.coalesce(special, F.when(s.rlike(_E_FORM), rewritten).otherwise(s))
 
 
-def as_text(c: Column | str, dtype: T.DataType) -> Column:
-    """Text form of a column of type ``dtype`` as Python would print it."""
+def as_text(c: Column | str, dtype: T.DataType, dates: bool = False) -> Column:
+    """Text form of a column of type ``dtype`` as Python would print it.
+
+    ``dates``: the timestamps of the column are all midnight, so only their
+    dates are shown (:func:`all_midnight` finds out).
+    """
     c = F.col(c) if isinstance(c, str) else c
+    if dates and isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return F.date_format(c, "yyyy-MM-dd")
     if isinstance(dtype, T.StringType):
         return c
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        return _python_float_text(c.cast("double"))
+        return _python_float_text(c)          # a FLOAT prints its own shortest form, not that of its double
     if isinstance(dtype, T.BooleanType):
         return F.when(c, F.lit("True")).when(~c, F.lit("False"))
     if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
@@ -56,6 +64,14 @@ def as_text(c: Column | str, dtype: T.DataType) -> Column:
     return c.cast("string")
 
 
+def all_midnight(df: DataFrame, column: str) -> bool:
+    """Whether a timestamp column holds dates only (one aggregate over that column; no value counts as no)."""
+    if not isinstance(df.schema[column].dataType, (T.TimestampType, T.TimestampNTZType)):
+        return False
+    c = col(column)
+    return bool(df.agg(F.bool_and(F.date_trunc("day", c) == c)).first()[0])
+
+
 def is_numeric(dtype: T.DataType) -> bool:
     """pandas counts bools as numeric for the equality filter."""
     return isinstance(dtype, (T.NumericType, T.BooleanType))

@@ -22,8 +22,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.names import col
 from quarry.functions.similarity import CUTOFF, NotFound, score
-from quarry.functions.values import as_text
+from quarry.functions.values import all_midnight, as_text
 from quarry.session import ensure_checkpoint_dir, materialize
 
 
@@ -82,7 +83,7 @@ def resolve_value(df: DataFrame, column: str, needle: str,
     pushed-down ``IN``); it is None when there are more.
     """
     dtype = df.schema[column].dataType
-    v = as_text(F.col(column), dtype)
+    v = as_text(col(column), dtype, all_midnight(df, column))
     vals = df.select(v.alias("v")).where(F.col("v").isNotNull())
     low = needle.lower()
     hit = F.when(F.lower("v") == F.lit(low), F.col("v"))
@@ -131,14 +132,14 @@ def bulk_resolve(needles: DataFrame, needle_col: str, dictionary: DataFrame,
     folder (``spark.checkpoint.dir``) because each feeds two branches.
     """
     ensure_checkpoint_dir(needles.sparkSession)
-    nd = needles.select(F.col(needle_col).cast("string").alias("needle")) \
+    nd = needles.select(col(needle_col).cast("string").alias("needle")) \
         .where(F.col("needle").isNotNull()).distinct()
-    dl = (dictionary.select(F.col(value_col).cast("string").alias("value"))
+    dl = (dictionary.select(col(value_col).cast("string").alias("value"))
           .where(F.col("value").isNotNull())
           .groupBy(F.lower("value").alias("lv")).agg(F.max("value").alias("canon")))
     dl = materialize(dl, "resolve-dict")
     # distinct values: a value repeated a billion times meets its needle once
-    dv = (dictionary.select(F.col(value_col).cast("string").alias("value")).where(F.col("value").isNotNull())
+    dv = (dictionary.select(col(value_col).cast("string").alias("value")).where(F.col("value").isNotNull())
           .distinct().withColumn("__lv", F.lower("value")))
     first = (nd.join(dv, F.lower(nd["needle"]) == dv["__lv"], "left")
              .groupBy("needle")

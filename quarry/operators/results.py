@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.names import col
 from quarry.functions.values import as_text
 from quarry.operators.ordinal import with_ordinal
 
@@ -57,19 +58,19 @@ def drop_repeats(df: DataFrame, value_col: str, order: list[str]) -> DataFrame:
     hot value never lands whole in one task.
     """
     rest = [c for c in df.columns if c != value_col and c not in order]
-    first = F.min(F.struct(*[F.col(c) for c in order + rest])).alias("__first")
-    return df.groupBy(value_col).agg(first).select(
-        *[F.col(f"__first.{c}").alias(c) for c in order + rest], value_col)
+    first = F.min(F.struct(*[col(c) for c in order + rest])).alias("__first")
+    return df.groupBy(col(value_col)).agg(first).select(
+        *[F.col("__first")[c].alias(c) for c in order + rest], col(value_col))
 
 
 def status_sentence(part: Column | str, status: Column | str, details: Column | str) -> Column:
     """P4, one row: ``Part X has a status of “S”.`` plus details when useful."""
-    col = lambda c: F.col(c) if isinstance(c, str) else c
-    d = F.trim(F.regexp_replace(F.coalesce(col(details).cast("string"), F.lit("")),
+    of = lambda c: F.col(c) if isinstance(c, str) else c
+    d = F.trim(F.regexp_replace(F.coalesce(of(details).cast("string"), F.lit("")),
                                 r"^[\s\x85\xa0]+|[\s\x85\xa0]+$", ""))
-    base = F.concat(F.lit("Part "), F.coalesce(col(part).cast("string"), F.lit("Unknown PartNumber")),
+    base = F.concat(F.lit("Part "), F.coalesce(of(part).cast("string"), F.lit("Unknown PartNumber")),
                     F.lit(" has a status of “"),
-                    F.coalesce(col(status).cast("string"), F.lit("Unknown Status")), F.lit("”."))
+                    F.coalesce(of(status).cast("string"), F.lit("Unknown Status")), F.lit("”."))
     return F.when((d != "") & (F.lower(d) != "nan"),
                   F.concat(base, F.lit(" Additional details: "), d)).otherwise(base)
 
@@ -85,6 +86,32 @@ def answer(df: DataFrame, keys: list[str], sentence: str) -> DataFrame:
         .alias("answer"), n.alias("n_rows"))
 
 
+def answer_requests(requests: DataFrame, rows: DataFrame, keys: list[str], sentence: str,
+                    inline_limit: int | None = None) -> DataFrame:
+    """P4 for every request: one column ``answer`` and ``n_rows``, whatever the outcome.
+
+    A request asks for the ``rows`` with its ``keys``.  One row: its sentence;
+    more than ``inline_limit``: the answer for a generated file; several: the
+    count; none (also for a null key): no data.  Rows are counted per key
+    first, so a request meets one row and a key asked for a billion times is
+    an equi-join with one row a key.
+    """
+    n = F.count(F.lit(1))
+    found = rows.groupBy(*[col(k).alias(f"__{i}") for i, k in enumerate(keys)]).agg(
+        n.alias("__n"), F.min(col(sentence)).alias("__sentence"))
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & (col(k) == F.col(f"__{i}"))
+    out = requests.join(found, on, "left").withColumn("n_rows", F.coalesce("__n", F.lit(0)))
+    file = F.lit(False) if inline_limit is None else F.col("n_rows") > inline_limit
+    text = (F.when(F.col("n_rows") == 0, F.lit("No data was returned."))
+            .when(F.col("n_rows") == 1, F.col("__sentence"))
+            .when(file, F.lit("The requested file has been generated."))
+            .otherwise(F.concat(F.col("n_rows").cast("string"),
+                                F.lit(" records match your request. The full results are shown below."))))
+    return out.withColumn("answer", text).drop("__n", "__sentence", *[f"__{i}" for i in range(len(keys))])
+
+
 def no_rows_message(df: DataFrame) -> str | None:
     """``"No rows matched."`` for an empty result (one-row probe), else None."""
     return "No rows matched." if df.isEmpty() else None

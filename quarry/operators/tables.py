@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.similarity import resolve_name
-from quarry.functions.values import as_text, is_numeric
+from quarry.functions.names import col as named
+from quarry.functions.values import all_midnight, as_text, is_numeric
 from quarry.operators import aggregate as agg
 from quarry.operators.resolve import Resolution, resolve_value
 
@@ -148,8 +149,10 @@ class Tables:
                 for i, f in enumerate(self._tables[t].schema.fields)]
         return self.spark.createDataFrame(rows, "column_name string, data_type string, ordinal int")
 
-    def profile(self, tables: list[str] | None = None, approx: bool = True) -> DataFrame:
-        """M1 re-aimed: per column rows, nulls and approximate distinct count.
+    def profile(self, tables: list[str] | None = None, approx: bool = True, rsd: float = 0.02) -> DataFrame:
+        """M1 re-aimed: per column rows, missing values (null or NaN) and approximate distinct count.
+
+        ``rsd`` is the relative standard deviation of the distinct counts; NaN is not a value of its own.
 
         One aggregate job per table (single scan, partial aggregation), the
         wide row unpivoted by exploding one struct per column, tables unioned.
@@ -161,11 +164,13 @@ class Tables:
             fields = df.schema.fields
             exprs = [F.count(F.lit(1)).alias("__rows")]
             for i, f in enumerate(fields):
-                c = F.col(f"`{f.name}`")
+                c = named(f.name)
+                if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+                    c = F.when(~F.isnan(c), c)
                 exprs.append(F.count(c).alias(f"n{i}"))
                 if approx:
                     atomic = not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))
-                    exprs.append((F.approx_count_distinct(c) if atomic
+                    exprs.append((F.approx_count_distinct(c, rsd) if atomic
                                   else F.lit(None).cast("long")).alias(f"d{i}"))
             wide = df.agg(*exprs)
             # unpivot the one wide row: one struct per column, exploded
@@ -208,7 +213,7 @@ class Tables:
         if isinstance(dtype, T.StringType) and res.variants:
             pred = c.isin(res.variants)
         else:
-            pred = F.lower(as_text(c, dtype)) == F.lit(res.value.lower())
+            pred = F.lower(as_text(c, dtype, all_midnight(df, col))) == F.lit(res.value.lower())
         return Filter(col, res.value, pred, res)
 
     def _filtered(self, table: str, filter_column: str | None, filter_value: str | None):
@@ -275,7 +280,7 @@ class Tables:
         c = F.col(f"`{col}`")
         present = c.isNotNull() & ~F.isnan(c) if isinstance(dtype, (T.DoubleType, T.FloatType)) \
             else c.isNotNull()
-        return df.where(present).select(as_text(c, dtype).alias(col)).distinct().orderBy(col)
+        return df.where(present).select(as_text(c, dtype, all_midnight(df, col)).alias(col)).distinct().orderBy(named(col))
 
     def group_by(self, table: str, group_column: str | list[str],
                  agg_column: str | None = None, agg_func: str = "count",

@@ -54,13 +54,28 @@ def part_sentences(spark, sf_dir) -> DataFrame:
 
 
 def status_answers(spark, sf_dir) -> DataFrame:
-    """P4 per request: one request per (Status, brand) pair."""
+    """P4 per request: one request per status, brand and price."""
     o = obsolescence(spark, sf_dir).join(
         _read(spark, sf_dir, "part").select(F.concat(F.lit("PN-"), F.col("p_partkey").cast("string"))
                                             .alias("PartNumber"), "p_brand", "p_retailprice"),
-        "PartNumber").where(F.col("p_retailprice") > 990)
+        "PartNumber")
     s = o.withColumn("sentence", P.status_sentence("PartNumber", "Status", "Details"))
-    return P.answer(s, ["Status", "p_brand"], "sentence")
+    return P.answer(s, ["Status", "p_brand", "p_retailprice"], "sentence")
+
+
+def request_answers(spark, sf_dir) -> DataFrame:
+    """P4, every outcome: each customer asks for the parts of a status, brand and type; over two rows make a file."""
+    part = _read(spark, sf_dir, "part")
+    o = obsolescence(spark, sf_dir).join(part.select(F.concat(F.lit("PN-"), F.col("p_partkey").cast("string"))
+                                                     .alias("PartNumber"), "p_brand", "p_type"), "PartNumber")
+    rows = o.withColumn("sentence", P.status_sentence("PartNumber", "Status", "Details"))
+    k = F.col("c_custkey")
+    asked = _read(spark, sf_dir, "customer").join(
+        part.select((F.col("p_partkey") * 3).alias("c_custkey"), "p_brand", "p_type"), "c_custkey", "left").select(
+        k.alias("request_id"), F.element_at(F.array(*[F.lit(s) for s in Q.STATUS_VALUES]), (k % 15 + 1).cast("int"))
+        .alias("Status"), "p_brand", "p_type")
+    return P.answer_requests(asked, rows, ["Status", "p_brand", "p_type"], "sentence", inline_limit=2).select(
+        "request_id", "answer", "n_rows")
 
 
 def consecutive_dedup(spark, sf_dir) -> DataFrame:
@@ -165,6 +180,7 @@ QUERIES = {
     "dedupe_chunks": dedupe_chunks,
     "part_sentences": part_sentences,
     "status_answers": status_answers,
+    "request_answers": request_answers,
     "consecutive_dedup": consecutive_dedup,
     "message_dedup": message_dedup,
     "decode_groups": decode_groups,
@@ -182,7 +198,7 @@ _OBSOLESCENCE = f"""
 select 'PN-' || p_partkey as PartNumber, {_STATUS_SQL}[(p_size % 15) + 1] as Status,
        case when p_type = 'PROMO' then null when p_type = 'SMALL' then 'nan'
             when p_type = 'LARGE' then '   ' else '  ' || p_name end as Details,
-       p_brand, p_retailprice
+       p_brand, p_type, p_retailprice
 from part"""
 _SENTENCE = ("'Part ' || PartNumber || ' has a status of “' || Status || '”.' || "
              "case when trim(coalesce(Details, '')) <> '' and lower(trim(Details)) <> 'nan' "
@@ -212,11 +228,21 @@ ORACLE = {
                      "(partition by text order by conv_id, turn) as k from conversations) where k = 1",
     "part_sentences": f"select PartNumber, {_SENTENCE} as sentence from ({_OBSOLESCENCE})",
     "status_answers": f"""
-        select Status, p_brand,
+        select Status, p_brand, p_retailprice,
                case when count(*) = 1 then min({_SENTENCE})
                     else count(*) || ' records match your request. The full results are shown below.' end as answer,
                count(*) as n_rows
-        from ({_OBSOLESCENCE}) where p_retailprice > 990 group by Status, p_brand""",
+        from ({_OBSOLESCENCE}) group by Status, p_brand, p_retailprice""",
+    "request_answers": f"""
+        with asked as (
+          select c_custkey as request_id, {_STATUS_SQL}[(c_custkey % 15) + 1] as Status, p.p_brand, p.p_type
+          from customer left join part p on p.p_partkey * 3 = c_custkey)
+        select request_id, case when count(o.PartNumber) = 0 then 'No data was returned.'
+            when count(o.PartNumber) = 1 then min({_SENTENCE})
+            when count(o.PartNumber) > 2 then 'The requested file has been generated.'
+            else count(o.PartNumber) || ' records match your request. The full results are shown below.' end as answer,
+          count(o.PartNumber) as n_rows
+        from asked a left join ({_OBSOLESCENCE}) o using (Status, p_brand, p_type) group by request_id""",
     "consecutive_dedup": "select event_id, ts, user_id, event_type, value, props from ("
                          "select *, lag(event_type) over (partition by user_id order by ts, event_id) as prev "
                          "from events) where prev is null or prev <> event_type",

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions.names import col as named
 from quarry.operators.tables import Tables, load_tables, role_of
 from quarry.sources.files import TABLES
 
@@ -97,6 +98,26 @@ def table_profile(spark, sf_dir) -> DataFrame:
     return load_tables(spark, sf_dir).profile(approx=False).drop("data_type", "approx_distinct", "role")
 
 
+PROFILED = ["customer", "part", "orders", "events"]
+
+
+def profile_distinct(spark, sf_dir) -> DataFrame:
+    """M1: every column's approximate distinct count held against the exact one."""
+    t = load_tables(spark, sf_dir, PROFILED)
+    exact = None
+    for name in PROFILED:
+        df = t.table(name)
+        for c in df.columns:
+            one = df.select(named(c).alias("v")).where("v IS NOT NULL").distinct().agg(
+                F.count(F.lit(1)).alias("exact_distinct")).select(
+                F.lit(name).alias("table_name"), F.lit(c).alias("column_name"), "exact_distinct")
+            exact = one if exact is None else exact.unionByName(one)
+    both = exact.join(t.profile().select("table_name", "column_name", "approx_distinct"), ["table_name", "column_name"])
+    return both.select("table_name", "column_name", "exact_distinct",
+                       (F.abs(F.col("approx_distinct") - F.col("exact_distinct")) <= 0.1 * F.col("exact_distinct"))
+                       .alias("within_a_tenth"))
+
+
 def table_roles(spark, sf_dir) -> DataFrame:
     """M3 over an output listing derived from ``orders``: batch outputs carry
     a ``yyyyMMddHHmmss_`` stem, notes do not."""
@@ -122,6 +143,7 @@ QUERIES = {
     "distinct_doubles": distinct_doubles,
     "share_summary": share_summary,
     "table_profile": table_profile,
+    "profile_distinct": profile_distinct,
     "table_roles": table_roles,
 }
 
@@ -189,6 +211,9 @@ ORACLE = {
     "share_summary": "select count(*) filter (where o_orderstatus = 'F') as matched, "
                      "count(*) as total from orders",
     "table_profile": _profile_sql(),
+    "profile_distinct": "\nunion all\n".join(
+        f"select '{t}' as table_name, '{c}' as column_name, count(distinct {c}) as exact_distinct, true as within_a_tenth "
+        f"from {t}" for t in PROFILED for c in _COLUMNS[t]),
     "table_roles": "select o_orderkey, stem, case when regexp_matches(stem, '^[0-9]{8,}_') "
                    "then 'primary' else 'supplemental' end as role from ("
                    "select o_orderkey, case when o_orderstatus = 'F' then "
