@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions import text as TX
+from quarry.functions.pairing import replacement_pairs
 from quarry.session import path_exists, scratch_path
 
 PAIR = T.StructType([
@@ -51,21 +52,20 @@ CONF_PAIR, CONF_CUE_ONLY, CONF_NO_CUE = 0.9, 0.5, 0.7
 # ---- X7: rule-based response ---------------------------------------------
 def with_baseline_response(df: DataFrame, cleaned: str, out: str,
                            gate: Column | None = None) -> DataFrame:
-    """Add a response struct built from cue lexicon + part tokens.
+    """Add a response struct built from cue lexicon, part tokens and their positions.
 
-    Directional cue and >= 2 distinct tokens -> one pair (first token is
-    the old part, last is the new one); cue otherwise -> intent, no pair;
-    no cue -> no intent.  Tokens and cue are computed once as columns so
-    the regex work is not repeated per use.
+    Every directional cue pairs the nearest parts on its sides (see
+    :mod:`quarry.functions.pairing`); cue without a pair -> intent, no pair;
+    no cue -> no intent.  Pairs and cue are computed once as columns so the
+    regex work is not repeated per use.
     """
     c = F.col(cleaned)
-    df = df.withColumn("__toks", TX.part_tokens(c)).withColumn("__cue", TX.first_cue(c))
-    toks, cue = F.col("__toks"), F.col("__cue")
-    old, new = F.element_at(toks, 1), F.element_at(toks, -1)
-    has_pair = cue.isNotNull() & TX.is_directional(cue) & (F.size(toks) >= 2) & (old != new)
-    pairs = F.when(has_pair, F.array(F.struct(old.alias("old_part"), new.alias("new_part"),
-                                              cue.alias("cue_phrase")))) \
-        .otherwise(F.array().cast(T.ArrayType(PAIR)))
+    df = df.withColumn("__pairs", replacement_pairs(c)).withColumn("__first", TX.first_cue(c))
+    pairs = F.coalesce(F.col("__pairs"), F.array().cast(T.ArrayType(PAIR)))
+    has_pair = F.coalesce(F.size("__pairs") > 0, F.lit(False))
+    pair = F.get(F.col("__pairs"), F.lit(0))
+    old, new = pair["old_part"], pair["new_part"]
+    cue = F.coalesce(pair["cue_phrase"], F.col("__first"))
     rationale = (F.when(has_pair, F.concat(F.lit('Cue "'), cue, F.lit('" moves from '), old,
                                            F.lit(" to "), new, F.lit(".")))
                  .when(cue.isNotNull(), F.concat(F.lit('Cue "'), cue,
@@ -82,16 +82,16 @@ def with_baseline_response(df: DataFrame, cleaned: str, out: str,
     # and re-running the rules inside the filter.
     barrier = F.spark_partition_id() >= 0
     keep = barrier if gate is None else (barrier & gate)
-    return df.withColumn(out, F.when(keep, resp)).drop("__toks", "__cue")
+    return df.withColumn(out, F.when(keep, resp)).drop("__pairs", "__first")
 
 
 # ---- X2: parse a JSON response ----------------------------------------------
 def parse_response(resp: Column | str) -> tuple[Column, Column]:
     """``(struct, error)`` from a JSON string.
 
-    Bad JSON or a missing/ill-typed required key gives an error message and
-    a NULL struct (all-or-nothing).  A missing key reads like Python's
-    ``KeyError`` text: ``'confidence'``.
+    Bad JSON, a missing/ill-typed required key or a key that the schema does
+    not have gives an error message and a NULL struct (all-or-nothing).  A
+    missing key reads like Python's ``KeyError`` text: ``'confidence'``.
     """
     r = F.col(resp) if isinstance(resp, str) else resp
     keys = F.json_object_keys(r)
@@ -99,10 +99,12 @@ def parse_response(resp: Column | str) -> tuple[Column, Column]:
     # no lambdas: the response may be computed by a Python UDF upstream
     missing = F.array_except(F.array(*[F.lit(k) for k in REQUIRED]),
                              F.coalesce(keys, F.array().cast("array<string>")))
+    extra = F.array_except(keys, F.array(*[F.lit(k) for k in REQUIRED]))
     badtype = F.array_compact(F.array(*[F.when(parsed[k].isNull(), F.lit(k)) for k in REQUIRED]))
     error = (F.when(r.isNull(), F.lit("No tool call returned"))
              .when(keys.isNull(), F.lit("Invalid JSON in tool arguments"))
              .when(F.size(missing) > 0, F.concat(F.lit("'"), F.element_at(missing, 1), F.lit("'")))
+             .when(F.size(extra) > 0, F.concat(F.lit("Unexpected field '"), F.element_at(extra, 1), F.lit("'")))
              .when(F.size(badtype) > 0, F.concat(F.lit("Invalid value for '"),
                                                  F.element_at(badtype, 1), F.lit("'"))))
     return F.when(error.isNull(), parsed), error

@@ -14,10 +14,10 @@ from quarry.functions import text as TX
 from quarry.operators import extract as X
 
 COMMENT_CASE = """case p_partkey % 5
- when 0 then concat('Prior configuration referenced P', p_partkey, 'X and a potential path forward now includes N', p_partkey, 'Y')
- when 1 then concat('<b>Feedback</b> suggests phasing out P', p_partkey, 'X in favor of N', p_partkey, 'Y')
- when 2 then concat('Review notes P', p_partkey, 'X with provisional replacement identified as N', p_partkey, 'Y')
- when 3 then concat('Constraints around P', p_partkey, 'X &amp; N', p_partkey, 'Y surfaced')
+ when 0 then concat('Boards still carry P', p_partkey, 'X, yet the agreed path forward is N', p_partkey, 'Y')
+ when 1 then concat('<b>Buyers</b> plan on phasing out P', p_partkey, 'X once N', p_partkey, 'Y is in stock')
+ when 2 then concat('Stock of P', p_partkey, 'X is low, provisional replacement: N', p_partkey, 'Y')
+ when 3 then concat('Both P', p_partkey, 'X &amp; N', p_partkey, 'Y passed the drop test')
  else '   ' end"""
 COMMENTS_SQL = f"select p_partkey as id, {COMMENT_CASE} as Comments from part"
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quarry.plans import extract_queries, shape_queries, stream_queries, table_queries
+from quarry.plans import extract_queries, notes_queries, shape_queries, stream_queries, table_queries
 
 QUERIES = {}
 ORACLE = {}
-for _mod in (table_queries, extract_queries, shape_queries, stream_queries):
+for _mod in (table_queries, extract_queries, notes_queries, shape_queries, stream_queries):
     QUERIES.update(_mod.QUERIES)
     ORACLE.update(_mod.ORACLE)
 

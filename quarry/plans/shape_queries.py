@@ -99,7 +99,7 @@ def _requests(spark, sf_dir) -> DataFrame:
                          F.concat(F.lit("nation-"), F.col("c_nationkey").cast("string")).alias("val")),
                 F.struct(F.lit("name").alias("typ"), F.col("c_name").alias("val"))).alias("claims"),
         F.lit("name").alias("name_typ"), F.lit("roles").alias("role_typ")))
-    header = (F.when(k % 7 == 0, F.lit("")).when(k % 7 == 1, F.lit("not-valid-base64!!!"))
+    header = (F.when(k % 7 == 0, F.lit("")).when(k % 7 == 1, F.lit("%% no base64 %%"))
               .otherwise(F.base64(F.encode(payload, "UTF-8"))))
     filename = F.when(k % 13 == 0, F.lit("../secret.csv")).otherwise(
         F.concat(F.lit("NATION_"), ((k * 7) % 30).cast("string"), F.lit(".csv")))

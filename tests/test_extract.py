@@ -6,14 +6,10 @@ from pyspark.sql import functions as F
 from quarry.operators import extract as X
 
 GOLDEN = [
-    ("Prior configuration referenced H70SQ5R and a potential path forward now includes 5G8MBJII1",
-     1, "H70SQ5R", "5G8MBJII1"),
-    ("Manufacturing feedback suggests phasing out V18NLT4L5 in favor of R1KEWIQ74RNA-7R",
-     1, "V18NLT4L5", "R1KEWIQ74RNA-7R"),
-    ("Engineering review notes PA_IHJ2 with provisional replacement identified as 6FATN_SPGV",
-     1, "PA_IHJ2", "6FATN_SPGV"),
-    ("Material availability constraints around B.R9J1TO and 9LA8XRP surfaced during review",
-     0, None, None),
+    ("Boards still carry K4-77Q, yet the agreed path forward is 8ZT_21", 1, "K4-77Q", "8ZT_21"),
+    ("From June on we are phasing out M9.11/B and will buy TT-5083-A only", 1, "M9.11/B", "TT-5083-A"),
+    ("Stock of WX_90 is low, provisional replacement: 3CC-1", 1, "WX_90", "3CC-1"),
+    ("Both L0.L1 and 77GH-2 passed the drop test", 0, None, None),
 ]
 
 
@@ -21,7 +17,7 @@ def _comments(spark, texts):
     return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, Comments string")
 
 
-def test_rule_extractor_prompt_examples(spark):
+def test_rule_extractor_on_plain_sentences(spark):
     out = X.extract_rules(_comments(spark, [g[0] for g in GOLDEN])).orderBy("id").collect()
     for row, (_, intent, old, new) in zip(out, GOLDEN):
         assert (row.replacement_intent, row.old_part, row.new_part) == (intent, old, new)
@@ -41,6 +37,57 @@ def test_cue_without_direction(spark):
     assert out.replacement_intent == 1 and out.old_part is None
 
 
+PAIRS = [
+    # the cue's sides, not the ends of the sentence
+    ("In Q4 2025, PART-001 replaced by X9Y", [("PART-001", "X9Y")]),
+    ("transition to N5Y from P5X", [("P5X", "N5Y")]),
+    ("P5X in 2025Q4 replaced by N5Y as of FY26", [("P5X", "N5Y")]),
+    ("Everyone voted in favor of N1Y over P1X.", [("P1X", "N1Y")]),
+    ("P1X has N1Y as provisional replacement.", [("P1X", "N1Y")]),
+    # several pairs, chains, one pair once
+    ("P1X was replaced by N1Y. In Q1, A1B was replaced by C1D.", [("P1X", "N1Y"), ("A1B", "C1D")]),
+    ("P1X replaced by N1Y replaced by C1D", [("P1X", "N1Y"), ("N1Y", "C1D")]),
+    ("Phasing out P1X in favor of N1Y", [("P1X", "N1Y")]),
+    # a part that belongs to another cue is left to it
+    ("Phasing out P1X, while A1B is replaced by C1D.", [("A1B", "C1D")]),
+    ("P1X replaced by N1Y, phasing out A1B", [("P1X", "N1Y")]),
+    ("N1Y adopted, retiring P1X", [("P1X", "N1Y")]),
+    # nothing to pair
+    ("P1X was replaced by P1X.", []), ("We are retiring P1X.", []), ("Path forward unclear.", []),
+    ("P1X is an alternative to N1Y", []), ("a\x01P1X\x01 replaced by \x01N1Y", [("P1X", "N1Y")]),
+]
+
+
+def test_pairs_by_position(spark):
+    from quarry.functions.pairing import replacement_pairs
+    df = _comments(spark, [t for t, _ in PAIRS]).withColumn("p", replacement_pairs(F.col("Comments")))
+    got = {r.Comments: [(x.old_part, x.new_part) for x in r.p] for r in df.collect()}
+    for text, pairs in PAIRS:
+        assert got[text] == pairs, text
+    assert [r.p for r in df.select(replacement_pairs(F.lit(None).cast("string")).alias("p")).limit(1).collect()] == [None]
+
+
+def test_every_cue_is_found(spark):
+    from quarry.functions.text import CUE_PHRASES, DIRECTIONAL_CUES
+    assert len(CUE_PHRASES) == 15
+    df = _comments(spark, [f"A1 {c.upper()} B2" for c in CUE_PHRASES])
+    rows = X.extract_rules(df).orderBy("id").collect()
+    for cue, row in zip(CUE_PHRASES, rows):
+        assert row.replacement_intent == 1
+        pair = {"retiring": ("B2", "A1"), "phasing out": ("B2", "A1"), "movement away from": ("B2", "A1")}
+        want = pair.get(cue, ("A1", "B2")) if cue in DIRECTIONAL_CUES else (None, None)
+        assert (row.old_part, row.new_part) == want, cue
+        assert row.cue_phrase == (cue if want[0] else None)
+
+
+def test_extra_response_fields_are_refused(spark):
+    body = {"replacement_intent": True, "replacement_pairs": [], "rationale": "r", "confidence": 0.5}
+    df = spark.createDataFrame([(json.dumps(body),), (json.dumps({**body, "note": 1}),)], "j string")
+    parsed, err = X.parse_response("j")
+    rows = df.select(parsed.alias("p"), err.alias("e")).collect()
+    assert rows[0].e is None and rows[1].p is None and rows[1].e == "Unexpected field 'note'"
+
+
 def _fake(responses):
     """An extractor factory returning canned responses by payload text."""
     def make():
@@ -107,7 +154,7 @@ def test_pairs_flags_routes_scores(spark):
     assert flags[4] is True and flags[0] is False
     routes = {r.id: r.route for r in e.select("id", X.route(e).alias("route")).collect()}
     assert routes[1] == "approve" and routes[4] == "review"
-    gold = spark.createDataFrame([(0, 1, "H70SQ5R", "5G8MBJII1"), (3, 0, None, None)],
+    gold = spark.createDataFrame([(0, 1, "K4-77Q", "8ZT_21"), (3, 0, None, None)],
                                  "id long, gold_intent int, gold_old string, gold_new string")
     s = {r.field: r for r in X.scores(e, gold, "id").collect()}
     assert s["replacement_intent"].tp == 1 and s["replacement_intent"].fp == 0
@@ -117,7 +164,7 @@ def test_pairs_flags_routes_scores(spark):
 def test_universe_and_incremental(spark):
     df = _comments(spark, [g[0] for g in GOLDEN] + [GOLDEN[0][0], "  "])
     e = X.extract_rules(df)
-    uni = spark.createDataFrame([("H70SQ5R",), ("H70SQ5R",)], "pn string")
+    uni = spark.createDataFrame([("K4-77Q",), ("K4-77Q",)], "pn string")
     u = {r.id: (r.old_known, r.new_known) for r in X.universe_check(e, uni, "pn").collect()}
     assert u[0] == (True, False) and u[3] == (None, None) and len(u) == 6
     calls = []
