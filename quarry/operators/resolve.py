@@ -17,14 +17,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.names import col
 from quarry.functions.similarity import CUTOFF, NotFound, score
 from quarry.functions.values import all_midnight, as_text
+from quarry.operators.close_cells import best_matches
 from quarry.session import ensure_checkpoint_dir, materialize
 
 
@@ -41,17 +40,6 @@ def length_bound(la: Column, lb: Column, cutoff: float = CUTOFF) -> Column:
     return (F.least(la, lb) * 2.0) >= (la + lb) * F.lit(cutoff)
 
 
-def _histograms(texts: pd.Series, buckets: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """Character-count histograms (code point mod ``buckets``) and lengths."""
-    h = np.zeros((len(texts), buckets), dtype=np.int32)
-    lens = np.zeros(len(texts), dtype=np.float64)
-    for i, t in enumerate(texts):
-        cps = np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32)
-        h[i] = np.bincount(cps % buckets, minlength=buckets)
-        lens[i] = len(cps)
-    return h, lens
-
-
 def _score_frame(needle_col: str, cand_col: str, cutoff: float):
     def run(batches):
         for pdf in batches:
@@ -124,12 +112,13 @@ def bulk_resolve(needles: DataFrame, needle_col: str, dictionary: DataFrame,
        spelling, deterministic);
     2. only needles without either go to the similarity join: both sides
        keyed by candidate length (needles fan out over the window their
-       length allows), every length split into a grid of bounded cells,
-       each cell emits only pairs that reach the cutoff, and a hash
-       aggregate keeps the top-1 per needle.  No all-pairs output.
+       length allows), every length split into a grid of bounded cells; a
+       cell bounds the scores of all its pairs at once, scores the few that
+       remain and emits one candidate per needle
+       (:mod:`quarry.operators.close_cells`); a hash aggregate keeps the top-1.
 
-    The two intermediate tables are written once to the shared scratch
-    folder (``spark.checkpoint.dir``) because each feeds two branches.
+    The intermediate tables are written once to the shared scratch folder
+    (``spark.checkpoint.dir``) because each feeds two branches.
     """
     ensure_checkpoint_dir(needles.sparkSession)
     nd = needles.select(col(needle_col).cast("string").alias("needle")) \
@@ -168,7 +157,7 @@ def _grid_length_join(rest: DataFrame, dl: DataFrame, cutoff: float,
     whose length lies in ``[n*c/(2-c), n*(2-c)/c]``.  Both sides are keyed by
     candidate length; each length is split into ``needle buckets x
     candidate buckets`` so no cell holds more than about ``cell_rows`` rows
-    per side however skewed the lengths are.  Cells emit scored matches only.
+    per side however skewed the lengths are.
     """
     cand = dl.withColumn("len", F.length("lv"))
     ln = F.length("ln")
@@ -177,42 +166,7 @@ def _grid_length_join(rest: DataFrame, dl: DataFrame, cutoff: float,
     hi = F.floor(ln * (2.0 - cutoff) / cutoff).cast("int") + 1
     nd = rest.withColumn("len", F.explode(F.sequence(lo, hi)))
 
-    def buckets(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("len").agg(
-            (F.floor(F.count(F.lit(1)) / F.lit(cell_rows)) + 1).cast("int").alias(name))
-
-    grid = buckets(nd, "n_nb").join(buckets(cand, "n_cb"), "len")   # one row per length
-    nd = (nd.join(grid, "len")
-          .withColumn("nb", F.pmod(F.xxhash64("needle"), F.col("n_nb")).cast("int"))
-          .withColumn("cb", F.explode(F.sequence(F.lit(0), F.col("n_cb") - 1))))
-    cand = (cand.join(grid, "len")
-            .withColumn("cb", F.pmod(F.xxhash64("lv"), F.col("n_cb")).cast("int"))
-            .withColumn("nb", F.explode(F.sequence(F.lit(0), F.col("n_nb") - 1))))
-
-    def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(left) == 0 or len(right) == 0:
-            return pd.DataFrame(rows, columns=["needle", "ln", "lv", "canon", "score"])
-        ha, la = _histograms(left["ln"])
-        hb, lb = _histograms(right["lv"])
-        lefts, rights = list(zip(left["needle"], left["ln"])), list(zip(right["lv"], right["canon"]))
-        # exact upper bound of the score from character counts (collisions only
-        # loosen it), evaluated as one numpy block per slice of needles
-        for start in range(0, len(lefts), 128):
-            inter = np.minimum(ha[start:start + 128, None, :], hb[None, :, :]).sum(axis=2)
-            bound = 2.0 * inter / (la[start:start + 128, None] + lb[None, :])
-            for i, j in zip(*np.nonzero(bound >= cutoff - 1e-9)):
-                needle, low = lefts[start + i]
-                lv, canon = rights[j]
-                sc = score(low, lv, cutoff)
-                if sc is not None:
-                    rows.append((needle, low, lv, canon, sc))
-        return pd.DataFrame(rows, columns=["needle", "ln", "lv", "canon", "score"])
-
-    keys = ["len", "nb", "cb"]
-    return (nd.select(*keys, "needle", "ln").groupBy(*keys)
-            .cogroup(cand.select(*keys, "lv", "canon").groupBy(*keys))
-            .applyInPandas(cell, "needle string, ln string, lv string, canon string, score double"))
+    return best_matches(nd, cand, ["len"], cutoff, cell_rows)
 
 
 __all__ = ["Resolution", "resolve_value", "bulk_resolve", "length_bound", "NotFound"]
