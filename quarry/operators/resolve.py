@@ -6,24 +6,27 @@ aggregate that returns one row:
 1. exact / case-insensitive hit (and the set of case variants, which lets
    the later filter be a pushed-down ``IN``);
 2. only on a miss: distinct lower-cased values, cut by the exact length
-   bound of the cutoff, scored in Arrow batches, reduced with
+   bound of the cutoff, the best of each Arrow batch, reduced with
    ``max(struct(score, value))`` (ties go to the larger value, as in difflib);
 3. the case variants of the winner.
 
-Nothing but the winning value travels to the driver.
+Nothing but the winning value travels to the driver.  With a stored
+dictionary (:mod:`quarry.operators.value_dictionary`) these jobs read its
+values, and the table itself is read once, by the query.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.names import col
-from quarry.functions.similarity import CUTOFF, NotFound, score
+from quarry.functions.similarity import CUTOFF, NotFound
 from quarry.functions.values import all_midnight, as_text
-from quarry.operators.close_cells import best_matches
+from quarry.operators.close_cells import best_in_cell, best_matches
 from quarry.session import ensure_checkpoint_dir, materialize
 
 
@@ -40,12 +43,12 @@ def length_bound(la: Column, lb: Column, cutoff: float = CUTOFF) -> Column:
     return (F.least(la, lb) * 2.0) >= (la + lb) * F.lit(cutoff)
 
 
-def _score_frame(needle_col: str, cand_col: str, cutoff: float):
+def _best_of_batches(needle: str, cutoff: float):
     def run(batches):
         for pdf in batches:
-            pdf["score"] = [score(n, c, cutoff) for n, c in
-                            zip(pdf[needle_col], pdf[cand_col])]
-            yield pdf[pdf["score"].notna()]
+            left = pd.DataFrame({"needle": [needle], "ln": [needle]})
+            best = best_in_cell(left, pdf.assign(lv=pdf["cand"], canon=pdf["cand"]), cutoff)
+            yield best.rename(columns={"lv": "cand"})[["cand", "score"]]
     return run
 
 
@@ -85,11 +88,8 @@ def resolve_value(df: DataFrame, column: str, needle: str,
         return Resolution(row["last"], "case", 1.0, variants)
 
     n = len(low)
-    cands = (vals.select(F.lower("v").alias("cand")).distinct()
-             .where(length_bound(F.length("cand"), F.lit(n), cutoff))
-             .withColumn("needle", F.lit(low)))
-    scored = cands.mapInPandas(_score_frame("needle", "cand", cutoff),
-                               "cand string, needle string, score double")
+    cands = vals.select(F.lower("v").alias("cand")).distinct().where(length_bound(F.length("cand"), F.lit(n), cutoff))
+    scored = cands.mapInPandas(_best_of_batches(low, cutoff), "cand string, score double")
     best = scored.agg(F.max(F.struct("score", "cand")).alias("b")).first()["b"]
     if best is None:
         sample = [r["v"] for r in vals.distinct().orderBy("v").limit(20).collect()]

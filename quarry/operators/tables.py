@@ -23,6 +23,8 @@ from quarry.functions.names import col as named
 from quarry.functions.values import all_midnight, as_text, is_numeric
 from quarry.operators import aggregate as agg
 from quarry.operators.resolve import Resolution, resolve_value
+from quarry.operators.value_dictionary import ValueDictionary
+from quarry.session import is_folder
 
 # Fixed value: a file/table stem starting with 8+ digits and "_" is a batch output.
 PRIMARY_STEM = r"^\d{8,}_"
@@ -98,13 +100,19 @@ class Filter:
 class Tables:
     """A catalogue of named DataFrames with the reference's table tools."""
 
-    def __init__(self, spark: SparkSession, enums: dict[str, list[str]] | None = None):
+    def __init__(self, spark: SparkSession, enums: dict[str, list[str]] | None = None,
+                 dictionaries: str | None = None):
         """``enums``: columns with a canonical value list (e.g. ``Status``).
 
         A filter on such a column (exact column name) must use one of the
         values (F8), and its distinct list is the canonical list (A5).
+        ``dictionaries``: a folder for value dictionaries; values of text
+        columns of tables registered with :meth:`register_files` are then
+        resolved and listed from there.
         """
         self.spark = spark
+        self.dictionaries = dictionaries
+        self._files: dict[str, tuple] = {}
         self._tables: dict[str, DataFrame] = {}
         self._roles: dict[str, str] = {}
         self.enums = dict(enums or {})
@@ -121,6 +129,34 @@ class Tables:
             df.createOrReplaceTempView(view_name(name))
         return df
 
+    def register_files(self, name: str, path: str, fmt: str = "parquet", options: dict[str, str] | None = None,
+                       **kw) -> DataFrame:
+        """Register the files of ``path``; values of its text columns come from dictionaries, if there is a folder for them."""
+        spark, options = self.spark, options or {}
+        loaded = spark.read.format(fmt).options(**options).load(path)
+        df = self.register(name, loaded, **kw)
+        if not self.dictionaries:
+            return df
+        raw = loaded.schema
+        base = {"basePath": path} if is_folder(spark, path) else {}
+
+        def files() -> list[str]:
+            return spark.read.format(fmt).options(**options).schema(raw).load(path).inputFiles()
+
+        def read(some: list[str]) -> DataFrame:
+            return normalise(spark.read.format(fmt).options(**options, **base).schema(raw).load(some))
+        self._files[name] = (files, read)
+        return df
+
+    def values_of(self, table: str, column: str) -> DataFrame | None:
+        """The refreshed dictionary (v, n) of a text column; None where there is none."""
+        if not self.dictionaries or table not in self._files or \
+                not isinstance(self._tables[table].schema[column].dataType, T.StringType):
+            return None
+        known = ValueDictionary(self.spark, self.dictionaries, table, column, *self._files[table])
+        known.refresh()
+        return known.values()
+
     def names(self) -> list[str]:
         return list(self._tables)
 
@@ -194,7 +230,7 @@ class Tables:
         return out
 
     # ---- filters ----------------------------------------------------------
-    def equality_filter(self, df: DataFrame, column: str, value: str) -> Filter:
+    def equality_filter(self, df: DataFrame, column: str, value: str, table: str | None = None) -> Filter:
         """numeric equality when both sides are numeric, else resolved text."""
         col = resolve_name(column, df.columns, label="Column")[0]
         dtype = df.schema[col].dataType
@@ -209,7 +245,8 @@ class Tables:
                 # a FLOAT column holds the rounded literal
                 rhs = F.lit(num).cast(dtype) if isinstance(dtype, T.FloatType) else F.lit(num)
                 return Filter(col, value, lhs == rhs, None)
-        res = resolve_value(df, col, value)
+        known = self.values_of(table, col) if table else None
+        res = resolve_value(df, col, value) if known is None else resolve_value(known, "v", value)
         if isinstance(dtype, T.StringType) and res.variants:
             pred = c.isin(res.variants)
         else:
@@ -222,7 +259,7 @@ class Tables:
         if filter_column in self.enums and filter_value not in self.enums[filter_column]:
             raise InvalidEnumValue(filter_column, sorted(self.enums[filter_column]))
         if filter_column and filter_value not in (None, ""):      # an empty value means the whole table
-            f = self.equality_filter(df, filter_column, filter_value)
+            f = self.equality_filter(df, filter_column, filter_value, t)
             return t, df.where(f.predicate), f
         return t, df, None
 
@@ -276,6 +313,9 @@ class Tables:
                                               f"`{column}` string")
         df = self.table(table)
         col = resolve_name(column, df.columns, label="Column")[0]
+        known = self.values_of(self.resolve_table(table), col)
+        if known is not None:
+            return known.select(F.col("v").alias(col)).orderBy(named(col))
         dtype = df.schema[col].dataType
         c = F.col(f"`{col}`")
         present = c.isNotNull() & ~F.isnan(c) if isinstance(dtype, (T.DoubleType, T.FloatType)) \
@@ -302,14 +342,14 @@ class Tables:
 
 
 def load_tables(spark: SparkSession, sf_dir: str, names: list[str] | None = None,
-                views: bool = False) -> Tables:
-    """Register the parquet tables of one directory (one file per table).
+                views: bool = False, dictionaries: str | None = None) -> Tables:
+    """Register the parquet tables of one directory (one file or folder per table).
 
     Session temp views are only created on request, so loading never
     replaces views the caller already has.
     """
     from quarry.sources.files import TABLES
-    t = Tables(spark)
+    t = Tables(spark, dictionaries=dictionaries)
     for n in names or TABLES:
-        t.register(n, spark.read.parquet(f"{sf_dir}/{n}.parquet"), role="supplemental", view=views)
+        t.register_files(n, f"{sf_dir}/{n}.parquet", role="supplemental", view=views)
     return t

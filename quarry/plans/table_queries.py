@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.names import col as named
 from quarry.operators.tables import Tables, load_tables, role_of
+from quarry.session import scratch_path
 from quarry.sources.files import TABLES
 
 # Doubles are compared after rounding on both sides.
@@ -21,20 +22,25 @@ def _t(spark: SparkSession, sf_dir: str, *names: str) -> Tables:
     return load_tables(spark, sf_dir, list(names))
 
 
+def _with_dictionaries(spark: SparkSession, sf_dir: str, *names: str) -> Tables:
+    """Values resolve in a stored dictionary, here a new one: the files are read for it once, then by the query."""
+    return load_tables(spark, sf_dir, list(names), dictionaries=scratch_path(spark, "dictionaries"))
+
+
 def count_rows_numeric(spark, sf_dir) -> DataFrame:
     return _t(spark, sf_dir, "lineitem").count_rows("lineitem", "quantity", "17.0")
 
 
 def count_rows_ci(spark, sf_dir) -> DataFrame:
-    return _t(spark, sf_dir, "region").count_rows("region", "r_name", "asia")
+    return _with_dictionaries(spark, sf_dir, "region").count_rows("region", "r_name", "asia")
 
 
 def count_rows_fuzzy(spark, sf_dir) -> DataFrame:
-    return _t(spark, sf_dir, "orders").count_rows("order", "orderpriority", "urgent")
+    return _with_dictionaries(spark, sf_dir, "orders").count_rows("order", "orderpriority", "urgent")
 
 
 def get_rows_filtered(spark, sf_dir) -> DataFrame:
-    return _t(spark, sf_dir, "events").get_rows("events", "event_type", "purchse")
+    return _with_dictionaries(spark, sf_dir, "events").get_rows("events", "event_type", "purchse")
 
 
 def get_rows_all(spark, sf_dir) -> DataFrame:
