@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from quarry.functions import text as TX
 from quarry.functions.pairing import replacement_pairs
+from quarry.operators.membership import Universe, known_keys
 from quarry.session import path_exists, scratch_path
 
 PAIR = T.StructType([
@@ -276,18 +277,12 @@ def route(df: DataFrame, approve_at: float = 0.85) -> Column:
 
 
 def universe_check(extracted: DataFrame, universe: DataFrame, part_col: str) -> DataFrame:
-    """Flag whether extracted old/new parts exist in the known universe.
+    """Flag whether extracted old/new parts exist in the known universe (null: no part).
 
-    The universe is de-duplicated first (hash aggregate), so each left join
-    matches at most one row; Spark/AQE picks broadcast vs sort-merge from
-    the measured size.
+    Rows without parts, and those whose parts are certainly unknown, meet no
+    join (:mod:`quarry.operators.membership`).
     """
-    u = universe.select(F.col(part_col).alias("__p")).where(F.col("__p").isNotNull()).distinct()
-    out = extracted.join(u.withColumnRenamed("__p", "__o"), F.col("old_part") == F.col("__o"), "left") \
-        .join(u.withColumnRenamed("__p", "__n"), F.col("new_part") == F.col("__n"), "left")
-    return out.withColumn("old_known", F.when(F.col("old_part").isNotNull(), F.col("__o").isNotNull())) \
-        .withColumn("new_known", F.when(F.col("new_part").isNotNull(), F.col("__n").isNotNull())) \
-        .drop("__o", "__n")
+    return known_keys(extracted, {"old_part": "old_known", "new_part": "new_known"}, Universe(universe, part_col))
 
 
 def text_key(text_col: str) -> Column:
