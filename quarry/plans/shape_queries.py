@@ -12,6 +12,7 @@ from quarry.operators import events as E
 from quarry.operators import quality as Q
 from quarry.operators import results as P
 from quarry.operators.resolve import bulk_resolve as _bulk
+from quarry.operators.stored_result import store
 from quarry.sources.sql import run_sql
 
 
@@ -24,6 +25,21 @@ def page_chunks(spark, sf_dir) -> DataFrame:
     return P.page(o, ["o_orderkey"]).select("o_orderkey", "rn", "chunk_id", "row_from", "row_to", "total")
 
 
+def stored_pages(spark, sf_dir) -> DataFrame:
+    """P1 on a stored result: the fourth and the last page of all orders by price, each from its own files."""
+    o = _read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    stored = store(o, ["o_totalprice", "o_orderkey"])
+    pages = [3, stored.pages() - 1]
+    return stored.page(pages[0]).unionByName(stored.page(pages[1])).select("rn", "o_orderkey")
+
+
+def stripped_links(spark, sf_dir) -> DataFrame:
+    """G4 for every request: file links only for callers of the download group."""
+    r = _requests(spark, sf_dir).withColumn("can_download", A.can_download(A.group_ids("principal"), True, "HOUSEHOLD"))
+    out = AO.strip_links(r.withColumn("files", F.array("filename", F.lit("index.csv"))), "files")
+    return out.select("request_id", "can_download", F.array_join("files", ",").alias("links"))
+
+
 def markdown_chunks(spark, sf_dir) -> DataFrame:
     c = _read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
     return P.markdown_chunks(c, ["c_custkey"])
@@ -176,6 +192,8 @@ def bulk_resolve(spark, sf_dir) -> DataFrame:
 
 QUERIES = {
     "page_chunks": page_chunks,
+    "stored_pages": stored_pages,
+    "stripped_links": stripped_links,
     "markdown_chunks": markdown_chunks,
     "dedupe_chunks": dedupe_chunks,
     "part_sentences": part_sentences,
@@ -210,6 +228,12 @@ select c_custkey as request_id, c_mktsegment, c_nationkey,
 from customer"""
 
 ORACLE = {
+    "stored_pages": "select rn, o_orderkey from (select o_orderkey, row_number() over (order by o_totalprice, o_orderkey) "
+                    "as rn, count(*) over () as total from orders) "
+                    "where (rn - 1) // 60 in (3, (total - 1) // 60)",
+    "stripped_links": f"select request_id, (not bad_header and c_mktsegment = 'HOUSEHOLD') as can_download, "
+                      f"case when not bad_header and c_mktsegment = 'HOUSEHOLD' then filename || ',index.csv' else '' end "
+                      f"as links from ({_REQ})",
     "page_chunks": "select o_orderkey, rn, (rn - 1) // 60 as chunk_id, ((rn - 1) // 60) * 60 + 1 as row_from, "
                    "least(((rn - 1) // 60 + 1) * 60, total) as row_to, total from ("
                    "select o_orderkey, row_number() over (order by o_orderkey) as rn, "

@@ -104,6 +104,18 @@ def table_profile(spark, sf_dir) -> DataFrame:
     return load_tables(spark, sf_dir).profile(approx=False).drop("data_type", "approx_distinct", "role")
 
 
+def group_prod(spark, sf_dir) -> DataFrame:
+    return _t(spark, sf_dir, "nation").group_by("nation", "n_regionkey", "n_nationkey", "prod")
+
+
+def group_first(spark, sf_dir) -> DataFrame:
+    return _t(spark, sf_dir, "orders").group_by("orders", "o_custkey", "o_totalprice", "first", order_by="o_orderkey")
+
+
+def group_last(spark, sf_dir) -> DataFrame:
+    return _t(spark, sf_dir, "orders").group_by("orders", "o_custkey", "o_orderpriority", "last", order_by="o_orderkey")
+
+
 PROFILED = ["customer", "part", "orders", "events"]
 
 
@@ -147,6 +159,9 @@ QUERIES = {
     **{k: _group(*v) for k, v in GROUP_CASES.items()},
     "distinct_values": distinct_values,
     "distinct_doubles": distinct_doubles,
+    "group_prod": group_prod,
+    "group_first": group_first,
+    "group_last": group_last,
     "share_summary": share_summary,
     "table_profile": table_profile,
     "profile_distinct": profile_distinct,
@@ -214,6 +229,9 @@ ORACLE = {
     "distinct_values": "select distinct p_type from part where p_type is not null",
     "distinct_doubles": "select distinct cast(l_discount as varchar) as l_discount from lineitem "
                         "where l_discount is not null",
+    "group_prod": "select n_regionkey, product(n_nationkey) as prod_n_nationkey from nation group by 1",
+    "group_first": "select o_custkey, arg_min(o_totalprice, o_orderkey) as first_o_totalprice from orders group by 1",
+    "group_last": "select o_custkey, arg_max(o_orderpriority, o_orderkey) as last_o_orderpriority from orders group by 1",
     "share_summary": "select count(*) filter (where o_orderstatus = 'F') as matched, "
                      "count(*) as total from orders",
     "table_profile": _profile_sql(),
