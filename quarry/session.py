@@ -121,9 +121,31 @@ def materialize(df, name: str):
     df.write.mode("errorifexists").parquet(path)
     written = df.sparkSession.read.parquet(path)
     written._quarry_scratch = path
+    if _collecting:
+        _collecting[-1].append(written)
     return written
 
 
+#: Tables written inside each running ``settle``, innermost last.
+_collecting: list[list] = []
+
+
+def settle(build, name: str):
+    """Write the result of ``build()`` once and remove every table that was written on the way to it.
+
+    A job of many steps then leaves one table instead of one per step.
+    """
+    _collecting.append([])
+    try:
+        out = materialize(build(), name)
+    finally:
+        made = _collecting.pop()
+    discard(*[table for table in made if table is not out])
+    if _collecting:
+        _collecting[-1].append(out)
+    return out
+
+
 def discard(*written) -> None:
     """Remove tables that ``materialize`` wrote, once everything made from them has itself been written.
 
@@ -159,5 +181,5 @@ def local_path(p: str) -> str:
     return p[5:] if p.startswith("file:") else p
 
 
-__all__ = ["build_session", "ship_package", "ensure_checkpoint_dir", "scratch_path", "local_path", "materialize", "discard",
+__all__ = ["build_session", "ship_package", "ensure_checkpoint_dir", "scratch_path", "local_path", "materialize", "discard", "settle",
            "estimated_partitions", "path_exists", "is_folder"]
