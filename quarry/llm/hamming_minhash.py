@@ -44,12 +44,13 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import members as members_of
 from quarry.llm.common import hold, mix64, slices, small_batches, table, word_ids
-from quarry.session import materialize
+from quarry.session import discard, materialize, settle
 
 SYMBOLS, CHUNK, ERRORS = 50, 5, 1
 FAR = 25            # signatures that differ in more symbols are not compared (J = 0.8: probability 1e-6)
 PAIRED = 24         # buckets up to this size have their open pairs formed directly
 LANES = -(-SYMBOLS // 4)
+DIFF_BITS = 1024    # bitmap of a member's differences from its centre
 _U = np.uint64
 
 
@@ -118,6 +119,7 @@ def chunk_keys(symbols: np.ndarray) -> np.ndarray:
 
 
 _LANE_COLS = [f"s{k}" for k in range(LANES)]
+_BIT_COLS = [f"d{k}" for k in range(DIFF_BITS // 64)]
 
 
 def _sketch(docs: DataFrame, n: int) -> DataFrame:
@@ -200,9 +202,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialize(large.where("u <> v").distinct(), name)
+        discard(e)
         root = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(root, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = materialize(moved.unionByName(root.withColumnRenamed("m", "v")).distinct(), name)
+        discard(large)
     roots = e.select(F.col("v").alias("node")).distinct().withColumn("comp", F.col("node"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots)
 
@@ -219,6 +223,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets are equal (all of them have the same result), else each is linked by
     its own text.  Other columns are ignored.
     """
+    return settle(lambda: _near_duplicates(docs, id_col, text_col, n, num, den), "near-duplicates")
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> DataFrame:
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     sketch = materialize(_sketch(rows, n), "sketch")
     named = sketch.where("id IS NOT NULL AND cls IS NOT NULL")
@@ -247,6 +255,7 @@ def _links(rows: DataFrame, reps: DataFrame, n: int, num: int, den: int) -> Data
     keys = materialize(_keys(reps), "keys")
     shared = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1")
     members = materialize(keys.join(shared.select("key", "hub"), "key"), "buckets")
+    discard(keys)
     nodes = members.select("node").distinct()
     near = materialize(reps.join(nodes, "node", "left_semi"), "candidates")
     texts = materialize(
@@ -288,10 +297,11 @@ def _links(rows: DataFrame, reps: DataFrame, n: int, num: int, den: int) -> Data
 
 
 def _differences(groups: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    """Adds to (centre, node, comp): size, centre_size and diff, the shingles in one of the two sets only.
+    """Adds to (centre, node, comp): size, centre_size, diff, the shingles in one of the two sets only, and its bitmap.
 
     ``diff`` ranks first what only the node has (rare in a group), then what
-    only the centre has; each by hash, so all nodes of a centre rank alike.
+    only the centre has; each by hash, so all nodes of a centre rank alike.  In
+    the bitmap the bit ``hash % DIFF_BITS`` of each of them is set.
     """
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold(None, None)
@@ -310,13 +320,18 @@ def _differences(groups: DataFrame, texts: DataFrame, n: int) -> DataFrame:
             ends = np.r_[0, np.cumsum(np.bincount(row, minlength=size))]
             ranked = value[np.lexsort((value, removed, row))].view(np.int64)
             diff = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ranked))
+            bits = np.zeros((size, DIFF_BITS), bool)
+            bits[row, (mix64(value) % _U(DIFF_BITS)).astype(np.int64)] = True
+            words = np.packbits(bits, axis=1).view(np.int64)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(count[1]),
-                                              pa.array(count[0]), diff],
-                                             ["centre", "node", "comp", "size", "centre_size", "diff"])
+                                              pa.array(count[0]), diff,
+                                              *(pa.array(words[:, k].copy()) for k in range(len(_BIT_COLS)))],
+                                             ["centre", "node", "comp", "size", "centre_size", "diff", *_BIT_COLS])
 
     centre = texts.select(F.col("node").alias("centre"), F.col("text").alias("tc"))
     return (groups.join(centre.hint("merge"), "centre").join(texts.hint("merge"), "node").select("centre", "node", "comp", "tc", "text")
-            .mapInArrow(run, "centre long, node long, comp long, size long, centre_size long, diff array<long>"))
+            .mapInArrow(run, "centre long, node long, comp long, size long, centre_size long, diff array<long>, "
+                        + ", ".join(f"{c} long" for c in _BIT_COLS)))
 
 
 def _around_centres(groups: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -332,8 +347,10 @@ def _around_centres(groups: DataFrame, texts: DataFrame, n: int, num: int, den:
     |x| (den - num) / num by the triangle inequality and |y| <= |x| den / num.
     With the differences of both ranked alike, the first common one is among the
     first |D| - c + 1 of each.  What only one document adds ranks first, so x
-    meets y over a shared, rare difference; a group of copies costs its
-    differences, not its pairs.
+    meets y over a shared, rare difference.  Members that share one such
+    difference by chance are told apart before they become rows: of the bits in
+    one bitmap that the other lacks each stands for a difference they do not
+    share, and c must remain.
     """
     d = materialize(_differences(groups, texts, n), "differences")
     sizes = "CAST(size({a}.diff) AS bigint)"
@@ -342,7 +359,7 @@ def _around_centres(groups: DataFrame, texts: DataFrame, n: int, num: int, den:
     near_centre = d.where(f"node <> centre AND {at_centre}") \
         .select(F.col("centre").alias("a"), F.col("node").alias("b"))
     # a component is named by its root, so the centre's component is the centre
-    part = d.select("centre", "node", "comp", "size", F.size("diff").cast("long").alias("nd"),
+    part = d.select("centre", "node", "comp", "size", *_BIT_COLS, F.size("diff").cast("long").alias("nd"),
                     ((F.col("comp") != F.col("centre")) & ~F.expr(at_centre)).alias("outside"), "diff")
     # | |D(x)| - |D(y)| | <= |x ^ y|: members too near to the centre to reach any outside one go
     reach = f"{den + num} * nd - {den - num} * size"
@@ -352,13 +369,16 @@ def _around_centres(groups: DataFrame, texts: DataFrame, n: int, num: int, den:
     few = f"nd - CAST(floor(size * {den - num} / {num}) AS bigint)"
     least = f"greatest(1, {few}, if(outside, 1, CAST(floor(nd * {num} / {den + num}) AS bigint) + 1))"
     prefix = materialize(
-        part.select("centre", "node", "comp", "size", "nd", "outside",
+        part.select("centre", "node", "comp", "size", "nd", "outside", *_BIT_COLS,
                     F.posexplode(F.expr(f"slice(diff, 1, CAST(greatest(nd - {least} + 1, 0) AS INT))")).alias("k", "el"))
         .withColumn("k", F.col("k") + 1), "prefixes")
     x, y = prefix.where("outside").alias("x"), prefix.alias("y")
     # common differences needed, times 2 (den + num); the first common one is early in both rankings
     need = f"({den + num} * (x.nd + y.nd) - {den - num} * (x.size + y.size))"
     early = " AND ".join(f"{need} <= {2 * (den + num)} * ({a}.nd - {a}.k + 1)" for a in "xy")
+    # a bit that only one of them has stands for one of its differences that the other lacks
+    lacking = {a: " + ".join(f"bit_count({a}.{c} & ~{b}.{c})" for c in _BIT_COLS) for a, b in ("xy", "yx")}
+    early += "".join(f" AND {need} <= {2 * (den + num)} * ({a}.nd - ({lacking[a]}))" for a in "xy")
     met = (x.join(y, (F.col("x.centre") == F.col("y.centre")) & (F.col("x.el") == F.col("y.el"))
                   & (F.col("x.comp") != F.col("y.comp")) & F.expr(early))
            .select(F.col("x.centre").alias("centre"), F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import members, split_members, table
-from quarry.session import materialize
+from quarry.session import discard, materialize, settle
 
 GRAM = 2            # lines hashed together
 WINDOW = 3          # line grams of which one is selected
@@ -187,7 +187,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = docs.drop("n_removed", "removed_words")
     rows = rest.withColumns({"__id": F.col(f"`{id_col}`").cast("long"), "__text": F.col(f"`{text_col}`").cast("string")})
     lines = materialize(line_table(rows.select("__id", "__text")), "lines")
-    runs = materialize(repeated_runs(lines, gram, window, long_line, min_words), "line-runs") \
+    runs = settle(lambda: repeated_runs(lines, gram, window, long_line, min_words), "line-runs")
+    discard(lines)
+    runs = runs \
         .withColumnsRenamed({"id": "__rid", "th": "__rth", "runs": "__runs"})
     names, zero = [F.col(f"`{c}`") for c in rest.columns], F.lit(0).cast("long")
     # texts that cannot be cut stay where they are
