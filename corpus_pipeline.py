@@ -3,7 +3,15 @@
 Every stage takes (spark, docs, sf_dir) and works on all rows that the one
 before kept.  All stages but the last return the columns of ``docs``; the
 result of each is written as Parquet under ``spark.checkpoint.dir`` and read
-again, so a lost executor never repeats an earlier stage.
+again, so a lost executor never repeats an earlier stage.  What a stage wrote on
+the way, and the result of the stage before, go once its own result is written.
+
+In every stage a null text stays null and a null id stays: neither is a
+duplicate, a leak or toxic (a toxic text goes whatever its id).  Repeated rows
+are each judged like one row; rows that share an id are dropped together by
+near_dedup if one of them is, for it decides on ids.  Ties go to the smaller
+id.  Other columns pass through unchanged whatever their names, and an empty
+table stays empty with its columns.
 """
 
 from __future__ import annotations
@@ -13,9 +21,9 @@ from pyspark.sql import functions as F
 
 from quarry.llm import bm25_wand, duck_bpe, hamming_minhash, line_winnow, zstd_toxicity
 from quarry.llm.common import table
-from quarry.session import materialize, ship_package
+from quarry.session import discard, settle, ship_package
 
-SHINGLE_WORDS = 5       # near duplicates: five-word shingles, similarity 0.8 or more
+SHINGLE_WORDS = 2       # near duplicates by the rule of operator 7: two-word shingles, similarity 0.8 or more
 
 
 def toxicity(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,5 +77,7 @@ ORACLE_SQL = None
 def run(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        done = settle(lambda: stage(spark, docs, sf_dir), f"pipeline-{name}")     # leaves the stage's result alone
+        discard(docs)
+        docs = done
     return docs
