@@ -22,6 +22,7 @@ from quarry.functions.similarity import resolve_name
 from quarry.functions.names import col as named
 from quarry.functions.values import all_midnight, as_text, is_numeric
 from quarry.operators import aggregate as agg
+from quarry.operators.profile_store import ProfileStore
 from quarry.operators.resolve import Resolution, resolve_value
 from quarry.operators.value_dictionary import ValueDictionary
 from quarry.session import is_folder
@@ -157,6 +158,15 @@ class Tables:
         known.refresh()
         return known.values()
 
+    def stored_profile(self, table: str) -> DataFrame:
+        """M1 from stored sketches, refreshed by the table's new files (see :mod:`quarry.operators.profile_store`)."""
+        t = self.resolve_table(table)
+        if not self.dictionaries or t not in self._files:
+            raise ValueError(f"Table '{t}' has no stored profile: register its files and name a folder for dictionaries")
+        store = ProfileStore(self.spark, self.dictionaries, t, *self._files[t])
+        store.refresh()
+        return store.profile()
+
     def names(self) -> list[str]:
         return list(self._tables)
 

@@ -7,6 +7,8 @@ extractor never sees the latter.  ``{k}`` stands for the part's number.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,27 +102,28 @@ def response_violations(spark, sf_dir) -> DataFrame:
     return X.rule_violations(rows).select("id", "rule")
 
 
+def answers():
+    """A model client that answers by plain rules; some answers are missing, broken, refused or fail."""
+    def call(payloads: list[str]) -> list:
+        out = []
+        for p in payloads:
+            text = p.split("\n", 1)[1]
+            pairs = [{"old_part": "A1", "new_part": "B2", "cue_phrase": "replaced by"}] if "replaced by" in text else []
+            body = {"replacement_intent": bool(pairs), "replacement_pairs": pairs, "rationale": str(len(text)),
+                    "confidence": 0.75}
+            if "phasing out" in text.lower():
+                del body["confidence"]
+            if "viable" in text:
+                body["note"] = "not asked for"
+            out.append(None if "retiring" in text else "{broken" if "voted" in text
+                       else RuntimeError("quota") if "movement" in text else json.dumps(body))
+        return out
+    return call
+
+
 def model_extract(spark, sf_dir) -> DataFrame:
     """X1 with X5 and X6: a model client answers for every note; some answers fail, row by row."""
-    def make():
-        import json
-
-        def call(payloads: list[str]) -> list:
-            out = []
-            for p in payloads:
-                text = p.split("\n", 1)[1]
-                pairs = [{"old_part": "A1", "new_part": "B2", "cue_phrase": "replaced by"}] if "replaced by" in text else []
-                body = {"replacement_intent": bool(pairs), "replacement_pairs": pairs, "rationale": str(len(text)),
-                        "confidence": 0.75}
-                if "phasing out" in text.lower():
-                    del body["confidence"]
-                if "viable" in text:
-                    body["note"] = "not asked for"
-                out.append(None if "retiring" in text else "{broken" if "voted" in text
-                           else RuntimeError("quota") if "movement" in text else json.dumps(body))
-            return out
-        return call
-    return X.extract_with_model(notes(spark, sf_dir), make, retries=0)
+    return X.extract_with_model(notes(spark, sf_dir), answers, retries=0)
 
 
 _K = "p_partkey"

@@ -3,7 +3,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions.similarity import NotFound
+from quarry.operators import file_summary as FS
 from quarry.operators import value_dictionary as VD
+from quarry.operators.profile_store import ProfileStore
 from quarry.operators.tables import Tables
 
 
@@ -41,7 +43,7 @@ def test_a_file_that_goes_away_starts_anew(spark, scratch):
 
 
 def test_many_batches_become_one(spark, scratch, monkeypatch):
-    monkeypatch.setattr(VD, "MAX_BATCHES", 2)
+    monkeypatch.setattr(FS, "MAX_BATCHES", 2)
     path, reads = f"{scratch}/t", []
     d = dictionary(spark, scratch, path, reads)
     spark.createDataFrame([], "s string, n int").write.parquet(path)
@@ -84,3 +86,29 @@ def test_tables_resolve_from_the_dictionary(spark, scratch):
     assert [r[0] for r in t.distinct_values("split", "p").collect()] == ["x", "y"]
     assert t.get_rows("split", "p", "X").select(F.col("s")).first().s == "a"
     assert t.values_of("parts", "n") is None
+
+
+def test_stored_profile_grows_with_the_table(spark, scratch):
+    path, reads = f"{scratch}/t", []
+
+    def grow(low, high):
+        spark.range(low, high).select("id", (F.col("id") % 50).cast("double").alias("a.b"), F.lit(None).cast("string").alias("none"),
+                                      F.when(F.col("id") % 4 == 0, float("nan")).otherwise(F.col("id") * 1.0).alias("f"),
+                                      F.array("id").alias("nested")).coalesce(1).write.mode("append").parquet(path)
+    grow(0, 2000)
+    store = ProfileStore(spark, f"{scratch}/p", "t", lambda: spark.read.parquet(path).inputFiles(),
+                         lambda files: reads.append(len(files)) or spark.read.parquet(*files))
+    assert store.refresh() == 1
+    grow(1000, 5000)
+    assert store.refresh() == 1 and store.refresh() == 0 and sum(reads) == 2
+    got = {r.column_name: r for r in store.profile().collect()}
+    assert {c: (r.ordinal, r.row_count, r.null_count) for c, r in got.items()} == {
+        "id": (1, 6000, 0), "a.b": (2, 6000, 0), "none": (3, 6000, 6000), "f": (4, 6000, 1500), "nested": (5, 6000, 0)}
+    assert abs(got["id"].approx_distinct - 5000) <= 100 and got["a.b"].approx_distinct == 50
+    assert got["none"].approx_distinct == 0 and got["nested"].approx_distinct is None
+    assert abs(got["id"].approx_median - 2000) < 250 and got["none"].approx_median is None
+    t = Tables(spark, dictionaries=f"{scratch}/d")
+    t.register_files("grown", path)
+    assert t.stored_profile("grown").count() == 5
+    with pytest.raises(ValueError):
+        Tables(spark).stored_profile("grown")
