@@ -11,7 +11,7 @@ import pytest
 
 from quarry.llm import (bm25_wand, byte_cnn, duck_bpe, fst_tokens, hamming_minhash, line_winnow, maglev_shards,
                         seekable_warc, suffix_repetition, zstd_toxicity)
-from quarry.session import ship_package
+from quarry.session import materialize, ship_package
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, score string, key long, n_removed long, shard string"
@@ -409,7 +409,7 @@ def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for name, stage in cp.STAGES[:-1]:
         before = {r["doc_id"] for r in docs.select("doc_id").collect()}
-        docs = cp.materialize(stage(spark, docs, SF), f"test-{name}")
+        docs = materialize(stage(spark, docs, SF), f"test-{name}")
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         assert {r["doc_id"] for r in docs.select("doc_id").collect()} <= before
     assert docs.where("n_chars <> length(text)").count() == 0
