@@ -35,13 +35,15 @@ def toxicity(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated line runs; a document that loses all its words goes. ``n_chars`` follows the text."""
     ship_package(spark)
-    cut = line_winnow.dedup_lines(docs)
+    # the operator's own columns must not replace data columns of those names
+    aside = {c: f"__data_{c}" for c in docs.columns if c.lower() in ("n_removed", "removed_words")}
+    cut = line_winnow.dedup_lines(docs.withColumnsRenamed(aside))
     emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     cut = cut.where(~F.coalesce(emptied, F.lit(False)))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
                              .cast(docs.schema["n_chars"].dataType))
-    return cut.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return cut.select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
