@@ -17,6 +17,8 @@ against 1,500).
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,6 +30,8 @@ from quarry.functions.similarity import score
 NEEDLES = 128
 #: Bits of a machine word: a longer needle has only the bound by character counts.
 WORD = 64
+#: Characters of a candidate that gets the bound by subsequences: more than any that a needle of WORD can match.
+MAX_CODED = 1024
 
 
 def code_points(text: str) -> np.ndarray:
@@ -35,7 +39,7 @@ def code_points(text: str) -> np.ndarray:
 
 
 class Candidates:
-    """The candidates of a cell: character counts, lengths and a matrix of character codes (0 is padding)."""
+    """The candidates of a cell: character counts and lengths."""
 
     def __init__(self, texts: list[str], buckets: int = 64):
         points = [code_points(t) for t in texts]
@@ -43,10 +47,16 @@ class Candidates:
         self.lengths = np.array([len(p) for p in points], np.int64)
         self.counts = np.array([np.bincount(p % buckets, minlength=buckets) for p in points],
                                np.int32).reshape(len(texts), buckets)
-        self.alphabet = np.unique(np.concatenate([*points, np.zeros(0, np.uint32)]))
-        self.codes = np.zeros((len(texts), int(self.lengths.max(initial=0))), np.int32)
-        for row, p in zip(self.codes, points):
-            row[:len(p)] = np.searchsorted(self.alphabet, p) + 1
+
+    @functools.cached_property
+    def coded(self) -> tuple[np.ndarray, np.ndarray]:
+        """(alphabet, character codes of the candidates up to MAX_CODED characters, 0 for padding), made when first needed."""
+        points = [code_points(t) if n <= MAX_CODED else np.zeros(0, np.uint32) for t, n in zip(self.texts, self.lengths)]
+        alphabet = np.unique(np.concatenate([*points, np.zeros(0, np.uint32)]))
+        codes = np.zeros((len(points), max((len(p) for p in points), default=0)), np.int32)
+        for row, p in zip(codes, points):
+            row[:len(p)] = np.searchsorted(alphabet, p) + 1
+        return alphabet, codes
 
     def count_bound(self, needles: list[np.ndarray]) -> np.ndarray:
         """Upper bounds of the scores (needles x candidates) from character counts; collisions only loosen them."""
@@ -57,19 +67,20 @@ class Candidates:
 
     def subsequence_bound(self, needle: np.ndarray, which: np.ndarray) -> np.ndarray:
         """Upper bounds of the scores of one needle (up to WORD characters) with some candidates."""
+        alphabet, codes = self.coded
         n, lengths = len(needle), self.lengths[which]
-        places = np.zeros(len(self.alphabet) + 1, np.uint64)
+        places = np.zeros(len(alphabet) + 1, np.uint64)
         for i, point in enumerate(needle):
-            at = int(np.searchsorted(self.alphabet, point))
-            if at < len(self.alphabet) and self.alphabet[at] == point:
+            at = int(np.searchsorted(alphabet, point))
+            if at < len(alphabet) and alphabet[at] == point:
                 places[at + 1] |= np.uint64(1 << i)
         rows = np.full(len(which), np.uint64(2 ** 64 - 1))
         with np.errstate(over="ignore"):
-            for column in self.codes[which, :int(lengths.max(initial=0))].T:
+            for column in codes[which, :int(lengths.max(initial=0))].T:
                 hit = places[column]
                 rows = (rows + (rows & hit)) | (rows & ~hit)
         common = n - np.bitwise_count(rows & np.uint64(2 ** n - 1)).astype(np.int64)
-        return 2.0 * common / np.maximum(n + lengths, 1)
+        return np.where(lengths <= MAX_CODED, 2.0 * common / np.maximum(n + lengths, 1), 1.0)
 
 
 def best_in_cell(left: pd.DataFrame, right: pd.DataFrame, cutoff: float, scored: list | None = None) -> pd.DataFrame:
