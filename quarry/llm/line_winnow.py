@@ -2,27 +2,31 @@
 
 A line ends at a newline or after ``.``, ``!`` or ``?`` and a blank; it keeps
 its ending, so the lines of a text join to the text.  Lines compare without
-outer blanks, by a 64-bit hash.
+outer blanks, by a hash.  Blank lines count by their number between lines.
 
 1. Fingerprints.  Hashes of ``GRAM`` neighbouring lines are winnowed: of every
    ``WINDOW`` in a row the smallest (rightmost on ties) is selected; a line of
-   at least ``LONG_LINE`` words is a fingerprint by itself.  Two equal runs of
+   at least ``long_line`` words is a fingerprint by itself.  Two equal runs of
    ``GRAM + WINDOW - 1`` lines hold the same window, so they share a
-   fingerprint; a shorter run of more than 50 words has a line of 17 or more.
-   Rows without a fingerprint that occurs again take no further part.
-2. Passages.  Of each line the shortest run from it, and the shortest run up to
-   it, of at least ``MIN_WORDS`` words is hashed.  A longer run is the union of
+   fingerprint; a run of fewer lines and at least ``MIN_WORDS`` words has a line
+   of ``MIN_WORDS / (GRAM + WINDOW - 2)`` words, which is ``long_line``.  So every
+   run that may be deleted shares a fingerprint, whatever stands around it.
+2. Positions.  Places of fingerprints meet the fingerprints that occur again;
+   these seeds go to their rows.  Rows without one take no further part.
+3. Extension.  A match is extended from its seeds both ways: of each line the
+   shortest run from it, and the shortest run up to it, of at least
+   ``MIN_WORDS`` words is kept if it holds a seed.  A longer run is the union of
    such passages, and each is fixed by its own lines, so it is found again
-   wherever the run stands.
-3. Join.  Each passage meets the least document id that holds it, whichever
-   document that is: two passages of one run may have different sources.
-4. Passages that an earlier document holds are deleted from the later one.
-   Inside one document a passage goes wherever it stood before.
+   wherever the run stands, whatever the seed's other places look like.
+4. Each passage meets the earliest place that holds it, whichever document that
+   is: two passages of one run may have different sources.  Passages that an
+   earlier document holds are deleted from the later one, and inside one
+   document those that stood before.
 
 Only DataFrame functions are used.  Work is linear in the lines: a line
-has two passages, and an occurrence meets one id, never the other occurrences.
-A hot passage skews a sort-merge join, which adaptive execution splits; the
-least ids are found by partial aggregation.
+has two passages, and an occurrence meets one place, never the other
+occurrences.  A hot passage skews a sort-merge join, which adaptive execution
+splits; the least places are found by partial aggregation.
 """
 
 from __future__ import annotations
@@ -35,8 +39,8 @@ from quarry.session import discard, materialize, settle
 
 GRAM = 2            # lines hashed together
 WINDOW = 3          # line grams of which one is selected
-LONG_LINE = 17      # words: ceil(51 / 3)
 MIN_WORDS = 30      # words in a run that is deleted
+NEAR = 6            # lines in which most passages end; only longer ones look further
 
 #: the text with U+0001 behind every line
 _CUT = r"""replace(replace(replace(replace(__text, '\n', '\n\u0001'), '. ', '. \u0001'), '! ', '! \u0001'),
@@ -63,107 +67,117 @@ def _words(line):
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """(id, th, h, w): document id, text hash, hash and words of every line; one row per input row."""
-    return (docs.where("__id IS NOT NULL AND __text IS NOT NULL")
+    """(id, th, n, h, w, at): document id, text hash, lines; hash, words and place of every line with a word."""
+    rows = (docs.where("__id IS NOT NULL AND __text IS NOT NULL")
             .select(F.col("__id").alias("id"), F.xxhash64("__text").alias("th"),
                     _once(f"transform(split({_COMPARED}, '\\u0001'), u -> trim(u))").alias("u"))
             .select("id", "th", F.transform("u", lambda u: F.xxhash64(u)).alias("h"),
                     F.transform("u", _words).alias("w")))
+    full = "filter(arrays_zip(h, w, sequence(0, size(h) - 1)), x -> x.w > 0)"
+    return (rows.select("id", "th", "h", "w", _once(f"if(array_contains(w, 0), {full}, null)").alias("z"))
+            .selectExpr("id", "th", "size(h) AS n", "coalesce(z.h, h) AS h", "coalesce(z.w, w) AS w",
+                        "coalesce(z.`2`, sequence(0, size(h) - 1)) AS at")
+            .where("size(h) > 0"))
 
 
-def fingerprints(lines: DataFrame, gram: int = GRAM, window: int = WINDOW, long_line: int = LONG_LINE) -> DataFrame:
-    """(id, p): the selected fingerprints of each row, p an array of (key, pos, prev) in key order.
-
-    ``prev`` is the key's place before ``pos`` in the same row, null at its first place.
-    """
+def fingerprints(lines: DataFrame, gram: int, window: int, long_line: int) -> DataFrame:
+    """(id, th, p): the selected fingerprints of each row, p an array of (key, pos) with pos counting lines with words."""
     fields = ", ".join(f"x.`{k}`" for k in range(gram))
     grams = (f"transform(slice(arrays_zip({_shifts('h', gram)}), 1, greatest(size(h) - {gram - 1}, 0)),"
              f" (x, i) -> named_struct('key', xxhash64({fields}), 'back', -i))")        # least, then rightmost
-    alone = (f"transform(filter(arrays_zip(h, w, sequence(0, size(h) - 1)), x -> x.w >= {long_line}),"
-             " x -> named_struct('key', xxhash64(x.h), 'back', -x.`2`))")
+    alone = (f"array_compact(transform(w, (x, i) -> if(x >= {long_line}, named_struct('key', xxhash64(h[i]), 'pos', i),"
+             " null)))")
     least = ", ".join(f"x.`{k}`" for k in range(window))
     least = f"least({least})" if window > 1 else least
     picked = (f"transform(slice(arrays_zip({_shifts('g', window)}), 1,"
               f" greatest(size(g) - {window - 1}, least(size(g), 1))), x -> {least})")
-    # a gram may be selected by several windows: entries that repeat the one before go
-    ranked = ("filter(zip_with(p, concat(array(null), slice(p, 1, greatest(size(p) - 1, 0))), (x, y) -> named_struct("
-              "'key', x.key, 'pos', x.pos, 'prev', if(x.key = y.key, y.pos, null))), x -> NOT (x.prev <=> x.pos))")
-    return (lines.select("id", "h", "w", _once(grams).alias("g"))
-            .select("id", _once(f"sort_array(transform(concat({picked}, {alone}),"
-                                " x -> named_struct('key', x.key, 'pos', -x.back)))").alias("p"))
-            .select("id", _once(ranked).alias("p")))
-
-
-def repeating(lines: DataFrame, marks: DataFrame) -> DataFrame:
-    """The rows of ``lines`` that may hold a fingerprint that occurs again: all that do, and few others."""
-    places = marks.select("id", F.explode("p").alias("f")).select(
-        F.col("f.key").alias("key"), "id", F.col("f.prev").alias("prev"))
-    firsts = places.where("prev IS NULL").select("key", "id")
-    twice = firsts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    again = members(firsts, "key", twice).select("id").unionByName(places.where("prev IS NOT NULL").select("id"))
-    return members(lines, "id", again)
-
-
-def passages(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, th, p): the shortest runs of at least ``min_words`` words from each line on and up to each line.
-
-    p is an array of (key, first, last, again) in key order; ``again`` says that
-    the passage stood before in the same row.  Every line of a run of at least
-    ``min_words`` words lies in a passage inside the run: in the one up to it if
-    the run has enough words so far, else in the one from the run's start.
+    # the same gram is selected by neighbouring windows: entries that repeat the one before go
+    once = ("array_compact(zip_with(p, concat(array(null), slice(p, 1, greatest(size(p) - 1, 0))), (x, y) ->"
+            " if(x.back <=> y.back, null, named_struct('key', x.key, 'pos', -x.back))))")
+    return (lines.select("id", "th", "h", "w", _once(grams).alias("g"))
+            .select("id", "th", _once(picked).alias("p"), _once(alone).alias("a"))
+            .select("id", "th", _once(f"concat({once}, a)").alias("p")))
+
+
+def seeds(marks: DataFrame) -> DataFrame:
+    """(id, th, seeds): per row the places of its fingerprints that occur again anywhere, ascending."""
+    places = marks.select("id", "th", F.explode("p").alias("f")).select(
+        F.col("f.key").alias("key"), "id", "th", F.col("f.pos").alias("pos"))
+    again = materialize(places.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeated-keys")
+    return (members(places, "key", again).join(again.hint("merge"), "key")
+            .groupBy("id", "th").agg(F.sort_array(F.collect_set("pos")).alias("seeds")))
+
+
+def passages(lines: DataFrame, found: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, th, p): the shortest runs of at least ``min_words`` words from each line on and up to each line, with a seed.
+
+    p is an array of (key, first, last), places counting all lines.  Every line
+    of a run of at least ``min_words`` words lies in a passage inside the run: in
+    the one up to it if the run has enough words so far, else in the one from
+    the run's start.
     """
-    units = "filter(arrays_zip(h, w, sequence(0, size(h) - 1)), x -> x.w > 0)"      # lines with words
-    # words * 2^20 + lines, up to the line that makes them enough
+    # words * 2^20 + lines, up to the line that makes them enough; 0 where too few words are left
     enough = f"{min_words} * 1048576L"
-    reach = f"aggregate({{part}}, 0L, (s, x) -> if(s >= {enough}, s, s + x * 1048576L + 1L))"
-    ahead = reach.format(part=f"slice(uw, i + 1, {min_words})")
-    behind = reach.format(part=f"reverse(slice(uw, greatest(i + 2 - {min_words}, 1), least(i + 1, {min_words})))")
+    fold = f"aggregate({{part}}, 0L, (s, x) -> if(s >= {enough}, s, s + x * 1048576L + 1L))"
+    steps = []
+    for side, source, at in (("ahead", "w", "i + 1"), ("behind", "r", "size(w) - i")):
+        near = fold.format(part=f"slice({source}, {at}, {min(NEAR, min_words)})")
+        whole = fold.format(part=f"slice({source}, {at}, {min_words})")
+        # a seed is within reach from the line on, or of the lines up to it
+        reach = (f"coalesce(get(ns, i) < i + {min_words}, false)" if side == "ahead" else
+                 f"coalesce(get(ns, greatest(i - {min_words - 1}, 0)) <= i, false)")
+        steps.append(f"transform(w, (x, i) -> if({reach}, transform(array({near}), s -> if(s >= {enough}, s, {whole}))[0],"
+                     " 0L))")
     size = "CAST(x % 1048576L AS int)"
-    # blank lines inside a passage count by the distance to the next line, those before or behind it one by one
     ends = {"ahead": ("i", f"i + {size} - 1"), "behind": (f"i - {size} + 1", "i")}
-    found = {side: f"filter(transform({side}, (x, i) -> if(x < {enough}, null, named_struct('first', {a}, 'last', {b}))),"
-                   " r -> r IS NOT NULL)" for side, (a, b) in ends.items()}
-    body = "xxhash64(slice(uh, r.first + 1, r.last - r.first), element_at(hs, r.last + 1))"
-    hashed = {"ahead": f"transform({found['ahead']}, r -> named_struct('body', {body}, 'first', up[r.first],"
-                       " 'last', up[r.last], 'room', up[r.first] - if(r.first = 0, -1, up[greatest(r.first - 1, 0)]) - 1))",
-              "behind": f"transform({found['behind']}, r -> named_struct('body', {body}, 'first', up[r.first],"
-                        " 'last', up[r.last], 'room', if(r.last + 1 = size(up), lines, up[least(r.last + 1, size(up) - 1)])"
-                        " - up[r.last] - 1))"}
-    placed = {"ahead": "transform(sequence(0, r.room), k -> named_struct('key', xxhash64(k, r.body, 0),"
+    held = {side: f"array_compact(transform({side}, (x, i) -> if(x >= {enough} AND coalesce(get(ns, {a}) <= {b}, false),"
+                  f" named_struct('first', {a}, 'last', {b}), null)))" for side, (a, b) in ends.items()}
+    body = "xxhash64(slice(uh, r.first + 1, r.last - r.first), h[r.last])"
+    # blank lines inside a passage count by the distance to the next line, those before or behind it one by one
+    room = {"ahead": "at[r.first] - if(r.first = 0, -1, at[greatest(r.first - 1, 0)]) - 1",
+            "behind": "if(r.last + 1 = size(at), n, at[least(r.last + 1, size(at) - 1)]) - at[r.last] - 1"}
+    # the run up to a line may be the run from its first line on, which is there already
+    least = {"ahead": "0", "behind": "if(CAST(ahead[r.first] % 1048576L AS int) = r.last - r.first + 1"
+                                     f" AND ahead[r.first] >= {enough}, 1, 0)"}
+    hashed = {side: f"filter(transform({side[0]}, r -> named_struct('body', {body}, 'first', at[r.first], 'last', at[r.last],"
+                    f" 'least', {least[side]}, 'room', {room[side]})), r -> r.least <= r.room)" for side in held}
+    placed = {"ahead": "transform(sequence(r.least, r.room), k -> named_struct('key', xxhash64(k, r.body, 0),"
                        " 'first', r.first - k, 'last', r.last))",
-              "behind": "transform(sequence(0, r.room), k -> named_struct('key', xxhash64(0, r.body, k),"
+              "behind": "transform(sequence(r.least, r.room), k -> named_struct('key', xxhash64(0, r.body, k),"
                         " 'first', r.first, 'last', r.last + k))"}
     every = ", ".join(f"flatten(transform({side}, r -> {expr}))" for side, expr in placed.items())
-    # the same passage may be found from both of its ends: entries that repeat the one before go
-    ranked = ("filter(zip_with(p, concat(array(null), slice(p, 1, greatest(size(p) - 1, 0))), (x, y) -> named_struct("
-              "'key', x.key, 'first', x.first, 'last', x.last, 'again', coalesce(x.key = y.key, false),"
-              " 'same', x.key <=> y.key AND x.first <=> y.first)), x -> NOT x.same)")
-    return (lines.select("id", "th", F.size("h").alias("lines"), _once(units).alias("u"))
-            # a field of an array read inside a lambda would be read anew for every entry
-            .select("id", "th", "lines", _once("u.h").alias("hs"), _once("u.w").alias("uw"), _once("u.`2`").alias("up"))
-            .select("id", "th", "lines", "hs", "up",
-                    _once("transform(hs, (x, i) -> xxhash64(x, if(i + 1 = size(up), 0,"
-                          " up[least(i + 1, size(up) - 1)] - up[i])))").alias("uh"),
-                    _once(f"transform(uw, (x, i) -> {ahead})").alias("ahead"),
-                    _once(f"transform(uw, (x, i) -> {behind})").alias("behind"))
+    # the next seed of every line up to the last seed
+    following = ("flatten(zip_with(seeds, concat(array(-1), slice(seeds, 1, size(seeds) - 1)),"
+                 " (s, p) -> array_repeat(s, s - p)))")
+    return (members(lines, "id", found.select("id")).join(found.hint("merge"), ["id", "th"])
+            .select("id", "th", "n", "h", "w", "at", _once("reverse(w)").alias("r"), _once(following).alias("ns"))
+            .select("id", "th", "n", "h", "w", "at", "ns",
+                    _once("transform(h, (x, i) -> xxhash64(x, if(i + 1 = size(at), 0,"
+                          " at[least(i + 1, size(at) - 1)] - at[i])))").alias("uh"),
+                    _once(steps[0]).alias("ahead"), _once(steps[1]).alias("behind"))
+            .select("id", "th", "n", "h", "at", "uh", "ahead", _once(held["ahead"]).alias("a"),
+                    _once(held["behind"]).alias("b"))
             .select("id", "th", *[_once(expr).alias(side) for side, expr in hashed.items()])
-            .select("id", "th", _once(f"sort_array(concat({every}))").alias("p"))
-            .select("id", "th", _once(f"transform({ranked}, x -> named_struct('key', x.key, 'first', x.first,"
-                                      " 'last', x.last, 'again', x.again))").alias("p")))
+            .select("id", "th", _once(f"concat({every})").alias("p")))
 
 
-def repeated_runs(lines: DataFrame, gram: int = GRAM, window: int = WINDOW, long_line: int = LONG_LINE,
+def repeated_runs(lines: DataFrame, gram: int = GRAM, window: int = WINDOW, long_line: int | None = None,
                   min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, th, runs): the line runs to delete, as arrays of (first, last), one row per document that has any."""
-    marks = materialize(fingerprints(lines, gram, window, long_line), "fingerprints")
-    held = materialize(passages(repeating(lines, marks), min_words), "passages")
+    """(id, th, runs): the line runs to delete, as arrays of (first, last), one row per document that has any.
+
+    ``long_line`` is the largest number of words that keeps the guarantee unless a smaller one is given.
+    """
+    sure = -(-min_words // max(gram + window - 2, 1))
+    marks = materialize(fingerprints(lines, gram, window, min(long_line or sure, sure)), "fingerprints")
+    found = materialize(seeds(marks), "seeds")
+    held = materialize(passages(lines, found, min_words), "passages")
     places = held.select("id", "th", F.explode("p").alias("f")).select("id", "th", "f.*")
-    firsts = places.where("NOT again").drop("again")
-    source = (firsts.groupBy("key").agg(F.min("id").alias("sid"), F.max("id").alias("top")).where("sid < top")
-              .select("key", "sid"))
+    place = F.struct("id", "th", "first")
+    source = (places.groupBy("key").agg(F.min(place).alias("s"), F.max(place).alias("t")).where("s < t")
+              .selectExpr("key", "s.id AS sid", "s.th AS sth", "s.first AS sfirst"))
     # one plan at every size: both sides grow with the corpus, so neither is broadcast
-    across = firsts.join(source.hint("merge"), "key").where("id > sid").select("id", "th", "first", "last")
-    gone = across.unionByName(places.where("again").select("id", "th", "first", "last"))
+    gone = (places.join(source.hint("merge"), "key").where("id > sid OR (id = sid AND th = sth AND first > sfirst)")
+            .select("id", "th", "first", "last"))
     # in order of their first lines the last ones rise too, so neighbours show where a run ends
     before = "concat(array(-2), slice(r.last, 1, size(r) - 1))"
     behind = "concat(slice(r.first, 2, size(r) - 1), array(2147483647))"
@@ -175,12 +189,13 @@ def repeated_runs(lines: DataFrame, gram: int = GRAM, window: int = WINDOW, long
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM,
-                window: int = WINDOW, long_line: int = LONG_LINE, min_words: int = MIN_WORDS) -> DataFrame:
+                window: int = WINDOW, long_line: int | None = None, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the text cut and two columns added: n_removed (lines) and removed_words.
 
     Documents are ordered by id and the earliest occurrence of a run stays.
-    Rows that share an id are never cut against each other.  Null ids and null
-    or empty texts pass unchanged with zeros.  Columns of ``docs`` named like
+    Rows that share an id are never cut against each other, and of different
+    texts under one id only that with the least hash loses what repeats inside
+    itself.  Null ids and null or empty texts pass unchanged with zeros.  Columns of ``docs`` named like
     the added ones are replaced, all others pass through.  U+0001 ends a line
     and is dropped from a text that is cut.
     """

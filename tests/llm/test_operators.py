@@ -155,6 +155,36 @@ def test_line_dedup_finds_passages_whose_lines_stand_elsewhere(spark):
     assert sum(got[i] == least[i] for i in range(120, 180)) >= 58
 
 
+def test_line_dedup_equals_brute_force_for_every_document(spark):
+    """Few distinct lines of every length, some repeated inside a document, blank ones between: each text as by brute force."""
+    random.seed(23)
+    make = lambda n: " ".join(random.choice("abcdefghij") + str(random.randint(0, 99)) for _ in range(n))
+    shared = [make(random.choice([1, 2, 5, 9, 10, 14, 29, 30, 33])) + random.choice([". ", "\n", "! "]) for _ in range(40)]
+    docs = []
+    for i in range(150):
+        parts = []
+        for _ in range(random.randint(1, 7)):
+            k = random.randrange(40)
+            parts += [*shared[k:k + random.randint(1, 9)], make(random.randint(1, 6)) + random.choice([". ", "? ", "\n"])]
+        docs.append((i, "".join(parts)))
+    got = {r["doc_id"]: r["text"] for r in line_winnow.dedup_lines(frame(spark, docs)).collect()}
+    assert got == brute_lines(docs)
+
+
+def test_line_dedup_does_not_depend_on_unrelated_text(spark):
+    """Runs of 42 words in three lines, each in two documents: the second copy always goes."""
+    random.seed(42)
+    make = lambda n: " ".join(random.choice("abcdefghij") + str(random.randint(0, 9999)) for _ in range(n))
+    common = make(20) + ". "
+    for extra in ("", common):
+        docs = []
+        for t in range(100):
+            run = "".join(make(14) + ". " for _ in range(3))
+            docs += [(2 * t, make(5) + ". " + run + extra + make(7) + ". "), (2 * t + 1, extra + make(6) + ". " + run)]
+        got = {r["doc_id"]: r for r in line_winnow.dedup_lines(frame(spark, docs)).collect()}
+        assert all(got[2 * t]["n_removed"] == 0 and got[2 * t + 1]["removed_words"] == 42 for t in range(100))
+
+
 def test_line_dedup_edges(spark):
     got = line_winnow.dedup_lines(frame(spark, EDGE)).collect()
     assert sorted(((r["doc_id"] or 0), r["text"] or "") for r in got if r["doc_id"] != 8) == \
