@@ -40,7 +40,8 @@ from quarry.session import discard, materialize, settle
 GRAM = 2            # lines hashed together
 WINDOW = 3          # line grams of which one is selected
 MIN_WORDS = 30      # words in a run that is deleted
-NEAR = 6            # lines in which most passages end; only longer ones look further
+NEAR = (4, 10)      # lines that are looked at first: most passages end there; the others go on to MIN_WORDS lines
+HOT = 1_000         # a fingerprint with more than this part of all repeated places is hot: there are fewer than HOT
 
 #: the text with U+0001 behind every line
 _CUT = r"""replace(replace(replace(replace(__text, '\n', '\n\u0001'), '. ', '. \u0001'), '! ', '! \u0001'),
@@ -103,8 +104,14 @@ def seeds(marks: DataFrame) -> DataFrame:
     """(id, th, seeds): per row the places of its fingerprints that occur again anywhere, ascending."""
     places = marks.select("id", "th", F.explode("p").alias("f")).select(
         F.col("f.key").alias("key"), "id", "th", F.col("f.pos").alias("pos"))
-    again = materialize(places.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeated-keys")
-    return (members(places, "key", again).join(again.hint("merge"), "key")
+    again = materialize(places.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "repeated-keys")
+    every = again.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    is_hot = F.col("n") * HOT > every
+    # fewer than HOT keys can be hot, so they are sent to the tasks; their places are not moved by key
+    marked = (members(places, "key", again.select("key"))
+              .join(F.broadcast(again.where(is_hot).select("key", F.lit(True).alias("hot"))), "key", "left"))
+    rest = marked.where("hot IS NULL").join(again.where(~is_hot).select("key").hint("merge"), "key")
+    return (rest.select("id", "th", "pos").unionByName(marked.where("hot").select("id", "th", "pos"))
             .groupBy("id", "th").agg(F.sort_array(F.collect_set("pos")).alias("seeds")))
 
 
@@ -116,49 +123,57 @@ def passages(lines: DataFrame, found: DataFrame, min_words: int = MIN_WORDS) ->
     the one up to it if the run has enough words so far, else in the one from
     the run's start.
     """
-    # words * 2^20 + lines, up to the line that makes them enough; 0 where too few words are left
+    # words * 2^20 + lines, up to the line that makes them enough; too few where the text ends before
     enough = f"{min_words} * 1048576L"
-    fold = f"aggregate({{part}}, 0L, (s, x) -> if(s >= {enough}, s, s + x * 1048576L + 1L))"
+    size = "CAST(x % 1048576L AS int)"
     steps = []
-    for side, source, at in (("ahead", "w", "i + 1"), ("behind", "r", "size(w) - i")):
-        near = fold.format(part=f"slice({source}, {at}, {min(NEAR, min_words)})")
-        whole = fold.format(part=f"slice({source}, {at}, {min_words})")
+    for side, source, at in (("ahead", "v", "i + 1"), ("behind", "r", "size(v) - i")):
+        found_in = "0L"
+        for start, stop in zip((0, *NEAR), (*NEAR, min_words), strict=True):    # most passages end in a few lines
+            if start < min_words:
+                fold = (f"aggregate(slice({source}, {at} + {start}, {min(stop, min_words) - start}), {{so_far}},"
+                        f" (s, x) -> if(s >= {enough}, s, s + x))")
+                found_in = fold.format(so_far="0L") if not start else \
+                    f"transform(array({found_in}), s -> if(s >= {enough}, s, {fold.format(so_far='s')}))[0]"
         # a seed is within reach from the line on, or of the lines up to it
         reach = (f"coalesce(get(ns, i) < i + {min_words}, false)" if side == "ahead" else
                  f"coalesce(get(ns, greatest(i - {min_words - 1}, 0)) <= i, false)")
-        steps.append(f"transform(w, (x, i) -> if({reach}, transform(array({near}), s -> if(s >= {enough}, s, {whole}))[0],"
-                     " 0L))")
-    size = "CAST(x % 1048576L AS int)"
+        steps.append(f"transform(v, (x, i) -> if({reach}, {found_in}, 0L))")
     ends = {"ahead": ("i", f"i + {size} - 1"), "behind": (f"i - {size} + 1", "i")}
-    held = {side: f"array_compact(transform({side}, (x, i) -> if(x >= {enough} AND coalesce(get(ns, {a}) <= {b}, false),"
-                  f" named_struct('first', {a}, 'last', {b}), null)))" for side, (a, b) in ends.items()}
-    body = "xxhash64(slice(uh, r.first + 1, r.last - r.first), h[r.last])"
+    holds = {side: f"x >= {enough} AND coalesce(get(ns, {a}) <= {b}, false)" for side, (a, b) in ends.items()}
+    # the run up to a line may be the run from its first line on, which is there already
+    known = f"get(ahead, i - {size} + 1) = x"
+    # texts without blank lines: places are line numbers, a passage has one key
+    plain = {side: f"array_compact(transform({side}, (x, i) -> if({holds[side]}{more}, named_struct('key', xxhash64(0,"
+                   f" xxhash64(slice(h, {a} + 1, {size} - 1), h[{b}]), 0), 'first', {a}, 'last', {b}), null)))"
+             for (side, (a, b)), more in zip(ends.items(), ("", f" AND NOT {known}"), strict=True)}
     # blank lines inside a passage count by the distance to the next line, those before or behind it one by one
+    uh = ("transform(h, (x, i) -> if(i + 1 = size(at) OR at[least(i + 1, size(at) - 1)] - at[i] = 1, x,"
+          " xxhash64(x, at[least(i + 1, size(at) - 1)] - at[i])))")
+    held = {side: f"array_compact(transform({side}, (x, i) -> if({holds[side]}, named_struct('first', {a}, 'last', {b},"
+                  f" 'least', {least}), null)))"
+            for (side, (a, b)), least in zip(ends.items(), ("0", f"if({known}, 1, 0)"), strict=True)}
+    body = "xxhash64(slice(uh, r.first + 1, r.last - r.first), h[r.last])"
     room = {"ahead": "at[r.first] - if(r.first = 0, -1, at[greatest(r.first - 1, 0)]) - 1",
             "behind": "if(r.last + 1 = size(at), n, at[least(r.last + 1, size(at) - 1)]) - at[r.last] - 1"}
-    # the run up to a line may be the run from its first line on, which is there already
-    least = {"ahead": "0", "behind": "if(CAST(ahead[r.first] % 1048576L AS int) = r.last - r.first + 1"
-                                     f" AND ahead[r.first] >= {enough}, 1, 0)"}
-    hashed = {side: f"filter(transform({side[0]}, r -> named_struct('body', {body}, 'first', at[r.first], 'last', at[r.last],"
-                    f" 'least', {least[side]}, 'room', {room[side]})), r -> r.least <= r.room)" for side in held}
+    hashed = {side: f"filter(transform({held[side]}, r -> named_struct('body', {body}, 'first', at[r.first],"
+                    f" 'last', at[r.last], 'least', r.least, 'room', {room[side]})), r -> r.least <= r.room)"
+              for side in held}
     placed = {"ahead": "transform(sequence(r.least, r.room), k -> named_struct('key', xxhash64(k, r.body, 0),"
                        " 'first', r.first - k, 'last', r.last))",
               "behind": "transform(sequence(r.least, r.room), k -> named_struct('key', xxhash64(0, r.body, k),"
                         " 'first', r.first, 'last', r.last + k))"}
-    every = ", ".join(f"flatten(transform({side}, r -> {expr}))" for side, expr in placed.items())
+    spaced = ", ".join(f"flatten(transform({hashed[side]}, r -> {expr}))" for side, expr in placed.items())
     # the next seed of every line up to the last seed
     following = ("flatten(zip_with(seeds, concat(array(-1), slice(seeds, 1, size(seeds) - 1)),"
                  " (s, p) -> array_repeat(s, s - p)))")
     return (members(lines, "id", found.select("id")).join(found.hint("merge"), ["id", "th"])
-            .select("id", "th", "n", "h", "w", "at", _once("reverse(w)").alias("r"), _once(following).alias("ns"))
-            .select("id", "th", "n", "h", "w", "at", "ns",
-                    _once("transform(h, (x, i) -> xxhash64(x, if(i + 1 = size(at), 0,"
-                          " at[least(i + 1, size(at) - 1)] - at[i])))").alias("uh"),
-                    _once(steps[0]).alias("ahead"), _once(steps[1]).alias("behind"))
-            .select("id", "th", "n", "h", "at", "uh", "ahead", _once(held["ahead"]).alias("a"),
-                    _once(held["behind"]).alias("b"))
-            .select("id", "th", *[_once(expr).alias(side) for side, expr in hashed.items()])
-            .select("id", "th", _once(f"concat({every})").alias("p")))
+            .select("id", "th", "n", "h", "at", _once("transform(w, x -> x * 1048576L + 1L)").alias("v"),
+                    _once(following).alias("ns"))
+            .select("*", _once("reverse(v)").alias("r"), _once(f"if(n = size(h), null, {uh})").alias("uh"))
+            .select("id", "th", "n", "h", "at", "uh", "ns", _once(steps[0]).alias("ahead"), _once(steps[1]).alias("behind"))
+            .select("id", "th", _once(f"if(uh IS NULL, concat({plain['ahead']}, {plain['behind']}), concat({spaced}))")
+                    .alias("p")))
 
 
 def repeated_runs(lines: DataFrame, gram: int = GRAM, window: int = WINDOW, long_line: int | None = None,
