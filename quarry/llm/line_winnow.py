@@ -25,8 +25,8 @@ outer blanks, by a hash.  Blank lines count by their number between lines.
 
 Only DataFrame functions are used.  Work is linear in the lines: a line
 has two passages, and an occurrence meets one place, never the other
-occurrences.  A hot passage skews a sort-merge join, which adaptive execution
-splits; the least places are found by partial aggregation.
+occurrences.  The places of a hot fingerprint or passage are dealt over many
+tasks, and the least places are found by partial aggregation.
 """
 
 from __future__ import annotations
@@ -41,7 +41,8 @@ GRAM = 2            # lines hashed together
 WINDOW = 3          # line grams of which one is selected
 MIN_WORDS = 30      # words in a run that is deleted
 NEAR = (4, 10)      # lines that are looked at first: most passages end there; the others go on to MIN_WORDS lines
-HOT = 1_000         # a fingerprint with more than this part of all repeated places is hot: there are fewer than HOT
+HOT = 1_000         # a key with more than this part of all repeated places is hot: there are fewer than HOT of them
+SALTS = 64          # tasks that share the places of a hot key
 
 #: the text with U+0001 behind every line
 _CUT = r"""replace(replace(replace(replace(__text, '\n', '\n\u0001'), '. ', '. \u0001'), '! ', '! \u0001'),
@@ -100,18 +101,28 @@ def fingerprints(lines: DataFrame, gram: int, window: int, long_line: int) -> Da
             .select("id", "th", _once(f"concat({once}, a)").alias("p")))
 
 
+def _meet(places: DataFrame, keyed: DataFrame) -> DataFrame:
+    """``places`` joined to the written table ``keyed`` (key, n places, ...); the places of a hot key go to SALTS tasks.
+
+    Fewer than HOT keys can have more than the HOT-th part of all places, so
+    their list may be broadcast whatever the size of the data.
+    """
+    every = keyed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    is_hot = F.col("n") * HOT > every
+    hot = keyed.where(is_hot).select("key", F.lit(True).alias("hot"))
+    dealt = keyed.withColumn("salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1)))
+                                               .otherwise(F.array(F.lit(0))))).drop("n")
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).otherwise(0)
+    return (places.join(F.broadcast(hot), "key", "left").withColumn("salt", salt).drop("hot")
+            .join(dealt.hint("merge"), ["key", "salt"]).drop("salt"))
+
+
 def seeds(marks: DataFrame) -> DataFrame:
     """(id, th, seeds): per row the places of its fingerprints that occur again anywhere, ascending."""
     places = marks.select("id", "th", F.explode("p").alias("f")).select(
         F.col("f.key").alias("key"), "id", "th", F.col("f.pos").alias("pos"))
     again = materialize(places.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "repeated-keys")
-    every = again.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    is_hot = F.col("n") * HOT > every
-    # fewer than HOT keys can be hot, so they are sent to the tasks; their places are not moved by key
-    marked = (members(places, "key", again.select("key"))
-              .join(F.broadcast(again.where(is_hot).select("key", F.lit(True).alias("hot"))), "key", "left"))
-    rest = marked.where("hot IS NULL").join(again.where(~is_hot).select("key").hint("merge"), "key")
-    return (rest.select("id", "th", "pos").unionByName(marked.where("hot").select("id", "th", "pos"))
+    return (_meet(members(places, "key", again.select("key")), again)
             .groupBy("id", "th").agg(F.sort_array(F.collect_set("pos")).alias("seeds")))
 
 
@@ -188,10 +199,11 @@ def repeated_runs(lines: DataFrame, gram: int = GRAM, window: int = WINDOW, long
     held = materialize(passages(lines, found, min_words), "passages")
     places = held.select("id", "th", F.explode("p").alias("f")).select("id", "th", "f.*")
     place = F.struct("id", "th", "first")
-    source = (places.groupBy("key").agg(F.min(place).alias("s"), F.max(place).alias("t")).where("s < t")
-              .selectExpr("key", "s.id AS sid", "s.th AS sth", "s.first AS sfirst"))
+    source = materialize(
+        places.groupBy("key").agg(F.min(place).alias("s"), F.max(place).alias("t"), F.count("*").alias("n")).where("s < t")
+        .selectExpr("key", "n", "s.id AS sid", "s.th AS sth", "s.first AS sfirst"), "sources")
     # one plan at every size: both sides grow with the corpus, so neither is broadcast
-    gone = (places.join(source.hint("merge"), "key").where("id > sid OR (id = sid AND th = sth AND first > sfirst)")
+    gone = (_meet(places, source).where("id > sid OR (id = sid AND th = sth AND first > sfirst)")
             .select("id", "th", "first", "last"))
     # in order of their first lines the last ones rise too, so neighbours show where a run ends
     before = "concat(array(-2), slice(r.last, 1, size(r) - 1))"
