@@ -51,6 +51,7 @@ FAR = 25            # signatures that differ in more symbols are not compared (J
 PAIRED = 24         # buckets up to this size have their open pairs formed directly
 LANES = -(-SYMBOLS // 4)
 DIFF_BITS = 1024    # bitmap of a member's differences from its centre
+STARS = 3           # rounds of stars around centres at most, before the pairs that are left
 _U = np.uint64
 
 
@@ -351,13 +352,20 @@ def _around_centres(groups: DataFrame, texts: DataFrame, n: int, num: int, den:
     difference by chance are told apart before they become rows: of the bits in
     one bitmap that the other lacks each stands for a difference they do not
     share, and c must remain.
+
+    Links need not all be found, only enough to connect: first the members that
+    share an early difference meet one of them, a member of the component with
+    most of them (``STARS`` rounds, while links are found; a row per member and
+    difference at most).  Then only pairs whose components still differ meet,
+    once each, at their first common difference.
     """
     d = materialize(_differences(groups, texts, n), "differences")
     sizes = "CAST(size({a}.diff) AS bigint)"
     link = "{den} * (x.size + y.size - {delta}) >= {num} * (x.size + y.size + {delta})"
     at_centre = (f"{den} * (size + centre_size - size(diff)) >= {num} * (size + centre_size + size(diff))")
-    near_centre = d.where(f"node <> centre AND {at_centre}") \
-        .select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    links = materialize(d.where(f"node <> centre AND {at_centre}")
+                        .select(F.col("centre").alias("a"), F.col("node").alias("b"),
+                                F.col("centre").alias("ca"), F.col("comp").alias("cb")), "links")
     # a component is named by its root, so the centre's component is the centre
     part = d.select("centre", "node", "comp", "size", *_BIT_COLS, F.size("diff").cast("long").alias("nd"),
                     ((F.col("comp") != F.col("centre")) & ~F.expr(at_centre)).alias("outside"), "diff")
@@ -368,27 +376,51 @@ def _around_centres(groups: DataFrame, texts: DataFrame, n: int, num: int, den:
     # see above: common differences needed at least, by one side's sizes alone
     few = f"nd - CAST(floor(size * {den - num} / {num}) AS bigint)"
     least = f"greatest(1, {few}, if(outside, 1, CAST(floor(nd * {num} / {den + num}) AS bigint) + 1))"
-    prefix = materialize(
-        part.select("centre", "node", "comp", "size", "nd", "outside", *_BIT_COLS,
-                    F.posexplode(F.expr(f"slice(diff, 1, CAST(greatest(nd - {least} + 1, 0) AS INT))")).alias("k", "el"))
-        .withColumn("k", F.col("k") + 1), "prefixes")
-    x, y = prefix.where("outside").alias("x"), prefix.alias("y")
+    part = materialize(part.withColumn("head", F.expr(f"slice(diff, 1, CAST(greatest(nd - {least} + 1, 0) AS INT))"))
+                       .drop("diff"), "members")
     # common differences needed, times 2 (den + num); the first common one is early in both rankings
     need = f"({den + num} * (x.nd + y.nd) - {den - num} * (x.size + y.size))"
     early = " AND ".join(f"{need} <= {2 * (den + num)} * ({a}.nd - {a}.k + 1)" for a in "xy")
     # a bit that only one of them has stands for one of its differences that the other lacks
     lacking = {a: " + ".join(f"bit_count({a}.{c} & ~{b}.{c})" for c in _BIT_COLS) for a, b in ("xy", "yx")}
     early += "".join(f" AND {need} <= {2 * (den + num)} * ({a}.nd - ({lacking[a]}))" for a in "xy")
-    met = (x.join(y, (F.col("x.centre") == F.col("y.centre")) & (F.col("x.el") == F.col("y.el"))
-                  & (F.col("x.comp") != F.col("y.comp")) & F.expr(early))
-           .select(F.col("x.centre").alias("centre"), F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
-    left = d.select("centre", F.col("node").alias("a"), "size", "diff").alias("x")
-    right = d.select("centre", F.col("node").alias("b"), "size", "diff").alias("y")
-    both = (met.alias("m").join(left, (F.col("m.centre") == F.col("x.centre")) & (F.col("m.a") == F.col("x.a")))
-            .join(right, (F.col("m.centre") == F.col("y.centre")) & (F.col("m.b") == F.col("y.b"))))
-    delta = f"({sizes.format(a='x')} + {sizes.format(a='y')} - 2 * size(array_intersect(x.diff, y.diff)))"
-    exact = both.where(link.format(den=den, num=num, delta=delta)).select(F.col("m.a").alias("a"), F.col("m.b").alias("b"))
-    return near_centre.unionByName(exact)
+
+    def linked(x: DataFrame, y: DataFrame, where: str = "true") -> DataFrame:
+        """(a, b, ca, cb): the links of members of ``x`` and ``y`` that share a difference, with their components."""
+        met = (x.alias("x").join(y.alias("y"), (F.col("x.centre") == F.col("y.centre")) & (F.col("x.el") == F.col("y.el"))
+                                 & (F.col("x.comp") != F.col("y.comp")) & F.expr(f"{early} AND {where}"))
+               .select(F.col("x.centre").alias("centre"), F.col("x.node").alias("a"), F.col("y.node").alias("b"),
+                       F.col("x.comp").alias("ca"), F.col("y.comp").alias("cb")).distinct())
+        left = d.select("centre", F.col("node").alias("a"), "size", "diff").alias("x")
+        right = d.select("centre", F.col("node").alias("b"), "size", "diff").alias("y")
+        both = (met.alias("m").join(left, (F.col("m.centre") == F.col("x.centre")) & (F.col("m.a") == F.col("x.a")))
+                .join(right, (F.col("m.centre") == F.col("y.centre")) & (F.col("m.b") == F.col("y.b"))))
+        delta = f"({sizes.format(a='x')} + {sizes.format(a='y')} - 2 * size(array_intersect(x.diff, y.diff)))"
+        return both.where(link.format(den=den, num=num, delta=delta)).select("m.a", "m.b", "ca", "cb")
+
+    prefix = None
+    for k in range(STARS + 1):
+        roots = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        discard(prefix)
+        # the members of a centre are dealt over all tasks before they become rows
+        prefix = materialize(
+            part.join(roots.select(F.col("node").alias("comp"), F.col("comp").alias("root")), "comp", "left")
+            .withColumn("comp", F.coalesce("root", "comp")).drop("root").repartition("centre", "node")
+            .select("*", F.posexplode("head").alias("k", "el")).withColumn("k", F.col("k") + 1), "prefixes")
+        if k == STARS:
+            break
+        kept = ["node", "comp", "size", "nd", "k", *_BIT_COLS]
+        hubs = (prefix.where("outside").groupBy("centre", "el", "comp")
+                .agg(F.count("*").alias("n"), F.min(F.struct(*kept)).alias("hub"))
+                .groupBy("centre", "el").agg(F.max_by("hub", F.struct("n", -F.col("comp"))).alias("hub"))
+                .select("centre", "el", "hub.*"))
+        stars = materialize(linked(hubs, prefix), "links")
+        if stars.isEmpty():
+            break
+        links = materialize(links.unionByName(stars), "links")
+    # what is left, each pair at its first common difference
+    rest = linked(prefix.where("outside"), prefix, "x.el = element_at(array_intersect(x.head, y.head), 1)")
+    return links.unionByName(rest).select("a", "b")
 
 
 def op7_hamming_minhash(spark, sf_dir: str) -> DataFrame:
