@@ -6,13 +6,17 @@ event time seen, less ``lateness``) has passed them, then leave in order of
 (:func:`quarry.operators.events.consecutive_dedup`).  So any order of arrival
 within ``lateness`` gives the batch result, over any number of triggers.
 
-State per conversation: the rows of the last ``lateness`` of event time, one
-timer, and the last row that left (its place and id).  A row that belongs
-before a row that has left comes too late: no rule can be applied to it any
-more, so it goes out with ``late`` set, uncompared, and changes no state.  Rows
-that are behind the watermark but after everything that has left are still in
-order and are not late.  Rows with an empty id or without a conversation pass
-at once; they are never compared.
+State: the rows of the last ``lateness`` of event time, one timer per bucket,
+and per conversation the last row that left (its place and id).  A row that
+belongs before a row of its conversation that has left comes too late: no rule
+can be applied to it any more, so it goes out with ``late`` set, uncompared, and
+changes no state.  Rows that are behind the watermark but after everything that
+has left are still in order and are not late.  Rows with an empty id or without
+a conversation pass at once; they are never compared.
+
+Conversations share ``BUCKETS`` buckets by hash.  Rows move to the stateful step,
+wait there and leave it as packed Arrow tables of one bucket, so a step costs a
+few calls per bucket and trigger, not some per row.
 
 The watermark column is a copy that is dropped before the stateful step:
 Spark then leaves the decision on late rows to the rule above instead of
@@ -21,8 +25,11 @@ dropping them unseen.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,73 +41,155 @@ from quarry.streaming.runner import run_available
 #: Event time of the row that ends a stream; no data may reach it.
 END = "9999-12-31 00:00:00"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Groups of conversations in state; a checkpoint holds for one number only.
+BUCKETS = 512
+#: A task packs about so many rows or bytes at a time; a packed table has at most ``SLICE_ROWS`` rows.
+PACK_ROWS, PACK_BYTES, SLICE_ROWS = 1 << 18, 32 << 20, 1 << 16
 
 
-def in_order(schema: T.StructType, at: int, tie: int, ident: int) -> StatefulProcessor:
-    """The stateful step over rows of ``schema`` (columns by number: event time in microseconds, tiebreak, id).
+def _codec():
+    """(pack, unpack): a table as Arrow streams of at most ``SLICE_ROWS`` rows, and back.
 
-    The class is local so that it travels by value: Spark's streaming process
-    on the driver cannot import this package.
+    Functions in here are local so that they travel by value: Spark's streaming
+    process on the driver cannot import this package.
     """
+    def pack(rows: pa.Table) -> Iterator[bytes]:
+        for at in range(0, rows.num_rows, SLICE_ROWS):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema) as out:
+                out.write_table(rows.slice(at, SLICE_ROWS))
+            yield sink.getvalue().to_pybytes()
+
+    def unpack(packed: Iterable[bytes]) -> pa.Table:
+        return pa.concat_tables([pa.ipc.open_stream(data).read_all() for data in packed])
+
+    return pack, unpack
+
+
+def _packed(rows: DataFrame, key: str) -> DataFrame:
+    """(bucket, packed): the rows, packed by bucket of their conversation."""
+    pack, _ = _codec()
+
+    def cut(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        bucket = table.column(0).to_numpy()
+        order = np.argsort(bucket, kind="stable")
+        table, bucket = table.select(range(1, table.num_columns)).take(order).combine_chunks(), bucket[order]
+        ends = np.r_[np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket)]
+        out = [(bucket[lo], data) for lo, hi in zip(np.r_[0, ends[:-1]], ends, strict=True)
+               for data in pack(table.slice(lo, hi - lo))]
+        return pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()),
+                                           pa.array([data for _, data in out], pa.binary())], ["bucket", "packed"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) >= PACK_ROWS or sum(b.nbytes for b in held) >= PACK_BYTES:
+                yield cut(held)
+                held = []
+        if held:
+            yield cut(held)
+
+    bucket = F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(BUCKETS)).cast("int")
+    return rows.select(bucket.alias("__bucket"), "*").mapInArrow(run, "bucket int, packed binary")
+
+
+def _unpacked(packed: DataFrame, schema: T.StructType) -> DataFrame:
+    _, unpack = _codec()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0):
+                yield from unpack([data.as_buffer()]).to_batches()
+
+    return packed.mapInArrow(run, schema)
+
+
+def in_order(schema: T.StructType, conv: int, at: int, tie: int, ident: int) -> StatefulProcessor:
+    """The stateful step over packed rows of ``schema`` (columns by number: conversation, event time in
+    microseconds, tiebreak, id)."""
+    pack, unpack = _codec()
+    binary = T.StructType([T.StructField("packed", T.BinaryType())])
+
     class InOrder(StatefulProcessor):
         """Holds rows until the watermark passes them; keeps those whose id differs from the one before."""
 
         def init(self, handle) -> None:
             self.handle = handle
             fields = schema.fields
-            self.row = Row(*[f.name for f in fields], "late")
-            self.buffer = handle.getListState("buffer", schema)
-            self.last = handle.getValueState("last", T.StructType([
-                T.StructField("at", T.LongType()), T.StructField("tie", fields[tie].dataType),
-                T.StructField("id", fields[ident].dataType)]))
+            self.row = Row("packed")
+            self.buffer = handle.getListState("buffer", binary)
+            self.last = handle.getMapState(
+                "last", T.StructType([T.StructField("conversation", fields[conv].dataType)]),
+                T.StructType([T.StructField("at", T.LongType()), T.StructField("tie", fields[tie].dataType),
+                              T.StructField("id", fields[ident].dataType)]))
 
         def _place(self, at, tie) -> tuple:
             """Sort key: nulls first, as in the batch order."""
             return (at is not None, at or 0, tie is not None, tie if tie is not None else 0)
 
-        def _wait(self, rows: list[tuple], fired: int | None = None) -> None:
+        def _wait(self, rows: pa.Table, fired: int | None = None) -> None:
             """One timer, due when the watermark has passed the earliest of ``rows`` and of those that wait.
 
             A timer that has just fired is still listed, but will not fire again.
             """
-            due = min(max((r[at] or 0) // 1000 + 1, 1) for r in rows)
+            times = rows.column(at)
+            due = 1 if times.null_count else max(pc.min(times).as_py() // 1000 + 1, 1)
             timers = [t for t in self.handle.listTimers() if t != fired]
             if not timers or due < min(timers):
                 for t in timers:
                     self.handle.deleteTimer(t)
                 self.handle.registerTimer(due)
 
+        def _out(self, rows: pa.Table, late: bool) -> Iterator[Row]:
+            marked = rows.append_column("late", pa.array(np.full(rows.num_rows, late)))
+            return (self.row(data) for data in pack(marked))
+
         def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-            last = self.last.get() if self.last.exists() else None
-            passed = self._place(last[0], last[1]) if last is not None else None
-            fresh = []
-            for row in rows:
-                row = tuple(row)
-                if passed is not None and self._place(row[at], row[tie]) < passed:
-                    yield self.row(*row, True)
-                else:
-                    fresh.append(row)
-            if fresh:
-                self.buffer.appendList(fresh)
+            fresh = unpack(r[1] for r in rows)
+            if self.last.exists():
+                keys = fresh.column(conv).to_pylist()
+                left = {k: self.last.getValue((k,)) for k in set(keys)}
+                passed = {k: self._place(v[0], v[1]) for k, v in left.items() if v is not None}
+                late = pa.array([k in passed and self._place(a, t) < passed[k] for k, a, t in
+                                 zip(keys, fresh.column(at).to_pylist(), fresh.column(tie).to_pylist(), strict=True)])
+                yield from self._out(fresh.filter(late), True)
+                fresh = fresh.filter(pc.invert(late))
+            if fresh.num_rows:
+                self.buffer.appendList([(data,) for data in pack(fresh)])
                 self._wait(fresh)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-            bound = timerValues.getCurrentWatermarkInMs()
-            ready, waiting = [], []
-            for row in self.buffer.get():
-                (ready if row[at] is None or row[at] // 1000 < bound else waiting).append(tuple(row))
-            ready.sort(key=lambda r: self._place(r[at], r[tie]))
-            last = self.last.get()[2] if self.last.exists() else None
-            for row in ready:
-                if row[ident] != last:
-                    yield self.row(*row, False)
-                last = row[ident]
-            if ready:
-                self.last.update((ready[-1][at], ready[-1][tie], last))
+            rows = unpack(r[0] for r in self.buffer.get())
+            passed = pc.fill_null(pc.less(rows.column(at), timerValues.getCurrentWatermarkInMs() * 1000), True)
+            ready, waiting = rows.filter(passed), rows.filter(pc.invert(passed))
+            if ready.num_rows:
+                ready = ready.combine_chunks()
+                order = {"key": pc.dictionary_encode(ready.column(conv)).combine_chunks().indices, "at": ready.column(at)}
+                if pa.types.is_floating(ready.column(tie).type):
+                    order["nan"] = pc.is_nan(ready.column(tie))
+                order = pa.table(order | {"tie": ready.column(tie)})
+                index = pc.sort_indices(order, sort_keys=[(c, "ascending") for c in order.column_names],
+                                        null_placement="at_start")
+                ready, code = ready.take(index), order.column("key").take(index).to_numpy()
+                ends = np.r_[np.flatnonzero(code[1:] != code[:-1]), len(code) - 1]
+                ids, keep, start, known = ready.column(ident).to_pylist(), [], 0, self.last.exists()
+                place = ready.select([conv, at, tie]).take(pa.array(ends))
+                for end, k, a, t in zip(ends, *(c.to_pylist() for c in place.columns), strict=True):
+                    last = self.last.getValue((k,)) if known else None
+                    before = None if last is None else last[2]
+                    for i in ids[start:end + 1]:
+                        keep.append(i != before)
+                        before = i
+                    self.last.updateValue((k,), (a, t, before))
+                    start = end + 1
+                yield from self._out(ready.filter(pa.array(keep)), False)
                 self.buffer.clear()
-                if waiting:
-                    self.buffer.appendList(waiting)
-            if waiting:
+                if waiting.num_rows:
+                    self.buffer.appendList([(data,) for data in pack(waiting)])
+            if waiting.num_rows:
                 self._wait(waiting, expiredTimerInfo.getExpiryTimeInMs())
 
         def close(self) -> None:
@@ -142,9 +231,9 @@ def ordered_dedup_stream(stream: DataFrame, key: str, ts_col: str, tiebreak: str
     free = (F.coalesce(c(id_col).cast("string"), F.lit("")) == "") | c(key).isNull()
     wire = _as_micros(data.where(~free))
     names = [f.name for f in wire.schema.fields]
-    processor = in_order(wire.schema, names.index(ts_col), names.index(tiebreak), names.index(id_col))
-    kept = wire.groupBy(c(key)).transformWithState(
-        processor, T.StructType([*wire.schema.fields, T.StructField("late", T.BooleanType())]), "Append", "EventTime")
+    processor = in_order(wire.schema, *map(names.index, (key, ts_col, tiebreak, id_col)))
+    kept = _packed(wire, key).groupBy("bucket").transformWithState(processor, "packed binary", "Append", "EventTime")
+    kept = _unpacked(kept, T.StructType([*wire.schema.fields, T.StructField("late", T.BooleanType())]))
     return _from_micros(kept, schema).unionByName(data.where(free).withColumn("late", F.lit(False)))
 
 
