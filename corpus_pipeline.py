@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import bm25_wand, duck_bpe, hamming_minhash, line_winnow, zstd_toxicity
-from quarry.llm.common import table
+from quarry.llm.common import split_members, table
 from quarry.session import discard, settle, ship_package
 
 SHINGLE_WORDS = 2       # near duplicates by the rule of operator 7: two-word shingles, similarity 0.8 or more
@@ -51,7 +51,9 @@ def near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
     found = hamming_minhash.near_duplicates(docs, n=SHINGLE_WORDS, num=80, den=100)
     gone = found.where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    # texts that certainly stay are not moved
+    some, rest = split_members(docs, "doc_id", gone.select(F.col("__gone").alias("doc_id")))
+    return some.join(gone.hint("merge"), some["doc_id"] == gone["__gone"], "left_anti").unionByName(rest)
 
 
 def decontaminate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,7 +22,8 @@ From keys to links, without writing out all pairs of a group:
    components; in buckets of up to ``PAIRED`` classes those pairs are formed;
 4. larger buckets take the root of their largest component as centre, and two
    members meet only over a rare shingle in which both differ from it, which
-   finds every link of the group (``_around_centres`` has the proof);
+   finds every link of the group (``_around_centres`` has the proof); members
+   that can be linked to no other go first, and differences become rows once;
 5. every link is confirmed on the full shingle sets, cut again from the texts.
 
 Joins on keys, centres and classes are sort-merge joins that adaptive execution
@@ -52,6 +53,7 @@ PAIRED = 24         # buckets up to this size have their open pairs formed direc
 LANES = -(-SYMBOLS // 4)
 DIFF_BITS = 1024    # bitmap of a member's differences from its centre
 STARS = 3           # rounds of stars around centres at most, before the pairs that are left
+COMPARED = 2_000    # in groups up to this size bitmaps are compared first: that costs less than rows of differences
 _U = np.uint64
 
 
@@ -335,6 +337,35 @@ def _differences(groups: DataFrame, texts: DataFrame, n: int) -> DataFrame:
                         + ", ".join(f"{c} long" for c in _BIT_COLS)))
 
 
+def _open_members(part: DataFrame, enough: str) -> DataFrame:
+    """``part`` without the members of groups up to ``COMPARED`` that can be linked to no other one, by their bitmaps."""
+    size = part.groupBy("centre").agg(F.count("*").alias("of"))
+    some = part.join(size.where(F.col("of") <= COMPARED), "centre", "left_semi")
+    many = part.join(size.where(F.col("of") > COMPARED), "centre", "left_semi")
+    some = some.alias("x").join(some.alias("y"), F.expr("x.centre = y.centre AND x.comp <> y.comp"
+                                                        f" AND (x.outside OR y.outside) AND {enough}"), "left_semi")
+    return materialize(some.unionByName(many), "open-members")
+
+
+def _shared(part: DataFrame) -> DataFrame:
+    """The rows of ``part`` with each difference ``el`` of their head, and its rank k, that may lead to a link.
+
+    A difference that members of one component have, or none of them outside,
+    joins nothing (components only grow).  So the differences become rows once,
+    without the members' other columns, and only those that are left get them.
+    """
+    # the members of a centre are dealt over all tasks before they become rows
+    rows = materialize(part.select("centre", "node", "comp", "outside", "head").repartition("centre", "node")
+                       .select("centre", "node", "comp", "outside", F.posexplode("head").alias("k", "el"))
+                       .withColumn("k", F.col("k") + 1), "prefix-rows")
+    met = (rows.groupBy("centre", "el").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("outside").alias("any"))
+           .where("lo <> hi AND any").select("centre", "el"))
+    shared = materialize(rows.join(met.hint("merge"), ["centre", "el"]).select("centre", "node", "k", "el")
+                         .join(part.hint("merge"), ["centre", "node"]), "shared")
+    discard(rows)
+    return shared
+
+
 def _around_centres(groups: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """All links across components inside groups that hold many members of one component.
 
@@ -351,7 +382,8 @@ def _around_centres(groups: DataFrame, texts: DataFrame, n: int, num: int, den:
     meets y over a shared, rare difference.  Members that share one such
     difference by chance are told apart before they become rows: of the bits in
     one bitmap that the other lacks each stands for a difference they do not
-    share, and c must remain.
+    share, and c must remain.  In groups of up to ``COMPARED`` members those that
+    fail this with every other one go before; larger groups keep all members.
 
     Links need not all be found, only enough to connect: first the members that
     share an early difference meet one of them, a member of the component with
@@ -383,7 +415,8 @@ def _around_centres(groups: DataFrame, texts: DataFrame, n: int, num: int, den:
     early = " AND ".join(f"{need} <= {2 * (den + num)} * ({a}.nd - {a}.k + 1)" for a in "xy")
     # a bit that only one of them has stands for one of its differences that the other lacks
     lacking = {a: " + ".join(f"bit_count({a}.{c} & ~{b}.{c})" for c in _BIT_COLS) for a, b in ("xy", "yx")}
-    early += "".join(f" AND {need} <= {2 * (den + num)} * ({a}.nd - ({lacking[a]}))" for a in "xy")
+    enough = " AND ".join(f"{need} <= {2 * (den + num)} * ({a}.nd - ({lacking[a]}))" for a in "xy")
+    early += f" AND {enough}"
 
     def linked(x: DataFrame, y: DataFrame, where: str = "true") -> DataFrame:
         """(a, b, ca, cb): the links of members of ``x`` and ``y`` that share a difference, with their components."""
@@ -398,15 +431,14 @@ def _around_centres(groups: DataFrame, texts: DataFrame, n: int, num: int, den:
         delta = f"({sizes.format(a='x')} + {sizes.format(a='y')} - 2 * size(array_intersect(x.diff, y.diff)))"
         return both.where(link.format(den=den, num=num, delta=delta)).select("m.a", "m.b", "ca", "cb")
 
+    shared = _shared(_open_members(part, enough))
     prefix = None
     for k in range(STARS + 1):
         roots = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
         discard(prefix)
-        # the members of a centre are dealt over all tasks before they become rows
         prefix = materialize(
-            part.join(roots.select(F.col("node").alias("comp"), F.col("comp").alias("root")), "comp", "left")
-            .withColumn("comp", F.coalesce("root", "comp")).drop("root").repartition("centre", "node")
-            .select("*", F.posexplode("head").alias("k", "el")).withColumn("k", F.col("k") + 1), "prefixes")
+            shared.join(roots.select(F.col("node").alias("comp"), F.col("comp").alias("root")), "comp", "left")
+            .withColumn("comp", F.coalesce("root", "comp")).drop("root"), "prefixes")
         if k == STARS:
             break
         kept = ["node", "comp", "size", "nd", "k", *_BIT_COLS]
