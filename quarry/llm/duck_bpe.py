@@ -5,9 +5,10 @@ Each task holds an in-memory DuckDB with the merge table: one row
 token; the merged id is the rank.  A text is cut into words by the tokenizer's
 pattern.  The words that a task has not met yet go to DuckDB as token-position
 rows; a recursive query joins neighbours to the merge table and contracts each
-word's leftmost pair of minimum rank, until no pair is left.  Ordered
-aggregation turns the remaining rows into the id list and, joined to the token
-table, back into bytes.  Texts are then put together from their words in order.
+word's leftmost pair of minimum rank, until no pair is left.  The remaining rows
+are joined to the token table and come back ordered by word and position; Arrow
+joins each word's run of them into its id list and its bytes.  Texts are then
+put together from their words in order.
 
 Long words contract all non-overlapping occurrences of the minimum-rank pair in
 one step when the merged token belongs to no pair of lower rank (then no new
@@ -23,6 +24,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,7 @@ TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 MAX_RANK_BYTES = 64 << 20
 QUERY_BYTES = 512 << 10     # bytes of new words in one recursive query
 LONG_WORD = 64              # bytes from which occurrences are contracted together
-MAX_WORDS = 600_000         # encoded words kept per process; beyond it they are encoded anew
+MAX_WORDS = 600_000         # encoded words kept per process; beyond half of it those not used since go
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 #: One contraction per word and step.
@@ -45,8 +47,9 @@ WITH RECURSIVE step(word, pos, tok, live) AS (
   UNION ALL
   (WITH pairs AS (
     SELECT word, pos, tok, prev, merged
-    FROM (SELECT word, pos, tok, lag(pos) OVER w AS prev, lead(tok) OVER w AS nxt FROM step WHERE live
-          WINDOW w AS (PARTITION BY word ORDER BY pos))
+    FROM (SELECT word, pos, tok, CASE WHEN lag(word) OVER w = word THEN lag(pos) OVER w END AS prev,
+            CASE WHEN lead(word) OVER w = word THEN lead(tok) OVER w END AS nxt FROM step WHERE live
+          WINDOW w AS (ORDER BY word::BIGINT << 20 | pos))      -- one sort; many small partitions cost more
     LEFT JOIN merges ON tok = lft AND nxt = rgt),
   firsts AS (SELECT word, min(merged::BIGINT << 20 | pos) AS best FROM pairs GROUP BY word)
   SELECT word, pos, CASE WHEN pos = best & 1048575 THEN (best >> 20)::INT ELSE tok END, best IS NOT NULL
@@ -76,9 +79,7 @@ WITH RECURSIVE step(word, pos, tok, live) AS (
   WHERE NOT swallowed)
 """
 _FOLD = """
-SELECT word, string_agg(tok, ',' ORDER BY pos) AS ids, count(*) AS n,
-  unhex(string_agg(token_hex, '' ORDER BY pos)) AS bytes
-FROM step JOIN tokens ON tok = id WHERE NOT live GROUP BY word
+SELECT word, digits, token FROM step JOIN tokens ON tok = id WHERE NOT live ORDER BY word, pos
 """
 
 
@@ -86,6 +87,15 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines()) if a}
 
 
+def _values(column: pa.Array) -> list:
+    return column.to_numpy(zero_copy_only=False).tolist()       # several times faster than to_pylist()
+
+
+def _joined(offsets: pa.Array, parts: pa.Array, by: str | bytes) -> list:
+    """The parts from each offset to the next, joined."""
+    return _values(pc.binary_join(pa.LargeListArray.from_arrays(offsets, parts), pa.scalar(by, parts.type)))
+
+
 class Codec:
     """The merge table in DuckDB, and the words encoded so far."""
 
@@ -111,7 +121,8 @@ class Codec:
         ints = lambda x: pa.array(x, pa.int32())
         merges = pa.table({"lft": ints(left), "rgt": ints(right), "merged": ints(merged),
                            "safe": pa.array([lowest.get(m, m + 1) > m for m in merged], pa.bool_())})
-        tokens = pa.table({"id": ints(list(self.ranks.values())), "token_hex": [t.hex() for t in self.ranks]})
+        tokens = pa.table({"id": ints(list(self.ranks.values())), "digits": [str(i) for i in self.ranks.values()],
+                           "token": pa.array(list(self.ranks), pa.binary())})
         self.db = duckdb.connect(":memory:")
         self.db.execute("SET threads = 1")
         self.db.execute("SET preserve_insertion_order = false")
@@ -119,7 +130,8 @@ class Codec:
             self.db.register(f"{name}_in", rows)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM {name}_in")
             self.db.unregister(f"{name}_in")
-        self.words: dict[str, tuple[str, int, bytes]] = {}
+        self.words: dict[str, tuple[str, bytes]] = {}
+        self.older: dict[str, tuple[str, bytes]] = {}   # those of the half before; used again, they move to ``words``
 
     def _contract(self, words: list[str], recursion: str) -> None:
         raw = [w.encode() for w in words]
@@ -131,10 +143,14 @@ class Codec:
             "pos": pa.array((np.arange(len(flat)) - np.repeat(start, sizes)).astype(np.int32)),
             "tok": pa.array(np.array(self.single, np.int32)[flat])})
         self.db.register("fresh", fresh)
-        got = self.db.execute(recursion + _FOLD).fetchall()
+        got = self.db.sql(recursion + _FOLD).to_arrow_table().combine_chunks()
         self.db.unregister("fresh")
-        for word, ids, n, data in got:
-            self.words[words[word]] = (ids, n, data)
+        # every word has a token, so the rows of word i are those from ends[i - 1] on
+        ends = np.cumsum(np.bincount(got["word"].to_numpy(), minlength=len(words)))
+        offsets = pa.array(np.concatenate([[0], ends]), pa.int64())
+        ids = _joined(offsets, got["digits"].combine_chunks(), ",")
+        data = _joined(offsets, got["token"].combine_chunks(), b"")
+        self.words.update(zip(words, zip(ids, data, strict=True), strict=True))
 
     def learn(self, words: Iterable[str]) -> None:
         """Encode words that are not known yet, in queries of bounded size."""
@@ -161,14 +177,23 @@ class Codec:
         if group:
             self._contract(group, _LONG)
 
-    def encode(self, texts: list[str]) -> list[list[tuple[str, int, bytes]]]:
-        """Per text its words in order, each as (ids joined by commas, their number, decoded bytes)."""
-        if len(self.words) > self.max_words:
-            self.words.clear()
+    def encode(self, texts: list[str]) -> list[tuple[str, int, bytes]]:
+        """Per text (ids joined by commas, their number, decoded bytes), put together from its words in order."""
+        if len(self.words) > self.max_words // 2:
+            self.older, self.words = self.words, {}
         cut = [self.pattern.findall(t) for t in texts]
-        self.learn(set().union(*cut) - self.words.keys())
-        known = self.words
-        return [[known[w] for w in words] for words in cut]
+        # distinct words are looked up once; their places are filled from arrays, which stay in the processor's caches
+        coded = pa.array(list(chain.from_iterable(cut)), pa.large_string()).dictionary_encode()
+        distinct = _values(coded.dictionary)
+        unknown = set(distinct) - self.words.keys()
+        again = unknown & self.older.keys()
+        self.words.update((w, self.older[w]) for w in again)
+        self.learn(unknown - again)
+        found = [self.words[w] for w in distinct]
+        offsets = pa.array(np.cumsum([0, *map(len, cut)]), pa.int64())
+        ids = _joined(offsets, pa.array([f[0] for f in found], pa.large_string()).take(coded.indices), ",")
+        data = _joined(offsets, pa.array([f[1] for f in found], pa.large_binary()).take(coded.indices), b"")
+        return [(i, i.count(",") + 1 if i else 0, d) for i, d in zip(ids, data, strict=True)]
 
 
 def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text",
@@ -192,10 +217,8 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
         codec = hold(("bpe", data, pattern, max_words), lambda: Codec(data, pattern, max_words))
         for part in slices(batches, 1):
             n, first, second = [], [], []
-            for words in codec.encode(pc.fill_null(part.column(1), "").to_pylist()):
-                ids = ",".join([w[0] for w in words])
-                data = b"".join([w[2] for w in words])
-                n.append(sum([w[1] for w in words]))
+            for ids, size, data in codec.encode(pc.fill_null(part.column(1), "").to_pylist()):
+                n.append(size)
                 if digest:
                     first.append(hashlib.sha256(ids.encode()).hexdigest())
                     second.append(hashlib.sha256(data).hexdigest())
