@@ -40,7 +40,6 @@ from quarry.session import discard, materialize, settle
 GRAM = 2            # lines hashed together
 WINDOW = 3          # line grams of which one is selected
 MIN_WORDS = 30      # words in a run that is deleted
-NEAR = (4, 10)      # lines that are looked at first: most passages end there; the others go on to MIN_WORDS lines
 HOT = 1_000         # a fingerprint with more than this part of all repeated places is hot: there are fewer than HOT
 
 #: the text with U+0001 behind every line
@@ -123,36 +122,38 @@ def passages(lines: DataFrame, found: DataFrame, min_words: int = MIN_WORDS) ->
     the one up to it if the run has enough words so far, else in the one from
     the run's start.
     """
-    # words * 2^20 + lines, up to the line that makes them enough; too few where the text ends before
+    # v0: words * 2^20 + lines of each line; v1, v2, ...: the same of 2, 4, ... lines from it on
+    levels = max(min_words - 1, 0).bit_length()
+    # the most lines from line i on that are too few, by ever smaller steps; the line behind them makes them enough
     enough = f"{min_words} * 1048576L"
-    size = "CAST(x % 1048576L AS int)"
-    steps = []
-    for side, source, at in (("ahead", "v", "i + 1"), ("behind", "r", "size(v) - i")):
-        found_in = "0L"
-        for start, stop in zip((0, *NEAR), (*NEAR, min_words), strict=True):    # most passages end in a few lines
-            if start < min_words:
-                fold = (f"aggregate(slice({source}, {at} + {start}, {min(stop, min_words) - start}), {{so_far}},"
-                        f" (s, x) -> if(s >= {enough}, s, s + x))")
-                found_in = fold.format(so_far="0L") if not start else \
-                    f"transform(array({found_in}), s -> if(s >= {enough}, s, {fold.format(so_far='s')}))[0]"
-        # a seed is within reach from the line on, or of the lines up to it
-        reach = (f"coalesce(get(ns, i) < i + {min_words}, false)" if side == "ahead" else
-                 f"coalesce(get(ns, greatest(i - {min_words - 1}, 0)) <= i, false)")
-        steps.append(f"transform(v, (x, i) -> if({reach}, {found_in}, 0L))")
-    ends = {"ahead": ("i", f"i + {size} - 1"), "behind": (f"i - {size} + 1", "i")}
-    holds = {side: f"x >= {enough} AND coalesce(get(ns, {a}) <= {b}, false)" for side, (a, b) in ends.items()}
-    # the run up to a line may be the run from its first line on, which is there already
-    known = f"get(ahead, i - {size} + 1) = x"
+    step = "coalesce(get(a, i + CAST(s % 1048576L AS int)), 0L)"
+    few = (f"aggregate(array({', '.join(f'v{k}' for k in reversed(range(levels)))}), 0L,"
+           f" (s, a) -> if(s + {step} < {enough}, s + {step}, s))") if levels else "0L"
+    # a seed is within reach from the line on, or the line before is one, whose passages end where this line's begin
+    reach = f"coalesce(get(ns, greatest(i - 1, 0)) < i + {min_words}, false)"
+    # the last line of the shortest run from the line on; the number of lines where the text ends before
+    stops = f"transform(v0, (x, i) -> if({reach}, i + CAST({few} % 1048576L AS int), size(v0)))"
+    # the shortest run up to a line starts at the last line whose run ends there or before: up to the lines from
+    # e[i] on and before e[i + 1] it starts at i, and up to e[i] it is the run from i on
+    lasts = "greatest(x, coalesce(get(e, i + 1), size(h)) - 1)"
+    runs = (f"transform(e, (x, i) -> if(x < size(h) AND coalesce(get(ns, i) < i + {min_words} AND get(ns, i) <= {lasts},"
+            " false), {made}, null))")
+    first = "greatest(x, ns[i])"
     # texts without blank lines: places are line numbers, a passage has one key
-    plain = {side: f"array_compact(transform({side}, (x, i) -> if({holds[side]}{more}, named_struct('key', xxhash64(0,"
-                   f" xxhash64(slice(h, {a} + 1, {size} - 1), h[{b}]), 0), 'first', {a}, 'last', {b}), null)))"
-             for (side, (a, b)), more in zip(ends.items(), ("", f" AND NOT {known}"), strict=True)}
+    one = "named_struct('key', xxhash64(0, xxhash64(slice(h, i + 1, {b} - i), h[{b}]), 0), 'first', i, 'last', {b})"
+    made = (f"if({first} = {lasts}, array({one.format(b=lasts)}), transform(sequence({first}, {lasts}), b -> {one.format(b='b')}))")
+    plain = f"flatten(array_compact({runs.format(made=made)}))"
     # blank lines inside a passage count by the distance to the next line, those before or behind it one by one
     uh = ("transform(h, (x, i) -> if(i + 1 = size(at) OR at[least(i + 1, size(at) - 1)] - at[i] = 1, x,"
           " xxhash64(x, at[least(i + 1, size(at) - 1)] - at[i])))")
-    held = {side: f"array_compact(transform({side}, (x, i) -> if({holds[side]}, named_struct('first', {a}, 'last', {b},"
-                  f" 'least', {least}), null)))"
-            for (side, (a, b)), least in zip(ends.items(), ("0", f"if({known}, 1, 0)"), strict=True)}
+    # the run up to e[i] is there already where no blank line follows it
+    made = {"ahead": f"if(ns[i] <= x, array(named_struct('first', i, 'last', x, 'least', 0)), array())",
+            "behind": f"transform(sequence({first}, {lasts}), b -> named_struct('first', i, 'last', b,"
+                      " 'least', if(b = x, 1, 0)))"}
+    # no line has its shortest run from i where the next line's run ends in the same line
+    none = "get(e, i + 1) = x"
+    made["behind"] = f"if(coalesce({none}, false), array(), {made['behind']})"
+    held = {side: f"flatten(array_compact({runs.format(made=made[side])}))" for side in made}
     body = "xxhash64(slice(uh, r.first + 1, r.last - r.first), h[r.last])"
     room = {"ahead": "at[r.first] - if(r.first = 0, -1, at[greatest(r.first - 1, 0)]) - 1",
             "behind": "if(r.last + 1 = size(at), n, at[least(r.last + 1, size(at) - 1)]) - at[r.last] - 1"}
@@ -167,13 +168,14 @@ def passages(lines: DataFrame, found: DataFrame, min_words: int = MIN_WORDS) ->
     # the next seed of every line up to the last seed
     following = ("flatten(zip_with(seeds, concat(array(-1), slice(seeds, 1, size(seeds) - 1)),"
                  " (s, p) -> array_repeat(s, s - p)))")
-    return (members(lines, "id", found.select("id")).join(found.hint("merge"), ["id", "th"])
-            .select("id", "th", "n", "h", "at", _once("transform(w, x -> x * 1048576L + 1L)").alias("v"),
-                    _once(following).alias("ns"))
-            .select("*", _once("reverse(v)").alias("r"), _once(f"if(n = size(h), null, {uh})").alias("uh"))
-            .select("id", "th", "n", "h", "at", "uh", "ns", _once(steps[0]).alias("ahead"), _once(steps[1]).alias("behind"))
-            .select("id", "th", _once(f"if(uh IS NULL, concat({plain['ahead']}, {plain['behind']}), concat({spaced}))")
-                    .alias("p")))
+    rows = (members(lines, "id", found.select("id")).join(found.hint("merge"), ["id", "th"])
+            .select("id", "th", "n", "h", "at", _once("transform(w, x -> x * 1048576L + 1L)").alias("v0"),
+                    _once(following).alias("ns"), _once(f"if(n = size(h), null, {uh})").alias("uh")))
+    for k in range(1, levels):
+        rows = rows.withColumn(f"v{k}", _once(f"transform(v{k - 1}, (x, i) -> x + coalesce(get(v{k - 1}, i + {1 << k - 1}),"
+                                              " 0L))"))
+    return (rows.select("id", "th", "n", "h", "at", "ns", "uh", _once(stops).alias("e"))
+            .select("id", "th", _once(f"if(uh IS NULL, {plain}, concat({spaced}))").alias("p")))
 
 
 def repeated_runs(lines: DataFrame, gram: int = GRAM, window: int = WINDOW, long_line: int | None = None,
