@@ -117,10 +117,13 @@ def _maybe(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     slot = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(FILTER_BITS))
     bits = (ids.select(slot.alias("__slot"))
             .groupBy(F.bitmap_bucket_number("__slot").alias("__bucket"))
-            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("__slot")).alias("__bits")))
-    byte = F.conv(F.hex(F.expr("substring(__bits, CAST(bitmap_bit_position(__slot) DIV 8 AS INT) + 1, 1)")), 16, 10)
-    hit = F.coalesce(byte.cast("int").bitwiseAND(F.expr("shiftleft(1, CAST(bitmap_bit_position(__slot) % 8 AS INT))")) > 0,
-                     F.lit(False))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("__slot")).alias("__bits"))
+            # the 4 KB as numbers of 8 bytes, so that a row's bit is found without text functions
+            .select("__bucket", F.expr("transform(sequence(0, 511), i ->"
+                                       " CAST(conv(hex(substring(__bits, 8 * i + 1, 8)), 16, -10) AS bigint))").alias("__bits")))
+    word = "get(__bits, CAST(bitmap_bit_position(__slot) DIV 64 AS INT))"
+    place = "CAST(56 - bitmap_bit_position(__slot) DIV 8 % 8 * 8 + bitmap_bit_position(__slot) % 8 AS INT)"
+    hit = F.coalesce(F.expr(f"(shiftright({word}, {place}) & 1L) = 1"), F.lit(False))
     return (rows.withColumn("__slot", slot)
             .join(F.broadcast(bits), F.expr("bitmap_bucket_number(__slot) = __bucket"), "left")
             .withColumn("__maybe", hit).drop("__slot", "__bucket", "__bits"))

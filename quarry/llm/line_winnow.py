@@ -45,14 +45,9 @@ HOT = 1_000         # a fingerprint with more than this part of all repeated pla
 #: the text with U+0001 behind every line
 _CUT = r"""replace(replace(replace(replace(__text, '\n', '\n\u0001'), '. ', '. \u0001'), '! ', '! \u0001'),
            '? ', '? \u0001')"""
-#: the same cuts, but every line ends in a blank, so that trimming makes equal lines equal
-_COMPARED = r"""replace(replace(replace(replace(__text, '. ', '. \u0001'), '! ', '! \u0001'), '? ', '? \u0001'),
-                '\n', ' \u0001')"""
-
-
-def _shifts(array: str, n: int) -> str:
-    """SQL arguments: the array, the array from its second entry on, and so forth."""
-    return ", ".join(f"slice({array}, {k + 1}, greatest(size({array}) - {k}, 0))" for k in range(n))
+#: the same cuts, but the blank or newline that ends a line is left out, so that trimming makes equal lines equal
+_COMPARED = r"""replace(replace(replace(replace(__text, '. ', '.\u0001'), '! ', '!\u0001'), '? ', '?\u0001'),
+                '\n', '\u0001')"""
 
 
 def _once(expr: str):
@@ -82,21 +77,20 @@ def line_table(docs: DataFrame) -> DataFrame:
 
 def fingerprints(lines: DataFrame, gram: int, window: int, long_line: int) -> DataFrame:
     """(id, th, p): the selected fingerprints of each row, p an array of (key, pos) with pos counting lines with words."""
-    fields = ", ".join(f"x.`{k}`" for k in range(gram))
-    grams = (f"transform(slice(arrays_zip({_shifts('h', gram)}), 1, greatest(size(h) - {gram - 1}, 0)),"
-             f" (x, i) -> named_struct('key', xxhash64({fields}), 'back', -i))")        # least, then rightmost
+    fields = ", ".join(["x"] + [f"h[i + {k}]" for k in range(1, gram)])
+    grams = f"transform(slice(h, 1, greatest(size(h) - {gram - 1}, 0)), (x, i) -> xxhash64({fields}))"
+    # places only, no structs: the least gram of the window from i on, the rightmost of equal ones
+    least = "i"
+    for k in range(1, window):
+        before = " AND ".join(f"g[i + {k}] <= {f'g[i + {j}]' if j else 'x'}" for j in range(k))
+        least = f"if(i + {k} < size(g) AND {before}, i + {k}, {least})"
+    picked = f"transform(slice(g, 1, greatest(size(g) - {window - 1}, least(size(g), 1))), (x, i) -> {least})"
+    # the same gram is selected by neighbouring windows: it counts once
+    marked = f"transform(array_distinct({picked}), i -> named_struct('key', g[i], 'pos', i))"
     alone = (f"array_compact(transform(w, (x, i) -> if(x >= {long_line}, named_struct('key', xxhash64(h[i]), 'pos', i),"
              " null)))")
-    least = ", ".join(f"x.`{k}`" for k in range(window))
-    least = f"least({least})" if window > 1 else least
-    picked = (f"transform(slice(arrays_zip({_shifts('g', window)}), 1,"
-              f" greatest(size(g) - {window - 1}, least(size(g), 1))), x -> {least})")
-    # the same gram is selected by neighbouring windows: entries that repeat the one before go
-    once = ("array_compact(zip_with(p, concat(array(null), slice(p, 1, greatest(size(p) - 1, 0))), (x, y) ->"
-            " if(x.back <=> y.back, null, named_struct('key', x.key, 'pos', -x.back))))")
     return (lines.select("id", "th", "h", "w", _once(grams).alias("g"))
-            .select("id", "th", _once(picked).alias("p"), _once(alone).alias("a"))
-            .select("id", "th", _once(f"concat({once}, a)").alias("p")))
+            .select("id", "th", _once(f"concat({marked}, {alone})").alias("p")))
 
 
 def seeds(marks: DataFrame) -> DataFrame:
@@ -135,34 +129,36 @@ def passages(lines: DataFrame, found: DataFrame, min_words: int = MIN_WORDS) ->
     stops = f"transform(v0, (x, i) -> if({reach}, i + CAST({few} % 1048576L AS int), size(v0)))"
     # the shortest run up to a line starts at the last line whose run ends there or before: up to the lines from
     # e[i] on and before e[i + 1] it starts at i, and up to e[i] it is the run from i on
-    lasts = "greatest(x, coalesce(get(e, i + 1), size(h)) - 1)"
-    runs = (f"transform(e, (x, i) -> if(x < size(h) AND coalesce(get(ns, i) < i + {min_words} AND get(ns, i) <= {lasts},"
-            " false), {made}, null))")
-    first = "greatest(x, ns[i])"
+    lasts = "greatest(x, coalesce(get(e, i + 1), size(e)) - 1)"
+    # the last of these lines, -1 where none of the runs from i on holds a seed
+    reached = (f"transform(e, (x, i) -> if(x < size(e) AND coalesce(get(ns, i) < i + {min_words} AND get(ns, i) <= {lasts},"
+               f" false), {lasts}, -1))")
+    first = "greatest(e[i], ns[i])"
+    runs = "array_compact(transform(l, (z, i) -> if(z < 0, null, {made})))"
     # texts without blank lines: places are line numbers, a passage has one key
-    one = "named_struct('key', xxhash64(0, xxhash64(slice(h, i + 1, {b} - i), h[{b}]), 0), 'first', i, 'last', {b})"
-    made = (f"if({first} = {lasts}, array({one.format(b=lasts)}), transform(sequence({first}, {lasts}), b -> {one.format(b='b')}))")
-    plain = f"flatten(array_compact({runs.format(made=made)}))"
+    one = "named_struct('key', xxhash64(slice(h, i + 1, b - i), h[b]), 'first', i, 'last', b)"
+    made = f"transform(sequence({first}, z), b -> {one})"
+    plain = f"flatten({runs.format(made=made)})"
     # blank lines inside a passage count by the distance to the next line, those before or behind it one by one
     uh = ("transform(h, (x, i) -> if(i + 1 = size(at) OR at[least(i + 1, size(at) - 1)] - at[i] = 1, x,"
           " xxhash64(x, at[least(i + 1, size(at) - 1)] - at[i])))")
     # the run up to e[i] is there already where no blank line follows it
-    made = {"ahead": f"if(ns[i] <= x, array(named_struct('first', i, 'last', x, 'least', 0)), array())",
-            "behind": f"transform(sequence({first}, {lasts}), b -> named_struct('first', i, 'last', b,"
-                      " 'least', if(b = x, 1, 0)))"}
+    made = {"ahead": f"if(ns[i] <= e[i], array(named_struct('first', i, 'last', e[i], 'least', 0)), array())",
+            "behind": f"transform(sequence({first}, z), b -> named_struct('first', i, 'last', b,"
+                      " 'least', if(b = e[i], 1, 0)))"}
     # no line has its shortest run from i where the next line's run ends in the same line
-    none = "get(e, i + 1) = x"
+    none = "get(e, i + 1) = e[i]"
     made["behind"] = f"if(coalesce({none}, false), array(), {made['behind']})"
-    held = {side: f"flatten(array_compact({runs.format(made=made[side])}))" for side in made}
+    held = {side: f"flatten({runs.format(made=made[side])})" for side in made}
     body = "xxhash64(slice(uh, r.first + 1, r.last - r.first), h[r.last])"
     room = {"ahead": "at[r.first] - if(r.first = 0, -1, at[greatest(r.first - 1, 0)]) - 1",
             "behind": "if(r.last + 1 = size(at), n, at[least(r.last + 1, size(at) - 1)]) - at[r.last] - 1"}
     hashed = {side: f"filter(transform({held[side]}, r -> named_struct('body', {body}, 'first', at[r.first],"
                     f" 'last', at[r.last], 'least', r.least, 'room', {room[side]})), r -> r.least <= r.room)"
               for side in held}
-    placed = {"ahead": "transform(sequence(r.least, r.room), k -> named_struct('key', xxhash64(k, r.body, 0),"
+    placed = {"ahead": "transform(sequence(r.least, r.room), k -> named_struct('key', if(k = 0, r.body, xxhash64(k, r.body, 0)),"
                        " 'first', r.first - k, 'last', r.last))",
-              "behind": "transform(sequence(r.least, r.room), k -> named_struct('key', xxhash64(0, r.body, k),"
+              "behind": "transform(sequence(r.least, r.room), k -> named_struct('key', if(k = 0, r.body, xxhash64(0, r.body, k)),"
                         " 'first', r.first, 'last', r.last + k))"}
     spaced = ", ".join(f"flatten(transform({hashed[side]}, r -> {expr}))" for side, expr in placed.items())
     # the next seed of every line up to the last seed
@@ -175,6 +171,7 @@ def passages(lines: DataFrame, found: DataFrame, min_words: int = MIN_WORDS) ->
         rows = rows.withColumn(f"v{k}", _once(f"transform(v{k - 1}, (x, i) -> x + coalesce(get(v{k - 1}, i + {1 << k - 1}),"
                                               " 0L))"))
     return (rows.select("id", "th", "n", "h", "at", "ns", "uh", _once(stops).alias("e"))
+            .withColumn("l", _once(reached))
             .select("id", "th", _once(f"if(uh IS NULL, {plain}, concat({spaced}))").alias("p")))
 
 
@@ -190,17 +187,19 @@ def repeated_runs(lines: DataFrame, gram: int = GRAM, window: int = WINDOW, long
     held = materialize(passages(lines, found, min_words), "passages")
     places = held.select("id", "th", F.explode("p").alias("f")).select("id", "th", "f.*")
     place = F.struct("id", "th", "first")
-    source = (places.groupBy("key").agg(F.min(place).alias("s"), F.max(place).alias("t")).where("s < t")
+    source = (places.groupBy("key").agg(F.min(place).alias("s"), F.count("*").alias("n")).where("n > 1")
               .selectExpr("key", "s.id AS sid", "s.th AS sth", "s.first AS sfirst"))
     # one plan at every size: both sides grow with the corpus, so neither is broadcast
     gone = (places.join(source.hint("merge"), "key").where("id > sid OR (id = sid AND th = sth AND first > sfirst)")
-            .select("id", "th", "first", "last"))
+            .select("id", "th", F.expr("first * 4294967296L + last").alias("run")))
     # in order of their first lines the last ones rise too, so neighbours show where a run ends
     before = "concat(array(-2), slice(r.last, 1, size(r) - 1))"
     behind = "concat(slice(r.first, 2, size(r) - 1), array(2147483647))"
     starts = f"array_compact(zip_with(r.first, {before}, (a, b) -> if(a > b + 1, a, null)))"
     stops = f"array_compact(zip_with(r.last, {behind}, (a, b) -> if(b > a + 1, a, null)))"
-    return (gone.groupBy("id", "th").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("r"))
+    spans = "transform(r, x -> named_struct('first', CAST(x DIV 4294967296L AS int), 'last', CAST(x % 4294967296L AS int)))"
+    return (gone.groupBy("id", "th").agg(F.sort_array(F.collect_set("run")).alias("r"))
+            .select("id", "th", _once(spans).alias("r"))
             .select("id", "th", _once(f"zip_with({starts}, {stops}, (a, b) -> named_struct('first', a, 'last', b))")
                     .alias("runs")))
 
@@ -226,13 +225,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names, zero = [F.col(f"`{c}`") for c in rest.columns], F.lit(0).cast("long")
     # texts that cannot be cut stay where they are
     cuttable, whole = split_members(rows, "__id", runs.select(F.col("__rid").alias("__id")))
-    gone = "exists(__runs, r -> i BETWEEN r.first AND r.last)"
+    gone = "flatten(transform(__runs, r -> slice(__u, r.first + 1, r.last - r.first + 1)))"
+    # the lines before, between and behind the runs
+    kept = ("flatten(zip_with(concat(array(0), transform(__runs, r -> r.last + 1)),"
+            " concat(transform(__runs, r -> r.first), array(size(__u))), (a, b) -> slice(__u, a + 1, b - a)))")
     cut = (cuttable.withColumn("__th", F.xxhash64("__text"))
            .join(runs.hint("merge"), (F.col("__id") == F.col("__rid")) & (F.col("__th") == F.col("__rth")), "left")
            .withColumn("__u", _once(f"if(__runs IS NULL, null, split({_CUT}, '\\u0001'))"))
-           .withColumn("__gone", _once(f"filter(__u, (u, i) -> {gone})"))
-           .withColumn("__kept", _once(f"array_join(filter(__u, (u, i) -> NOT {gone}), '')")))
-    trimmed = F.transform("__gone", lambda u: F.btrim(u, F.lit(" \n")))
+           .withColumn("__gone", _once(gone))
+           .withColumn("__kept", _once(f"array_join({kept}, '')")))
+    # a newline stands at the end of a line only
+    trimmed = F.transform("__gone", lambda u: F.trim(F.replace(u, F.lit("\n"), F.lit(""))))
     words = F.aggregate(trimmed, zero, lambda s, u: s + _words(u))
     cut = cut.select(
         *[F.coalesce("__kept", n).alias(c) if c == text_col else n for c, n in zip(rest.columns, names, strict=True)],
